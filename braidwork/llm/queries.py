@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, lines, packing, secrets
+from . import bpe, chat, exact, lines, packing, secrets, substring
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,7 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_packing, op4_line_dedup, op7_exact_dedup, op8_bpe, op10_secrets)
+    f.__name__: f for f in (op1_chat_format, op2_packing, op3_substring_dedup, op4_line_dedup, op7_exact_dedup, op8_bpe, op10_secrets)
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
