@@ -1,7 +1,7 @@
 """Exact deduplication by a distributed sort of the normalised contents.
 
-Spark samples splitters and deals the rows out by (normalised text, doc_id), so that a group of copies,
-however large, spreads over as many tasks as its share of the rows asks for. Each task sorts its range
+Spark samples splitters and deals the rows out by (prefix, hash, doc_id) of the normalised text, so that a group
+of copies, however large, spreads over as many tasks as its share of the rows asks for. Each task sorts its range
 externally and compares neighbours in full. A group that runs over the end of a range is put together from
 its parts' first rows: at most two rows a task, whatever the data.
 """
@@ -92,8 +92,10 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions or shuffle_partitions(docs.sparkSession)
     norm = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE_REGEX, " ")
     rows = docs.select(docs[id_col].cast("long").alias("id"), norm.alias("norm"))
-    order = ("norm", F.col("id").asc_nulls_last())
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # A splitter, of which the driver samples many, is a short prefix and a hash, not a whole text.
+    rows = rows.withColumns({"prefix": F.substring("norm", 1, 24), "hash": F.xxhash64("norm")})
+    last = F.col("id").asc_nulls_last()
+    rows = rows.repartitionByRange(n, "prefix", "hash", last).sortWithinPartitions("prefix", "hash", "norm", last).select("id", "norm")
     # The splitters are sampled anew whenever the plan is planned again, and both uses below must agree.
     rows = materialize(rows.mapInArrow(_runs, _RUNS))
     joint = (
