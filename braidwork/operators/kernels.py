@@ -68,7 +68,7 @@ def linear(vectors: DataFrame, block: int = 1024) -> DataFrame:
     rows = vectors.select(F.col("i").cast("long").alias("i"), F.col("x").cast("array<double>").alias("x"), part.alias("own"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     left = rows.select("i", "x", F.col("own").alias("r"), every.alias("c"))
-    right = rows.select("i", "x", F.col("own").alias("c"), every.alias("r"))
+    right = rows.select(F.col("i").alias("i"), F.col("x").alias("x"), F.col("own").alias("c"), every.alias("r"))
     return mirror(left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(_product, "i long, j long, k double"))
 
 

@@ -55,7 +55,7 @@ def obo(spark: SparkSession, path: str, keep_obsolete: bool = False) -> tuple[Da
     Only ``[Term]`` stanzas count, and edges of dropped terms go with them. Two terms with one id are an error.
     """
     stanzas = spark.read.option("lineSep", "\n[").text(path).where(F.startswith("value", F.lit("Term]")))
-    rows = stanzas.select(F.monotonically_increasing_id().alias("stanza"), F.explode(F.split("value", r"\r?\n")).alias("line"))
+    rows = stanzas.select(F.sha2("value", 256).alias("stanza"), F.explode(F.split("value", r"\r?\n")).alias("line"))
     rows = rows.select("stanza", F.regexp_extract("line", r"^([^ ]+): (.+)$", 1).alias("key"), F.regexp_extract("line", r"^([^ ]+): (.+)$", 2).alias("value")).where("key <> ''")
 
     def one(key: str):
@@ -158,7 +158,7 @@ def pssm(spark: SparkSession, path: str, priors: list[float] | None = None, gamm
     from ..functions.numeric import smoothed_cost
     from ..operators.strings import AMINO_ACIDS, PSSM_ORDER
 
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))
     rows = text.select("file", F.posexplode(F.slice("lines", F.lit(4), F.greatest(F.size("lines") - 9, F.lit(0)))).alias("at", "line"))
     prior = priors or [0.05] * 20
     order = [PSSM_ORDER.index(a) for a in AMINO_ACIDS]
