@@ -44,7 +44,7 @@ def _quantise(scale: int):
 
 def _matrix(rows: pa.Table, dim: int) -> np.ndarray:
     """One row a vector."""
-    return np.array([np.frombuffer(x, "<i4" if len(x) == 4 * dim else "<i8").astype(np.int64) for x in rows.column("q").to_pylist()], np.int64).reshape(-1, dim)
+    return np.array([np.frombuffer(x, "<i4" if len(x) == 4 * dim else "<i8").astype(np.int64) for x in rows.column("q").to_pylist()], np.int64).reshape(rows.num_rows, dim)
 
 
 def best(query: np.ndarray, columns: np.ndarray, masses: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def _search(k: int):
             ids = candidates.column("vec_id").to_numpy()
             columns = np.ascontiguousarray(_matrix(candidates, dim).T)
             square = columns.astype(np.float64) ** 2
-            masses = np.array([square[a : a + BLOCK].sum(axis=0) for a in range(0, dim, BLOCK)]).reshape(-1, len(ids))
+            masses = np.array([square[a : a + BLOCK].sum(axis=0) for a in range(0, dim, BLOCK)]).reshape(-(-dim // BLOCK), len(ids))
             largest = float(np.abs(columns).max()) if columns.size else 0.0
             wanted = _matrix(queries, dim)
             for own, key, query in zip(queries.column("vec_id").to_pylist(), queries.column("key").to_pylist(), wanted, strict=True):
