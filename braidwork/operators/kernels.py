@@ -191,8 +191,9 @@ def dense(kernel: DataFrame, size: int, limit: int = 4096) -> np.ndarray:
     if size > limit:
         raise ValueError(f"{size} entities are more than {limit}")
     out = np.zeros((size, size))
-    for i, j, k in kernel.select("i", "j", "k").toLocalIterator():
-        out[i, j] = k
+    cells = kernel.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("k").cast("double")).toArrow()
+    i, j, k = (cells.column(c).to_numpy() for c in range(3))
+    out[i, j] = k
     return out
 
 

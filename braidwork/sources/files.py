@@ -186,10 +186,10 @@ def complexes(spark: SparkSession, path: str) -> DataFrame:
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, row array<double>) of a text matrix; a head line of two numbers, as our writer makes, is skipped."""
     rows = tokens(spark, path).select("line", F.transform("words", lambda w: w.cast("double")).alias("row"))
-    width = F.max(F.size("row")).over(Window.partitionBy())
-    rows = rows.withColumn("w", width).where(~((F.col("line") == 0) & (F.size("row") == 2) & (F.col("w") != 2)))
-    low = F.min("line").over(Window.partitionBy())
-    return rows.select((F.col("line") - low).cast("long").alias("i"), "row")
+    shape = rows.agg(F.max(F.size("row")).alias("width"), F.min("line").alias("low"), F.min_by(F.size("row"), "line").alias("first"))
+    rows = rows.crossJoin(F.broadcast(shape))  # one row
+    head = (F.col("first") == 2) & (F.col("width") != 2)
+    return rows.where(~head | (F.col("line") > F.col("low"))).select((F.col("line") - F.col("low") - head.cast("int")).cast("long").alias("i"), "row")
 
 
 def ruled_table(spark: SparkSession, path: str, boxes: dict[str, tuple[int, int]], section: int = 5) -> DataFrame:
