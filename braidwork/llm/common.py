@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import materialize as materialize  # a reliable checkpoint
+
 #: The six characters that count as white space in every contract of this package.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
@@ -22,19 +23,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a session without
-    one, such as a test's, gets a temporary folder. The copy survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidwork-"))
-    return df.checkpoint(eager=True)
-
-
 def rows_of(batch: pa.RecordBatch, text: str | pa.Array = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``most_bytes``; a longer text comes alone."""
     column = batch.column(text) if isinstance(text, str) else text

@@ -228,6 +228,15 @@ def test_dense_regions_are_parted():
     assert set(minhash.part_region(5, tails[:10], np.arange(10), 9)) == {5}
 
 
+def test_gathered_regions_are_parted():
+    r = np.random.default_rng(2)
+    signed = r.integers(0, 3, (5 * minhash.REGION, minhash.SIGNATURE)).astype(np.uint32)
+    ids = np.arange(len(signed))
+    parts = minhash.bounded_parts(7, signed, ids)
+    assert sorted(np.concatenate(parts)) == ids.tolist() and max(map(len, parts)) <= minhash.REGION
+    assert len(minhash.bounded_parts(7, signed[:100], ids[:100])) == 1
+
+
 def test_clusters_in_blocks(spark, monkeypatch):
     """A group of near copies whose cluster takes many blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 1000)
