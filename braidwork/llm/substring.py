@@ -218,10 +218,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     The texts are shuffled once, by block, and read thrice from that. Keys: 64 bits for an anchor, which
     decides only what is compared further, and 96 bits for a window. A block is to fit in a task's memory,
-    as is a bucket; by default there are eight and four a shuffle partition.
+    as is a bucket; by default there are two of each a shuffle partition. Blocks times buckets is the most
+    rows that a step sends.
     """
     n = shuffle_partitions(docs.sparkSession)
-    blocks, buckets = blocks or 8 * n, buckets or 4 * n
+    blocks, buckets = blocks or 2 * n, buckets or 2 * n
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # Rows without id are told apart by their text only to spread them.
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)))
