@@ -172,7 +172,7 @@ def pairs_restricted(spark, sf):
     return network.restrict(supplier_pairs(spark, sf), rich)
 
 
-@query(f"WITH x AS ({_PAIRS}), n AS (SELECT count(*) AS n FROM supplier) SELECT 2 * count(*) AS n_pairs, any_value(n) AS n_entities, round(2 * count(*) / (any_value(n) * (any_value(n) - 1)), 6) AS density FROM x, n")
+@query(f"WITH x AS (SELECT count(*) AS c FROM ({_PAIRS})), n AS (SELECT count(*) AS n FROM supplier) SELECT 2 * c AS n_pairs, n AS n_entities, round(2 * c / (n * (n - 1)), 6) AS density FROM x, n")
 def network_density(spark, sf):
     rows = network.density(network.symmetrize(supplier_pairs(spark, sf)), read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p")))
     return rows.withColumn("density", F.round("density", 6))
