@@ -33,7 +33,7 @@ PIECES = regex.compile(_SPLIT.format(S=_S, L=r"\p{L}", N=r"\p{N}"))
 CACHE = 300_000
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -63,7 +63,7 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        chars = _byte_chars()
+        chars = byte_chars()
         self.bytes_of: dict[int, bytes] = {i: bytes(chars[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]

@@ -8,9 +8,11 @@ number a length. Patterns are joined back to the pieces by length and rank.
 from __future__ import annotations
 
 import heapq
-import zlib
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +21,100 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_chars
 from .common import materialize, rows_of, utf8
+from .wordhash import Words, hashes
 
 #: Words of which a worker remembers the ids, in each of two generations.
-CACHE = 200_000
+CACHE = 400_000
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+_STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,")] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+_PLACED = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long, part int, local_rank long"
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose splitting drops white space.
+    """Ids of whole texts by a tokenizer that lowers letters and drops white space.
 
     Such a tokenizer never merges over white space, so a text's ids are those of its words in order, and
-    the ids of a word are looked up once.
+    each different word of a slice of texts is looked up once. To meet fewer different words, a full stop or
+    comma behind an ASCII letter or digit counts as a word (it is a piece of its own in any case), and A-Z are
+    lowered, except in texts that may hold the name of a special token, which is case-sensitive. Words of a
+    slice are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Ids are kept in two bytes if they fit.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        split = [t.split() for t in texts]
+        # Words of small letters need no normalising and are one piece, so the model can be asked at once. Whether
+        # this tokenizer is of that kind is tried out on such letters.
+        self.characters = str.maketrans({chr(b): c for c, b in byte_chars().items()})
+        self.simple = _SIMPLE
+        letters = [*map(chr, range(97, 123)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
+        tried = letters + [a + b for a in letters for b in letters[::3]]
+        if any(self._ids(w) != tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in tried):
+            self.simple = re.compile("(?!)")
+
+    def _ids(self, word: str) -> tuple[int, ...]:
+        """Of a simple word."""
+        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.characters)
+        return tuple([t.id for t in self.model.tokenize(spelled)])
+
+    def _look_up(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        if len(self.young) + len(words) > CACHE:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = {w for words in split for w in words if w not in young}
-        if len(young) + len(missing) > CACHE:
-            self.old, self.young = old, young = young, {}
-            missing = {w for words in split for w in words}
         new = []
-        for w in missing:
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-            else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+        for w in words:
+            if w not in young:
+                if (ids := old.get(w)) is not None:
+                    young[w] = ids
+                    continue
+                text = w.decode("utf-8", "replace")
+                if self.simple.fullmatch(text):
+                    young[w] = self._ids(text)
+                else:
+                    new.append((w, text))
+        for (w, _), e in zip(new, self.tokenizer.encode_batch_fast([x for _, x in new], add_special_tokens=False), strict=True):
             young[w] = tuple(e.ids)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += young[w]
-            out.append(ids)
-        if len(young) > 2 * CACHE:  # one slice of a few MB had that many words
-            self.young = {}
+        return [young[w] for w in words]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        plain = [t if b"<|" not in t else b"" for t in texts]
+        words = Words(plain, lower=True)
+        data, starts, ends = words.data, words.starts, words.ends
+        last, before = data[ends - 1] if len(ends) else starts, data[np.maximum(ends - 2, 0)] if len(ends) else starts
+        parted = _STOP[last] & _PLAIN[before] & (ends - starts > 1)
+        doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        take = np.repeat(np.arange(len(starts)), 1 + parted)
+        tail = np.zeros(len(take), bool)
+        tail[1:] = take[1:] == take[:-1]
+        starts, ends, doc = np.where(tail, ends[take] - 1, starts[take]), np.where(parted[take] & ~tail, ends[take] - 1, ends[take]), doc[take]
+        keys = hashes(data, starts, ends, lower=True)
+        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = self._look_up([raw[a:b].lower() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        own = sizes[inverse]
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[inverse], own)
+        ids = flat[place]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, own, len(texts)).astype(np.int64))])
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for k, t in enumerate(texts):
+            if b"<|" in t:
+                out[k] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
         return out
 
 
@@ -74,23 +126,23 @@ def encoder(path: str) -> WordEncoder:
 def _cut(path: str, end_id: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        part = TaskContext.get().partitionId()
+        part, end = TaskContext.get().partitionId(), np.array([end_id], words.kind)
         ranks = np.zeros(room + 1, np.int64)
         for batch in batches:
             for rows in rows_of(batch):
                 ids, starts, sizes, pieces, totals, local = [], [], [], [], [], []
                 for i, found in zip(rows.column("id").to_pylist(), words.encode(utf8(rows.column("text"))), strict=True):
-                    found.append(end_id)
-                    whole = np.array(found, "<u4")
-                    for start in range(0, len(whole), room):
-                        piece = whole[start : start + room]
+                    whole = np.append(found, end)
+                    total = len(whole)
+                    for start in range(0, total, room):
+                        size = min(room, total - start)
                         ids.append(i)
                         starts.append(start)
-                        sizes.append(len(piece))
-                        pieces.append(piece.tobytes())
-                        totals.append(len(whole))
-                        local.append(int(ranks[len(piece)]))
-                        ranks[len(piece)] += 1
+                        sizes.append(size)
+                        pieces.append(whole[start : start + size].tobytes())
+                        totals.append(total)
+                        local.append(int(ranks[size]))
+                        ranks[size] += 1
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(local, pa.int64())],
@@ -161,8 +213,10 @@ def _place(table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
                 k = np.searchsorted(first, ranks[own], "right") - 1
                 sequence[own] = at[k] + ranks[own] - first[k]
                 offset[own] = off[k]
-            kept = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+            # The pieces travelled with ids in two bytes where these fit.
+            ids = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(batch.column("ids").to_pylist(), lengths.tolist(), strict=True)]
+            columns = [pa.array(ids, pa.binary()) if c == "ids" else batch.column(c) for c in _PLACED[:5]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=_PLACED)
 
     return run
 
@@ -196,7 +250,3 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, room: int =
 
 def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
