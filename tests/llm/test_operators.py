@@ -237,6 +237,15 @@ def test_gathered_regions_are_parted():
     assert len(minhash.bounded_parts(7, signed[:100], ids[:100])) == 1
 
 
+def test_fringe_of_a_large_family(spark):
+    """Texts at 0.757 to the first of a family of 3,000 different near copies, and at 0.752 to the rest, are all found."""
+    base = [f"w{i}" for i in range(113)]
+    texts = [base, *([*base, f"c{k}"] for k in range(3000)), *([*base, *(f"f{k}x{i}" for i in range(35))] for k in range(300))]
+    assert len(texts) > minhash.REGION
+    got = minhash.near_duplicates(frame(spark, [(n, " ".join(t)) for n, t in enumerate(texts)])).collect()
+    assert len(got) == len(texts) and [r["doc_id"] for r in got if r["component_id"] != 0] == []
+
+
 def test_clusters_in_blocks(spark, monkeypatch):
     """A group of near copies whose cluster takes many blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 1000)
