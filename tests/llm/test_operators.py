@@ -459,6 +459,19 @@ def test_assignments_add_spans():
     assert found('private_key = "changeme"') == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'signing_key: str = "{}"', 'password: str = "{}"', 'signing_key: Optional[str] = "{}"', "signing_key: str | None = '{}'", 'const SIGNING_KEY: &\'static str = "{}";', 'signingKey: string="{}"', 'signing_key: SecretStr = "{}"',
+        "command: signing_key={}", "run: --verbose=1 --signing-key={}", "--signing-key={}", "-Dsigning.key={}", "args = '--signing-key={}'", "url=a=b=signing_key={}", "signing_key: {} = old", "signing_key: {}",
+    ],
+)
+def test_forms_of_assignments(text):
+    key = "Zk39fjA0qLmN7xPw2RtY"
+    whole = text.replace("{}", key)
+    assert [whole[s:e] for s, k, e in secrets.scan(whole)[1] if k == 3] == [key]
+
+
 def test_masking_keeps_the_rest(spark):
     df = frame(spark, [(1, "a password=abcdefgh1 b"), (2, "clean"), (3, None)])
     got = {r["doc_id"]: r for r in secrets.without_secrets(df).collect()}
