@@ -472,6 +472,19 @@ def test_forms_of_assignments(text):
     assert [whole[s:e] for s, k, e in secrets.scan(whole)[1] if k == 3] == [key]
 
 
+def test_literals_of_any_length_and_with_spaces():
+    def found(text):
+        return [text[s:e] for s, k, e in secrets.scan(text)[1] if k == 3]
+
+    key = "Zk39fjA0qLmN7xPw2RtY"
+    assert found(f'signing_key = "{key * 300}"') == [key * 300]
+    assert found(f"{'very_' * 40}signing_key = '{key}'") == [key]
+    pem = "-----BEGIN PRIVATE KEY-----\\n" + f"{key}\\n" * 80 + "-----END PRIVATE KEY-----"
+    assert found('{"private_key": "%s"}' % pem) == [pem] == found('{"data": "%s"}' % pem)
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('token_help = "what the token is for"') == found('note = "correct horse battery staple"') == []
+
+
 def test_masking_keeps_the_rest(spark):
     df = frame(spark, [(1, "a password=abcdefgh1 b"), (2, "clean"), (3, None)])
     got = {r["doc_id"]: r for r in secrets.without_secrets(df).collect()}
