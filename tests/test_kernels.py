@@ -1,11 +1,13 @@
+import random
+from collections import Counter
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import kernels, strings
 
-S = 1 / np.sqrt(2)
-
 
 def cells(spark, matrix):
     return spark.createDataFrame([(i, j, float(k)) for i, row in enumerate(matrix) for j, k in enumerate(row) if k], "i long, j long, k double")
@@ -22,9 +24,19 @@ def close(kernel, wanted):
     assert np.allclose(dense(kernel, len(wanted)), wanted, atol=1e-6)
 
 
+def random_kernel(n, seed):
+    """A positive semi-definite matrix with holes."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 4)) * (r.random((n, 4)) < 0.6)
+    return x @ x.T
+
+
 def test_normalize(spark):
-    close(kernels.normalize(cells(spark, [[2, 1, 0], [1, 2, 1], [0, 1, 2]])), [[1, 0.5, 0], [0.5, 1, 0.5], [0, 0.5, 1]])
-    close(kernels.normalize(cells(spark, [[2, 1, 0], [1, 0, 1], [0, 1, 2]])), [[1, S, 0], [S, 0, S], [0, S, 1]])
+    m = random_kernel(7, 1)
+    m[3, :] = m[:, 3] = 0
+    m[3, 5] = m[5, 3] = 0.25  # an entity with nothing on the diagonal
+    scale = np.array([1 / np.sqrt(m[i, i]) if m[i, i] else 1.0 for i in range(7)])
+    close(kernels.normalize(cells(spark, m)), m * scale[:, None] * scale[None, :])
 
 
 def rows(spark, *vectors):
@@ -32,13 +44,16 @@ def rows(spark, *vectors):
 
 
 def test_linear_and_correlation(spark):
-    for vectors, linear, correlation in (
-        (((0, 0), (0, 0)), np.zeros((2, 2)), np.zeros((2, 2))),
-        (((1, 0), (0, 1)), np.eye(2), [[1, -1], [-1, 1]]),
-        (((1, 0), (1, 0)), np.ones((2, 2)), np.ones((2, 2))),
-    ):
-        close(kernels.linear(rows(spark, *vectors)), linear)
-        close(kernels.correlation(rows(spark, *vectors)), correlation)
+    r = np.random.default_rng(2)
+    x = r.integers(-3, 4, (9, 5)).astype(float)
+    x[4] = 0
+    x[6] = 2.5  # no variance
+    x[8] = x[0]
+    close(kernels.linear(rows(spark, *x)), x @ x.T)
+    wanted = np.zeros((9, 9))
+    varied = [i for i in range(9) if x[i].std() > 0]
+    wanted[np.ix_(varied, varied)] = np.corrcoef(x[varied])
+    close(kernels.correlation(rows(spark, *x)), wanted)
 
 
 def test_linear_in_blocks(spark):
@@ -50,26 +65,30 @@ def test_linear_in_blocks(spark):
 
 
 def test_sparse_set_intersection(spark):
-    def sparse(*maps):
-        return spark.createDataFrame([(i, str(f), float(v)) for i, m in enumerate(maps) for f, v in m.items()], "i long, f string, v double")
-
-    for maps, wanted in ((({}, {}), np.zeros((2, 2))), (({0: 0}, {0: 0}), np.zeros((2, 2))), (({0: 1}, {1: 1}), np.eye(2)), (({0: 1, 1: 1}, {0: 1, 1: 1}), np.full((2, 2), 2))):
-        close(kernels.sparse_linear(sparse(*maps)), wanted)
-    close(kernels.intersection(sparse({0: 3, 1: 1}, {0: 2, 2: 5})), [[4, 2], [2, 7]])
-    for sets, wanted in (((set(), set()), np.zeros((2, 2))), (({0}, {1}), np.eye(2)), (({0}, {0}), np.ones((2, 2))), (({"a", "b"}, {"a", "b"}), np.full((2, 2), 2))):
-        df = spark.createDataFrame([(i, str(x)) for i, s in enumerate(sets) for x in s], "i long, item string")
-        close(kernels.set_intersection(df), wanted)
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 4, (8, 12)) * (r.random((8, 12)) < 0.4)
+    x[5] = 0
+    features = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(8) for j in range(12) if x[i, j] or j % 3 == 0], "i long, f string, v double")
+    close(kernels.sparse_linear(features), x @ x.T)
+    h = np.abs(x)
+    counts = spark.createDataFrame([(i, f"f{j}", float(h[i, j])) for i in range(8) for j in range(12) if h[i, j]], "i long, f string, v double")
+    close(kernels.intersection(counts), np.minimum(h[:, None, :], h[None, :, :]).sum(axis=2))
+    sets = [set(np.flatnonzero(row).tolist()) for row in x]
+    items = spark.createDataFrame([(i, f"x{v}") for i, s in enumerate(sets) for v in s for _ in range(1 + v % 2)], "i long, item string")
+    close(kernels.set_intersection(items), [[len(a & b) for b in sets] for a in sets])
 
 
 def test_empirical_and_pairwise(spark):
-    band = [[1, 0.5, 0, 0], [0.5, 1, 0.5, 0], [0, 0.5, 1, 0.5], [0, 0, 0.5, 1]]
-    close(kernels.empirical(cells(spark, band), spark.createDataFrame([(0, 1), (1, 2)], "position long, row long")), [[1.5, 1], [1, 1.5]])
-    pairs = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)], "s long, i long, j long")
-    k = cells(spark, [[0, 1], [2, 3]])
-    close(kernels.pairwise(pairs, k), [[0, 0, 0, 2], [0, 2, 2, 6], [0, 2, 2, 6], [8, 12, 12, 18]])
-    close(kernels.pairwise(pairs, k, "sum"), [[0, 2, 2, 4], [4, 6, 6, 8], [4, 6, 6, 8], [8, 10, 10, 12]])
+    m = random_kernel(6, 4)
+    anchors = [(0, 4), (1, 1), (2, 5)]
+    picked = m[[row for _, row in anchors]]
+    close(kernels.empirical(cells(spark, m), spark.createDataFrame(anchors, "position long, row long")), picked @ picked.T)
+    named = [(0, 2), (3, 5), (1, 1), (4, 0), (5, 2)]
+    pairs = spark.createDataFrame([(s, i, j) for s, (i, j) in enumerate(named)], "s long, i long, j long")
+    close(kernels.pairwise(pairs, cells(spark, m)), [[m[i, n] * m[j, q] + m[i, q] * m[j, n] for n, q in named] for i, j in named])
+    close(kernels.pairwise(pairs, cells(spark, m), "sum"), [[m[i, n] + m[j, q] + m[i, q] + m[j, n] for n, q in named] for i, j in named])
     with pytest.raises(ValueError):
-        kernels.pairwise(pairs, k, "max")
+        kernels.pairwise(pairs, cells(spark, m), "max")
 
 
 def test_colocalization(spark):
@@ -139,40 +158,68 @@ def texts(spark, *values):
     return spark.createDataFrame(list(enumerate(values)), "i long, s string")
 
 
-@pytest.mark.parametrize(
-    ("values", "k", "wanted"),
-    [
-        (("A", "A"), 1, [[1, 1], [1, 1]]), (("A", "Y"), 1, [[1, 0], [0, 1]]), (("AA", "AA"), 1, [[4, 4], [4, 4]]), (("AA", "YY"), 1, [[4, 0], [0, 4]]),
-        (("AA", "AA"), 2, [[1, 1], [1, 1]]), (("AA", "YY"), 2, [[1, 0], [0, 1]]), (("AY", "YA"), 1, [[2, 2], [2, 2]]), (("AY", "AA"), 1, [[2, 2], [2, 4]]),
-        (("A" * 10, "Y" * 10), 1, [[100, 0], [0, 100]]), (("AY" * 5, "AY" * 5), 1, [[50, 50], [50, 50]]), (("AY" * 5, "YA" * 5), 2, [[41, 40], [40, 41]]),
-    ],
-)
-def test_spectrum(spark, values, k, wanted):
-    close(strings.spectrum(texts(spark, *values), k), wanted)
+def grams(values, k):
+    """Counts of the k-mers of each string."""
+    return [Counter(v[o : o + k] for o in range(len(v) - k + 1)) for v in values]
+
+
+def gram(counts):
+    return [[sum(n * b[f] for f, n in a.items()) for b in counts] for a in counts]
+
+
+def random_strings(n, seed, alphabet="ACDK"):
+    r = random.Random(seed)
+    return ["".join(r.choices(alphabet, k=r.randint(4, 11))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_spectrum(spark, k):
+    values = random_strings(6, k)
+    close(strings.spectrum(texts(spark, *values), k), gram(grams(values, k)))
+
+
+def test_spectrum_of_an_alphabet(spark):
+    values = random_strings(5, 9, "ACDX")
+    close(strings.spectrum(texts(spark, *values), 2, "ACD"), gram([Counter({f: n for f, n in c.items() if "X" not in f}) for c in grams(values, 2)]))
+
+
+@pytest.mark.parametrize(("k", "m"), [(1, 0), (1, 1), (2, 1), (3, 1), (3, 2)])
+def test_mismatch(spark, k, m):
+    values = random_strings(4, 10 * k + m)
+    leaves = ["".join(x) for x in product("ACDK", repeat=k)]
+    near = [Counter({f: sum(n for g, n in c.items() if sum(a != b for a, b in zip(f, g, strict=True)) <= m) for f in leaves}) for c in grams(values, k)]
+    close(strings.mismatch(texts(spark, *values), k, m, "ACDK"), gram(near))
 
 
-def test_mismatch_and_profile(spark):
-    df = texts(spark, "A", "Y")
-    close(strings.mismatch(df, 1, 0), np.eye(2))
-    close(strings.mismatch(df, 1, 1), np.full((2, 2), 20))
-    profiles = spark.createDataFrame([(0, 0, "A", [0.0] + [1.0] * 19), (1, 0, "Y", [1.0] * 19 + [0.0])], "i long, pos int, residue string, scores array<double>")
-    close(strings.profile(profiles, 1, 0.0), np.eye(2))
-    close(strings.profile(profiles, 1, 0.95), np.eye(2))
-    close(strings.profile(profiles, 1, 1.0), np.full((2, 2), 20))
+@pytest.mark.parametrize("threshold", [0.3, 0.9, 1.4, 3.0])
+def test_profile(spark, threshold):
+    r = np.random.default_rng(5)
+    costs = [r.random((n, 3)) for n in (3, 5, 4)]
+    found = []
+    for c in costs:
+        counts = Counter()
+        for o in range(len(c) - 1):
+            for a, b in product(range(3), repeat=2):
+                if c[o, a] + c[o + 1, b] <= threshold:
+                    counts[a, b] += 1
+        found.append(counts)
+    profiles = spark.createDataFrame([(i, pos, "A", row.tolist()) for i, c in enumerate(costs) for pos, row in enumerate(c)], "i long, pos int, residue string, scores array<double>")
+    close(strings.profile(profiles, 2, threshold, "ACD"), gram(found))
 
 
 def test_string_arguments(spark):
-    df = texts(spark, "AA", "AAA")
-    for k, alphabet in ((0, "AB"), (3, "AB"), (1, "A")):
+    df = texts(spark, "KDCA", "CKD")
+    for k, alphabet in ((-1, "CDK"), (4, "CDK"), (2, "KK")):
         with pytest.raises(ValueError):
             strings.spectrum(df, k, alphabet)
-    for k in (1, 2):
-        assert strings.kmers(texts(spark, *["ACDEF"] * 4), k).count() == 4 * (5 - k + 1)
-    close(strings.spectrum(texts(spark, "AC", "AD"), 1, least=2), [[1, 1], [1, 1]])
+    values = random_strings(5, 12)
+    assert strings.kmers(texts(spark, *values), 3).count() == sum(len(v) - 2 for v in values)
+    total = sum(grams(values, 2), Counter())
+    close(strings.spectrum(texts(spark, *values), 2, least=3), gram([Counter({f: n for f, n in c.items() if total[f] >= 3}) for c in grams(values, 2)]))
 
 
 def test_kernels_are_symmetric(spark):
-    df = texts(spark, "ACDCA", "CADDA", "DDDCA")
+    df = texts(spark, *random_strings(3, 13))
     for k in (strings.spectrum(df, 2), strings.mismatch(df, 2, 1)):
         m = dense(k, 3)
         assert np.allclose(m, m.T)
