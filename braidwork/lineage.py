@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Without that setting only a session that is one process (``local[...]``, as in tests) gets a folder of its own:
+    executors of a cluster would not see it.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="braidwork-")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder of ``spark.checkpoint.dir``; a session without one gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint. Spark removes its files when the table is no longer referred to, if its context cleaner is told to."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidwork-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
