@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
@@ -23,6 +25,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function of ``mapInArrow`` whose worker gives memory back at the end of a task; workers live on for other tasks."""
+
+    @wraps(run)
+    def outer(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # no glibc
+
+    return outer
+
+
 def rows_of(batch: pa.RecordBatch, text: str | pa.Array = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``most_bytes``; a longer text comes alone."""
     column = batch.column(text) if isinstance(text, str) else text

@@ -10,9 +10,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_chars
-from .common import materialize, rows_of, utf8
-from .wordhash import Words, hashes
-
-#: Words of which a worker remembers the ids, in each of two generations.
-CACHE = 400_000
+from .common import lean, materialize, rows_of, utf8
+from .wordhash import Words, distinct
+
+#: Bytes that a worker spends on words whose ids it remembers, in each of two generations.
+CACHE = 24 << 20
+#: What a remembered word takes besides its bytes and ids; longer words than these many bytes aren't remembered.
+ENTRY, LONGEST = 150, 64
+#: Bytes of text that are encoded at once, or one longer text.
+SLICE = 2 << 20
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
-_STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-_STOP[list(b".,")] = True
+#: Words that fall into pieces of letters, single digits, and signs, and these pieces; an apostrophe is left to the library.
+_MIXED, _PIECE = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+"), re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_SIGN, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 _PLACED = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long, part int, local_rank long"
@@ -39,10 +45,10 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that lowers letters and drops white space.
 
     Such a tokenizer never merges over white space, so a text's ids are those of its words in order, and
-    each different word of a slice of texts is looked up once. To meet fewer different words, a full stop or
-    comma behind an ASCII letter or digit counts as a word (it is a piece of its own in any case), and A-Z are
+    each different word of a slice of texts is looked up once. To meet fewer different words, signs at the end of
+    a word behind an ASCII letter or digit count as a word (they are a piece of their own in any case), and A-Z are
     lowered, except in texts that may hold the name of a special token, which is case-sensitive. Words of a
-    slice are told apart by 64-bit hashes.
+    slice are told apart by their bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,9 +58,12 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         #: Ids are kept in two bytes if they fit.
-        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+        #: Of signs, digits and short runs of letters.
+        self.pieces: dict[str, bytes] = {}
 
         # Words of small letters need no normalising and are one piece, so the model can be asked at once. Whether
         # this tokenizer is of that kind is tried out on such letters.
@@ -62,50 +71,84 @@ class WordEncoder:
         self.simple = _SIMPLE
         letters = [*map(chr, range(97, 123)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
         tried = letters + [a + b for a in letters for b in letters[::3]]
-        if any(self._ids(w) != tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in tried):
+        if any(self._ids(w) != self._library(w) for w in tried):
             self.simple = re.compile("(?!)")
-
-    def _ids(self, word: str) -> tuple[int, ...]:
+        # Whether signs and digits part words as ``_PIECE`` has it is tried out as well.
+        self.mixed = _MIXED
+        signs = [chr(c) for c in np.flatnonzero(_SIGN) if chr(c) != "'"]
+        tried = signs + [x + y for x in ["a", "7", "é", *signs] for y in ["b", "8", "ü", *signs]] + ["a.b", "a1b22", "--a==b;", "3.14", "x_1-y"]
+        if self.simple is not _SIMPLE or any([i for x in _PIECE.findall(w) for i in self._library(x)] != self._library(w) for w in tried):
+            self.mixed = re.compile("(?!)")
+        # And whether signs at the end are parted from a letter or digit, an apostrophe among them.
+        self.parts = all(self._library(w + x + y) == self._library(w) + self._library(x + y) for w in ("a", "z9") for x in ["", "'", *signs] for y in ["'", *signs])
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids(self, word: str) -> list[int]:
         """Of a simple word."""
         spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.characters)
-        return tuple([t.id for t in self.model.tokenize(spelled)])
-
-    def _look_up(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        if len(self.young) + len(words) > CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for w in words:
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                    continue
-                text = w.decode("utf-8", "replace")
-                if self.simple.fullmatch(text):
-                    young[w] = self._ids(text)
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def _piecewise(self, text: str) -> bytes:
+        out = []
+        for x in _PIECE.findall(text):
+            if (ids := self.pieces.get(x)) is None:
+                ids = array(self.kind, self._ids(x) if self.simple.fullmatch(x) else self._library(x)).tobytes()
+                if len(x) <= 3:
+                    if len(self.pieces) > 20_000:
+                        self.pieces.clear()
+                    self.pieces[x] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word."""
+        out = [*map(self.young.get, words)]
+        new: list[tuple[int, str]] = []
+        kind, old, simple, mixed, tokenize = self.kind, self.old.get, self.simple.fullmatch, self.mixed.fullmatch, self._ids
+        fresh = [k for k, ids in enumerate(out) if ids is None]
+        for k in fresh:
+            if (ids := old(words[k])) is None:
+                text = words[k].decode("utf-8", "replace")
+                if simple(text):
+                    ids = array(kind, tokenize(text)).tobytes()
+                elif mixed(text):
+                    ids = self._piecewise(text)
                 else:
-                    new.append((w, text))
-        for (w, _), e in zip(new, self.tokenizer.encode_batch_fast([x for _, x in new], add_special_tokens=False), strict=True):
-            young[w] = tuple(e.ids)
-        return [young[w] for w in words]
+                    new.append((k, text))
+            out[k] = ids
+        for (k, _), e in zip(new, self.tokenizer.encode_batch_fast([x for _, x in new], add_special_tokens=False), strict=True):
+            out[k] = array(kind, e.ids).tobytes()
+        for k in fresh:
+            if len(words[k]) <= LONGEST:
+                self.held += ENTRY + len(words[k]) + len(out[k])
+                if self.held > CACHE:
+                    self.old, self.young, self.held = self.young, {}, 0
+                self.young[words[k]] = out[k]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [t if b"<|" not in t else b"" for t in texts]
         words = Words(plain, lower=True)
-        data, starts, ends = words.data, words.starts, words.ends
-        last, before = data[ends - 1] if len(ends) else starts, data[np.maximum(ends - 2, 0)] if len(ends) else starts
-        parted = _STOP[last] & _PLAIN[before] & (ends - starts > 1)
+        data, starts, ends = words.folded, words.starts, words.ends
+        # Where the signs at the end of a word begin, if something plain is before them.
+        cut = ends
+        if self.parts and len(ends):
+            last = np.where(_SIGN[data], 0, np.arange(1, len(data) + 1, dtype=np.int32))
+            cut = np.maximum.accumulate(last)[ends - 1].astype(np.int64)
+            cut = np.where((cut > starts) & _PLAIN[data[np.maximum(cut - 1, 0)]], cut, ends)
+        parted = cut < ends
         doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
         take = np.repeat(np.arange(len(starts)), 1 + parted)
         tail = np.zeros(len(take), bool)
         tail[1:] = take[1:] == take[:-1]
-        starts, ends, doc = np.where(tail, ends[take] - 1, starts[take]), np.where(parted[take] & ~tail, ends[take] - 1, ends[take]), doc[take]
-        keys = hashes(data, starts, ends, lower=True)
-        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        starts, ends, doc = np.where(tail, cut[take], starts[take]), np.where(tail, ends[take], cut[take]), doc[take]
+        at, inverse = distinct(data, starts, ends)
         raw = data.tobytes()
-        found = self._look_up([raw[a:b].lower() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        found = self._look_up([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.array([len(x) for x in found], np.int64) // flat.itemsize
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         own = sizes[inverse]
         place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[inverse], own)
@@ -124,12 +167,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _cut(path: str, end_id: int, room: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         part, end = TaskContext.get().partitionId(), np.array([end_id], words.kind)
         ranks = np.zeros(room + 1, np.int64)
         for batch in batches:
-            for rows in rows_of(batch):
+            for rows in rows_of(batch, "text", SLICE):
                 ids, starts, sizes, pieces, totals, local = [], [], [], [], [], []
                 for i, found in zip(rows.column("id").to_pylist(), words.encode(utf8(rows.column("text"))), strict=True):
                     whole = np.append(found, end)

@@ -1,18 +1,22 @@
 """Words of many texts at once: boundaries and 64-bit hashes as numpy arrays.
 
 A word is a maximal run of bytes other than the six ASCII white-space characters, which in UTF-8 is the
-same as a run of such code points. Hashes depend on the bytes of a word only, on no process and no seed.
+same as a run of such code points. Hashes depend on the bytes of a word only, on no process.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
+from functools import cached_property
 
 import numpy as np
 
-BLOCK = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D  # odd, hence invertible modulo 2**64
+#: Bytes of a word that are hashed eight at a time for all words at once; longer words are hashed one by one.
+SHORT = 64
+#: Words per round, so that temporaries stay small.
+ROUND = 1 << 17
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,24 +36,8 @@ def constants(n: int, salt: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 20)) * _GOLDEN) | np.uint64(1)
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(BLOCK + 1, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
-@lru_cache(maxsize=2)
-def _byte_values(lower: bool) -> np.ndarray:
-    values = constants(256, 7)
-    if lower:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -68,29 +56,80 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """One hash a word, computed block by block so that temporaries stay small."""
+class Lanes:
+    """The bytes of all words, eight at a time."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def take(self, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of words that have more than 8 k."""
+        return self.at[starts + 8 * k] & _TAIL[np.minimum(sizes - 8 * k, 8)]
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One hash a word; those of two salts are independent of each other.
+
+    Short words: their bytes, eight at a time, go through a chain of bijective mixers, so that words of up to eight
+    bytes and one length never agree. Long ones: BLAKE2b.
+    """
     out = np.empty(len(starts), np.uint64)
-    values, (up, down) = _byte_values(lower), _powers()
-    at = 0
+    lanes = Lanes(data)
+    first, second = constants(2, 51 + salt)
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            origin = int(starts[at])
-            stop = max(at + 1, int(np.searchsorted(ends, origin + BLOCK, "right")))
-            size = int(ends[stop - 1]) - origin
-            if size > BLOCK:  # a single word that is longer than a block
-                total = np.uint64(0)
-                for k in range(0, size, BLOCK):
-                    part = values[data[origin + k : origin + min(size, k + BLOCK)]]
-                    total = (total * np.uint64(pow(_BASE, len(part), 1 << 64))) + (part * up[: len(part)]).sum(dtype=np.uint64)
-                out[at] = total + np.uint64(size)
-            else:
-                running = np.zeros(size + 1, np.uint64)
-                np.cumsum(values[data[origin : origin + size]] * up[:size], out=running[1:])
-                s, e = starts[at:stop] - origin, ends[at:stop] - origin
-                out[at:stop] = (running[e] - running[s]) * down[s] + (e - s).astype(np.uint64)
-            at = stop
-        return mix(out)
+        for a in range(0, len(starts), ROUND):
+            at, sizes = starts[a : a + ROUND], ends[a : a + ROUND] - starts[a : a + ROUND]
+            state = sizes.astype(np.uint64) * _GOLDEN + first
+            own = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+            for k in range(SHORT // 8):
+                if not len(own):
+                    break
+                state[own] = mix(state[own] ^ lanes.take(at[own], sizes[own], k)) * second + first
+                own = own[sizes[own] > 8 * k + 8]
+            out[a : a + ROUND] = mix(state)
+    raw = memoryview(data)
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, one for each different word, and for each word which of these it is; told apart by their bytes."""
+    keys = hashes(data, starts, ends)
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    at, inverse = order[head], np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(head) - 1
+    sizes = ends - starts
+    same = sizes == sizes[at][inverse]
+    lanes = Lanes(data)
+    own = np.flatnonzero(same & (sizes > 0) & (sizes <= SHORT))
+    k = 0
+    while len(own):
+        first = at[inverse[own]]
+        same[own] = lanes.take(starts[own], sizes[own], k) == lanes.take(starts[first], sizes[own], k)
+        own = own[same[own] & (sizes[own] > 8 * k + 8)]
+        k += 1
+    raw = memoryview(data)
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        j = int(at[inverse[i]])
+        same[i] = i == j or raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]]
+    if same.all():
+        return at, inverse
+    # Two words of one hash: all are told apart one by one.
+    known: dict[bytes, int] = {}
+    first_places: list[int] = []
+    inverse = np.empty(len(starts), np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        word = bytes(raw[a:b])
+        if word not in known:
+            known[word] = len(first_places)
+            first_places.append(i)
+        inverse[i] = known[word]
+    return np.array(first_places, np.int64), inverse
 
 
 def windows(words: np.ndarray, width: int, salt: int) -> np.ndarray:
@@ -104,16 +143,25 @@ def windows(words: np.ndarray, width: int, salt: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a list of texts (UTF-8 bytes)."""
+    """The words of a list of texts (UTF-8 bytes), and their hashes. With ``lower``, these are of words with A-Z lowered."""
 
     def __init__(self, texts: list[bytes], lower: bool = False) -> None:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
+        #: What is hashed.
+        self.folded = _LOWER[self.data] if lower else self.data
         self.bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=self.bounds[1:])
         self.starts, self.ends = spans(self.data, self.bounds)
-        self.hashes = hashes(self.data, self.starts, self.ends, lower)
         #: Word k of text i is number first[i] + k.
         self.first = np.searchsorted(self.starts, self.bounds)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hashes(self.folded, self.starts, self.ends)
+
+    def other_hashes(self) -> np.ndarray:
+        """Hashes that are independent of ``hashes``."""
+        return hashes(self.folded, self.starts, self.ends, 1)
+
     def of(self, i: int) -> slice:
         return slice(int(self.first[i]), int(self.first[i + 1]))
