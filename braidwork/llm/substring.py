@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, utf8
+from .common import utf8
 from .wordhash import Words, windows
 
+#: Bytes of text in a block. A task holds one at a time, and takes about twenty times as much memory for it.
+BLOCK_BYTES = 4 << 20
 #: A difference cover for each period: its differences give every residue.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 
@@ -105,8 +107,9 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def _window_keys(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits a window, of two hashes a word that are independent."""
     low = windows(words.hashes, width, 2)
-    return low, (windows(words.hashes, width, 3) >> np.uint64(32)).astype(np.uint32)
+    return low, (windows(words.other_hashes(), width, 3) >> np.uint64(32)).astype(np.uint32)
 
 
 def _extend(width: int, period: int, buckets: int):
@@ -217,12 +220,15 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives no rows.
 
     The texts are shuffled once, by block, and read thrice from that. Keys: 64 bits for an anchor, which
-    decides only what is compared further, and 96 bits for a window. A block is to fit in a task's memory,
-    as is a bucket; by default there are two of each a shuffle partition. Blocks times buckets is the most
-    rows that a step sends.
+    decides only what is compared further, and 96 bits for a window, from two independent hashes of each word.
+    Blocks are of ``BLOCK_BYTES`` on the average, whatever the input (its size is one sum over the column), and
+    there are as many buckets, so that these are of bounded size too. A step sends at most a row for each
+    block and bucket, and none without an anchor in it: in proportion to the text at most.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    blocks, buckets = blocks or 2 * n, buckets or 2 * n
+    if blocks is None:
+        size = docs.agg(F.sum(F.octet_length(docs[text_col]).cast("long")).alias("size")).first()["size"] or 0
+        blocks = -(-size // BLOCK_BYTES) or 1
+    buckets = buckets or blocks
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # Rows without id are told apart by their text only to spread them.
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)))
