@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, rows_of, utf8
+from .common import SPACE, lean, materialize, rows_of, utf8
 
 _STRIP = SPACE.encode()
 
@@ -28,6 +28,7 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _keys(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_of(batch, "text", 8 << 20):
@@ -43,6 +44,7 @@ def _keys(min_chars: int):
 
 
 def _rewrite(min_chars: int, text_col: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_of(batch, batch.column("row").field(text_col), 8 << 20):
@@ -73,15 +75,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that repeat an id are one document for the counts. Since the row travels as a struct, any column
     names are fine. Empty tables give no rows.
 
-    Only (id, 128-bit key) pairs are shuffled for the counts, and each document sends a key once. The count
-    is distinct by (key, id) first, so a line that a third of all documents hold is dealt out by id and
-    summed before its key meets in one place. Joining the few repeated keys back to the pairs is a plain
-    equi-join whose hot keys adaptive execution splits.
+    Keys are read once, each document sending a key once: only (id, 128-bit key) pairs are checkpointed and
+    shuffled. The count is distinct by (key, id) first, so a line that a third of all documents hold is dealt out by id
+    and summed before its key meets in one place. The repeated keys are checkpointed before they are joined back, so
+    that both sides of that join are shuffled for it alone, and adaptive execution splits a hot key's pairs.
     """
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
-    pairs = texts.mapInArrow(_keys(min_chars), "id long, k0 long, k1 long")
+    pairs = materialize(texts.mapInArrow(_keys(min_chars), "id long, k0 long, k1 long"))
     repeated = pairs.groupBy("k0", "k1").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
+    repeated = materialize(repeated.select("k0", "k1", "last"))
     dropped = (
         pairs.join(repeated, ["k0", "k1"])
         .where("id <> last")
@@ -94,7 +97,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """``docs`` with the text rewritten; n_chars, if there is such a column, follows the text."""
+    """``docs`` with the text rewritten; n_chars, if there is such a column, follows the text.
+
+    All rows and columns stay, whatever their names; a null text stays null, a row without id unchanged, and rows that
+    repeat an id are rewritten alike. An empty table gives no rows. See ``drop_repeated_lines``.
+    """
     done = drop_repeated_lines(docs, id_col, text_col, **limits)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row")[text_col])
     change = {text_col: text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
