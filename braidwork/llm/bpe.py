@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, utf8
+from .common import lean, rows_of, utf8
 
 #: White space as the splitting pattern of the public tokenizers sees it.
 _S = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -192,6 +192,7 @@ def vocabulary(path: str) -> Bpe:
 
 
 def _encode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
@@ -203,6 +204,7 @@ def _encode(path: str):
 
 
 def _decode(path: str, ids_col: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
@@ -224,7 +226,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the text that its ids spell, special tokens included, as ``decoded``."""
+    """``encoded`` with the text that its ids spell, special tokens included, as ``decoded``.
+
+    Null ids are none, and spell an empty text; ids that the vocabulary lacks are skipped. Rows are decoded alone; an empty
+    table gives no rows. ``encoded`` is not to have a column ``decoded``.
+    """
     fields = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(_decode(path, ids_col), fields)
 

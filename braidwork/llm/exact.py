@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_REGEX, materialize, shuffle_partitions
+from .common import SPACE_REGEX, lean, materialize, shuffle_partitions
 
 _RUNS = "id long, part int, run long, head boolean, low long, size long, digest string, edge string"
 
 
+@lean
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal texts of one sorted range."""
     part = TaskContext.get().partitionId()

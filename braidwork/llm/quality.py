@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, utf8
+from .common import lean, rows_of, utf8
 from .wordhash import Words, mix
 
 FEATURES = (
@@ -219,6 +219,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
+@lean
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in rows_of(batch):
@@ -246,6 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(model: Field, text_col: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_of(batch, batch.column("row").field(text_col), 1 << 20):
@@ -267,6 +269,10 @@ def score_quality(docs: DataFrame, model: Field, text_col: str = "text") -> Data
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``."""
+    """The rows of ``docs`` whose score reaches ``threshold``.
+
+    Each row is judged alone, by its text, a null one being empty; rows with null or repeated ids are judged like others.
+    All columns are passed on, whatever their names. An empty table gives no rows.
+    """
     done = score_quality(docs, train(docs, labels))
     return done.where(F.col("score") >= threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: Dimensions in a block.
 BLOCK = 8
@@ -24,6 +24,7 @@ _LIMIT = float(1 << 62)
 
 
 def _quantise(scale: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, values = [], [], []
