@@ -25,6 +25,8 @@ def main(arguments: list[str] | None = None) -> int:
         if name != "clear":
             command.add_argument("input", help="a folder of triples" if name == "load" else "the query")
         command.add_argument("--graph", default=DEFAULT_GRAPH)
+        if name == "query":
+            command.add_argument("--output", help="a folder for the rows, instead of printing them")
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("braidwork").getOrCreate()
     if args.command == "convert":
@@ -35,7 +37,13 @@ def main(arguments: list[str] | None = None) -> int:
     if args.command == "load":
         store.load(spark.read.parquet(args.input), args.graph)
     elif args.command == "query":
-        sparql.run(lambda g: store.graph(g or args.graph), args.input).show(1000, truncate=False)
+        rows = sparql.run(lambda g: store.graph(g or args.graph), args.input)
+        if args.output:
+            rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(args.output)
+        else:
+            print(*rows.columns, sep="\t")
+            for row in rows.toLocalIterator():  # all rows, of which the driver holds a partition at a time
+                print(*row, sep="\t")
     else:
         store.clear(args.graph)
     return 0

@@ -73,9 +73,9 @@ def psimi_confidence(text: Column) -> Column:
     return F.transform(F.filter(psimi_parts(text), lambda x: F.startswith(x, F.lit(mark))), lambda x: F.substr(x, F.lit(len(mark) + 1)))
 
 
-def psimi_bool(text: Column) -> Column:
-    """true or false; a missing column is null and anything else an error."""
-    return F.when(text.isNull(), F.lit(None).cast("boolean")).when(text == "true", True).when(text == "false", False).otherwise(F.raise_error(F.concat(F.lit("no boolean: "), text)).cast("boolean"))
+def psimi_bool(text: Column, skip: tuple[str, ...] = ()) -> Column:
+    """true or false; what is missing or in ``skip`` is null and anything else an error."""
+    return F.when(text.isNull() | text.isin(*skip), F.lit(None).cast("boolean")).when(text == "true", True).when(text == "false", False).otherwise(F.raise_error(F.concat(F.lit("no boolean: "), text)).cast("boolean"))
 
 
 def pdb_chain(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decay
+from ..lineage import materialize
 
 
 def mirror(lower: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def total(*kernels: DataFrame) -> DataFrame:
 
 
 def label_kernel(labels: DataFrame) -> DataFrame:
-    """The outer product of labels (i, y)."""
+    """The outer product of labels (i, y), which is quadratic by its nature; the labels are all that is sent to each task."""
     return labels.select("i", "y").crossJoin(labels.select(F.col("i").alias("j"), F.col("y").alias("w"))).select("i", "j", (F.col("y") * F.col("w")).cast("double").alias("k"))
 
 
@@ -259,6 +260,25 @@ def precomputed(rows: DataFrame) -> DataFrame:
     return rows.select("i", F.posexplode("row").alias("j", "k")).select("i", F.col("j").cast("long").alias("j"), F.col("k").cast("double").alias("k")).where("k <> 0")
 
 
+def pssm(entities: DataFrame, profiles: DataFrame, k: int = 2, threshold: float = 6.0) -> DataFrame:
+    """The profile kernel of entities (i, p) over the scoring matrices that ``sources.files.pssm`` reads, named ``p.pssm``."""
+    from .strings import profile
+
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    rows = profiles.select(name.alias("p"), "pos", "residue", F.col("costs").alias("scores")).join(entities, "p")
+    return profile(rows.select("i", "pos", "residue", "scores"), k, threshold)
+
+
+def prepared(kernel: DataFrame, size: int, normalized: bool = False, fixed: bool = False, limit: int = 4096) -> DataFrame:
+    """A kernel of ``size`` entities, 2 at least, fixed up and then normalised if asked for, and kept for its users."""
+    if size < 2:
+        raise ValueError("a kernel needs two entities")
+    if kernel.where(f"i < 0 OR j < 0 OR i >= {int(size)} OR j >= {int(size)}").limit(1).count():
+        raise ValueError(f"a cell lies outside of {size} entities")
+    kernel = fixup(kernel, size, limit=limit) if fixed else kernel
+    return materialize(normalize(kernel) if normalized else kernel)
+
+
 def interpro(entities: DataFrame, hits: DataFrame, mode: str = "match", sources: list[str] | None = None, default_score: float = 1.0) -> DataFrame:
     """Kernels on domain hits (p, DB, FAMILY, EVALUE) of entities (i, p); entities without hits have no cells.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import materialize
+
 
 def symmetrize(pairs: DataFrame) -> DataFrame:
     """Both orientations, once each."""
@@ -49,35 +51,47 @@ def permute(rows: DataFrame, seed: int, *columns: str) -> DataFrame:
     return rows.orderBy(shuffled(seed, *columns), *columns)
 
 
+def drawn(n_entities: int, draws: int, seed: int, spark: SparkSession) -> DataFrame:
+    """(draw, a, b): the first of an endless row of pairs of places below ``n_entities``, which digests of the draw's number give."""
+    def place(end: str) -> Column:
+        return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(end), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long"), F.lit(n_entities))
+
+    return spark.range(draws).toDF("draw").select("draw", place("a").alias("a"), place("b").alias("b"))
+
+
 def sample_negatives(entities: DataFrame, known: DataFrame, n_pairs: int, seed: int = 0, oversample: float = 4.0) -> DataFrame:
     """``n_pairs`` // 2 pairs p < q that are not ``known`` in either orientation, and their mirrors.
 
-    Candidates are drawn by rank: entities get a number, and random numbers of pairs are turned into two of
-    them, so the full product is never made. Draws are repeated with another seed until there are enough, or
-    no pairs are left. The choice depends on the seed and the names only.
+    One rule for all sizes: entities are numbered by name, draws give pairs of numbers, and the first different pairs
+    that are neither known nor an entity with itself are chosen. So neither the full product is made, nor does the
+    number of draws that are looked at matter; it doubles until there are enough pairs. If fewer are left than
+    wanted, all of these are the result.
     """
     spark = entities.sparkSession
-    names = entities.select("p").distinct()
+    names = materialize(entities.select("p").distinct())
     n = names.count()
     wanted, possible = n_pairs // 2, n * (n - 1) // 2
-    taken = canonical(known).where("p <> q")
-    indexed = number(names, "p")
-    if possible <= max(1000, 8 * wanted):
-        left = indexed.select("p").crossJoin(indexed.select(F.col("p").alias("q"))).where("p < q").join(taken, ["p", "q"], "left_anti")
-    else:
-        draws = int(oversample * wanted) + 100
-        rank = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(possible))
-        # Pairs (a, b) with a > b, counted a by a: number r has a = floor((1 + sqrt(1 + 8 r)) / 2).
-        drawn = spark.range(draws).select(rank.alias("r")).distinct()
-        drawn = drawn.withColumn("a", F.floor((1 + F.sqrt(1 + 8 * F.col("r").cast("double"))) / 2))
-        drawn = drawn.withColumn("a", F.col("a") + F.when(F.col("a") * (F.col("a") + 1) / 2 <= F.col("r"), 1).otherwise(0) - F.when(F.col("a") * (F.col("a") - 1) / 2 > F.col("r"), 1).otherwise(0))
-        drawn = drawn.withColumn("b", F.col("r") - (F.col("a") * (F.col("a") - 1) / 2).cast("long"))
-        x, y = indexed.toDF("x", "a"), indexed.toDF("y", "b")
-        left = drawn.join(x, "a").join(y, "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).join(taken, ["p", "q"], "left_anti")
-        if oversample < 1e6 and left.count() < wanted:
-            return sample_negatives(entities, known, n_pairs, seed + 1, oversample * 4)
-    chosen = left.orderBy(shuffled(seed, "p", "q"), "p", "q").limit(wanted)
-    return symmetrize(chosen)
+    ends = names.select(F.col("p").alias("q"))
+    taken = materialize(canonical(known).where("p < q").join(names, "p", "left_semi").join(ends, "q", "left_semi"))
+    wanted = min(wanted, possible - taken.count())
+    if wanted <= 0:
+        return symmetrize(taken.limit(0))
+    indexed = materialize(number(names, "p"))
+    x, y = indexed.toDF("x", "a"), indexed.toDF("y", "b")
+    draws = int(oversample * wanted) + 100
+    while True:
+        pairs = drawn(n, draws, seed, spark).where("a <> b").join(x, "a").join(y, "b")
+        pairs = pairs.groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(F.min("draw").alias("draw"))
+        pairs = materialize(pairs.join(taken, ["p", "q"], "left_anti"))
+        if pairs.count() >= wanted:
+            break
+        draws *= 2
+    # The last draw that is needed, by halving: each step counts, and no task gets all pairs.
+    low, high = 0, draws - 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if pairs.where(F.col("draw") <= middle).count() >= wanted else (middle + 1, high)
+    return symmetrize(pairs.where(F.col("draw") <= low).select("p", "q"))
 
 
 def number(rows: DataFrame, column: str) -> DataFrame:
@@ -85,8 +99,6 @@ def number(rows: DataFrame, column: str) -> DataFrame:
 
     A range partitioning sorts; tasks number their own rows, and offsets come from the tasks' counts.
     """
-    from ..lineage import materialize
-
     part = materialize(rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()))
     counts = part.groupBy("part").count()
     # One row a task, so the window over all of them is small.

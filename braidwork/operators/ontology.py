@@ -69,6 +69,16 @@ def annotate(terms: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataF
     return rows.join(terms.select("id"), "id", "left_semi"), rows.join(terms.select("id"), "id", "left_anti")
 
 
+def inverted(annotations: DataFrame) -> DataFrame:
+    """(p, ids): the sorted terms of each protein."""
+    return annotations.groupBy("p").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def by_level(levels: DataFrame) -> DataFrame:
+    """(level, ids): the sorted terms of each level, the levels in order."""
+    return levels.groupBy("level").agg(F.sort_array(F.collect_set("id")).alias("ids")).orderBy("level")
+
+
 def propagate(annotations: DataFrame, edges: DataFrame) -> DataFrame:
     """Every ancestor over is_a gets a term's proteins."""
     up = closure(edges)
@@ -82,7 +92,8 @@ def prune(terms: DataFrame, edges: DataFrame, annotations: DataFrame, aspects: l
     a kept term's removed is_a children make a bin term below it if they are at least ``min_annot`` (or 1) and
     the term is not at ``max_depth``. The bin ``BN:x`` of the term ``y:x`` has the same namespace.
     """
-    counts = annotations.groupBy("id").agg(F.countDistinct("p").alias("n"))
+    annotations = materialize(annotations.select("id", "p").distinct())  # used in several places below
+    counts = annotations.groupBy("id").agg(F.count("*").alias("n"))
     level = levels(terms, edges) if "level" not in terms.columns else None
     rows = terms if level is None else terms.join(level, "id")
     rows = rows.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -93,11 +104,12 @@ def prune(terms: DataFrame, edges: DataFrame, annotations: DataFrame, aspects: l
         keep = keep & (F.col("level") <= max_depth)
     if min_annot is not None:
         keep = keep & (F.col("n") >= min_annot)
-    kept = rows.where(keep).select("id", "name", "namespace", "level")
+    kept = materialize(rows.where(keep).select("id", "name", "namespace", "level"))
     kept_ids = kept.select("id")
     edges_kept = edges.join(kept_ids.withColumnRenamed("id", "child"), "child", "left_semi").join(kept_ids.withColumnRenamed("id", "parent"), "parent", "left_semi")
     lost = edges.where(F.col("relation") == IS_A).join(kept_ids.withColumnRenamed("id", "child"), "child", "left_anti").select("parent", F.col("child").alias("id")).distinct()
     gathered = lost.join(annotations, "id").join(kept.select(F.col("id").alias("parent"), "namespace", "level"), "parent").select("parent", "namespace", "level", "p").distinct()
+    gathered = materialize(gathered)
     if max_depth is not None:
         gathered = gathered.where(F.col("level") != max_depth)
     large = gathered.groupBy("parent", "namespace", "level").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, min_annot or 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import sparse_linear
@@ -10,6 +10,27 @@ from .kernels import sparse_linear
 # The amino acids by letter, and by their place in position-specific scoring matrices.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 PSSM_ORDER = "ARNDCQEGHILKMFPSTWYV"
+# The amino acids' three-letter names, and how frequent they are in sequences, by letter.
+THREE_LETTERS = {
+    "A": "ALA", "C": "CYS", "D": "ASP", "E": "GLU", "F": "PHE", "G": "GLY", "H": "HIS", "I": "ILE", "K": "LYS", "L": "LEU",
+    "M": "MET", "N": "ASN", "P": "PRO", "Q": "GLN", "R": "ARG", "S": "SER", "T": "THR", "V": "VAL", "W": "TRP", "Y": "TYR",
+}
+BACKGROUND = {
+    "A": 0.0799912015849807, "C": 0.0171846021407367, "D": 0.0578891399707563, "E": 0.0638169929675978, "F": 0.0396348024787477,
+    "G": 0.0760659374742852, "H": 0.0223465499452473, "I": 0.0550905793661343, "K": 0.060458245507428, "L": 0.0866897071203864,
+    "M": 0.0215379186368154, "N": 0.044293531582512, "P": 0.0465746314476874, "Q": 0.0380578923048682, "R": 0.0484482507611578,
+    "S": 0.0630028230885602, "T": 0.0580394726014824, "V": 0.0700241481678408, "W": 0.0144991866213453, "Y": 0.03635438623143,
+}
+
+
+def three_letter(code: Column) -> Column:
+    """The three-letter name of an amino acid's letter; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in THREE_LETTERS.items() for x in pair]), code)
+
+
+def one_letter(name: Column) -> Column:
+    """The letter of a three-letter name; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for one, three in THREE_LETTERS.items() for x in (three, one)]), name)
 
 
 def check_arguments(strings: DataFrame, k: int, alphabet: str) -> None:

@@ -1,12 +1,14 @@
 """Declarative mapping of relations to triples.
 
-A mapping is a list of rules. All rules of a table are evaluated in one scan: each row makes an array of
-structs, the array is exploded, and duplicates go, as a graph is a set.
+A mapping is a list of rules. To write a graph, all rules of a table are evaluated in one scan: each row makes an array
+of structs, the array is exploded, and duplicates go, as a graph is a set. To query a relation as a graph, each
+rule is a projection of its own, so that a pattern's predicate decides while planning which of them are read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +70,22 @@ def _made(rule: Rule) -> Column:
     return F.transform(o, one) if rule.each else F.array(one(o))
 
 
-def to_triples(df: DataFrame, rules: list[Rule], distinct: bool = True) -> DataFrame:
-    """The triples that ``rules`` make of ``df``; a stream cannot have ``distinct``."""
+def to_triples(df: DataFrame, rules: list[Rule], distinct: bool = True, by_rule: bool = False) -> DataFrame:
+    """The triples that ``rules`` make of ``df``; a stream cannot have ``distinct``.
+
+    ``by_rule`` reads ``df`` once a rule instead of once: for queries, whose constant predicates leave few of them.
+    """
+    if by_rule:
+        return reduce(DataFrame.unionByName, [_projected(df, r, distinct) for r in rules])
     made = F.flatten(F.filter(F.array(*[_made(r) for r in rules]), lambda x: x.isNotNull()))
     triples = df.select(F.explode(made).alias("t")).where("t IS NOT NULL").select("t.*")
     return triples.dropDuplicates() if distinct else triples
+
+
+def _projected(df: DataFrame, rule: Rule, distinct: bool) -> DataFrame:
+    """The triples of one rule, its predicate outside of what is exploded or made distinct."""
+    made = _made(rule)
+    t = df.select(F.explode(made).alias("t")) if rule.each else df.select(made[0].alias("t"))
+    t = t.where("t IS NOT NULL").select(*[F.col(f"t.{c}").alias(c) for c in ("s", "s_kind", "p", "o", "o_kind", "o_type")])
+    t = t.dropDuplicates() if distinct else t
+    return t.withColumn("p", F.lit(rule.p)) if isinstance(rule.p, str) else t

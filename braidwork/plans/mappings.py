@@ -13,7 +13,8 @@ from ..functions.numeric import parsed_evalue
 from ..sources import files
 from .mapping import Rule, blank, iri, literal, to_triples
 
-# The columns of the source tables, in their order.
+# The columns of the source tables, in their order. The names of classes and properties below
+# (``sgd_...``, ``ipfam_...``, ``string_...``, ``gold_...``, ``pdb_...``) are vocabulary, fixed as well.
 FEATURES = ["SGD_ID", "FEAT_TYPE", "FEAT_QUALIFIER", "FEAT_NAME", "STD_GENE_NAME", "ALIASES", "PARENT_FEAT_NAME", "OTHER_SGD_IDS", "CHROMOSOME", "START_COORD", "STOP_COORD", "STRAND", "GENETIC_POS", "COORD_VERSION", "SEQ_VERSION", "DESCRIPTION"]
 XREFS = ["XREF_ID", "XREF_ID_SOURCE", "XREF_ID_TYPE", "FEAT_NAME", "SGD_ID", "UNDOCUMENTED"]
 DOMAINS = ["FEAT_NAME", "CRC64", "LENGTH", "METHOD", "DB_MEMBERS", "DB_DESCRIPTION", "START", "STOP", "EVALUE", "STATUS", "DATE", "IPR_ID", "IPR_DESCRIPTION", "IPR_GO"]
@@ -28,6 +29,7 @@ REGION_INTERACTIONS = ["REGION_INT", "PDB_ID", "REGION_A", "REGION_B", "IS_INTRA
 ALIASES = ["TAXON", "STRING_ID", "ALIAS_ID", "ALIAS_TYPE"]
 ACTIONS = ["ITEM_ID_A", "ITEM_ID_B", "MODE", "ACTION", "A_IS_ACTING", "SCORE", "SOURCES", "TRANSFERRED_SOURCES"]
 GROUPS = ["TAXON.STRING_ID", "START", "STOP", "CLUSTER_ID", "ANNOTATION"]
+ANNOTATIONS = ["ID", "SEQUENCE", "GO", "TAXID", "EVIDENCE"]
 CHAINS = ["PDB_ID", "PDB_CHAIN", "SP_ID", "RES_BEGIN", "RES_END", "PDB_BEGIN", "PDB_END", "SP_BEGIN", "SP_END"]
 
 
@@ -342,6 +344,7 @@ REGISTRY: dict[str, dict[str, Loader]] = {
         "ids": lambda spark, root: pdb_ids(files.listing(spark, f"{root}/PDB/divided/mmCIF/*")),
         "ps-ss": lambda spark, root: pdb_structures(files.fasta(spark, f"{root}/PDB/ss.txt")),
     },
+    "cafa13": {"annotations": _table("cafa/targets.tab", ANNOTATIONS, function_annotations)},
     "sifts": {"pdb-uniprot": _table("SIFTS/pdb_chain_uniprot.csv", CHAINS, sifts_chains)},
 }
 

@@ -230,6 +230,8 @@ def parse(text: str) -> Query:
     return _Parser(text).query()
 
 
+#: Rows that one side of a product of unconnected patterns may have.
+PRODUCT_ROWS = 10_000
 _NUMERIC = ("integer", "double", "float", "decimal", "long", "int")
 
 
@@ -280,7 +282,13 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Equi-join on all shared variables: value and kind."""
     shared = [c for c in right.columns if c in left.columns and not c.endswith("|type")]
     right = right.drop(*[c for c in right.columns if c in left.columns and c.endswith("|type")])
-    return left.join(right, shared) if shared else left.crossJoin(right)
+    if shared:
+        return left.join(right, shared)
+    # Nothing in common: a product, which is made only with a side that is small, as counting to a limit tells.
+    for one, other in ((right, left), (left, right)):
+        if one.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS:
+            return other.crossJoin(F.broadcast(one))
+    raise SparqlError(f"patterns without a common variable, of more than {PRODUCT_ROWS} rows each")
 
 
 def _compared(node, columns: list[str]) -> Column:
@@ -303,18 +311,32 @@ def _compared(node, columns: list[str]) -> Column:
 
 
 def compile_patterns(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """All patterns joined: those with most constants first, then any that is connected."""
+    """All patterns joined: those with most constants first, then any that is connected; unconnected ones last."""
     frames, rest = _stars(triples, patterns)
     todo = [(0, f) for f in frames] + [(len(p.variables()) + p.p.free, _bind(triples, p)) for p in rest]
     todo.sort(key=lambda x: x[0])
     bound = todo.pop(0)[1]
     while todo:
         names = set(bound.columns)
-        at = next((k for k, (_, f) in enumerate(todo) if names & {c for c in f.columns if "|" not in c}), 0)
+        at = next((k for k, (_, f) in enumerate(todo) if names & {c for c in f.columns if "|" not in c}), None)
+        if at is None and not any("|" not in c for c in names | {*todo[0][1].columns}):
+            at = 0  # only what has no variables
+        at = at or 0
         bound = _join(bound, todo.pop(at)[1])
     return bound
 
 
+_CLEAR = re.compile(r"\s*CLEAR\s+(?:SILENT\s+)?(?:GRAPH\s+<(?P<graph>[^<>\s]*)>|(?P<default>DEFAULT))\s*;?\s*", re.IGNORECASE)
+
+
+def update(store, text: str) -> None:
+    """``CLEAR GRAPH <iri>`` and ``CLEAR DEFAULT`` on a ``TripleStore``; an unknown graph is as good as cleared."""
+    m = _CLEAR.fullmatch(text)
+    if m is None:
+        raise SparqlError(f"no update that is known: {text.strip()}")
+    store.clear(*[m["graph"]] if m["graph"] is not None else [])
+
+
 def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, types: Mapping[str, str] | None = None, arity: int | None = None) -> DataFrame:
     """The bindings of a query over a triple table, or over what a function gives for a graph's name.
 

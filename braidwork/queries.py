@@ -50,13 +50,14 @@ def customer_triples(spark: SparkSession, sf: str) -> DataFrame:
             iri(c, V.own("has_segment"), V.mint("segment", text.sanitize(F.col("c_mktsegment")))),
             literal(c, V.own("has_name"), F.col("c_name")),
         ],
+        by_rule=True,
     )
 
 
 def place_triples(spark: SparkSession, sf: str) -> DataFrame:
     n, r = V.mint("nation", F.col("n_nationkey").cast("string")), V.mint("region", F.col("r_regionkey").cast("string"))
-    nations = to_triples(read(spark, sf, "nation"), [iri(n, V.TYPE, V.own("nation")), literal(n, V.own("has_name"), F.col("n_name")), iri(n, V.own("in_region"), V.mint("region", F.col("n_regionkey").cast("string")))])
-    return nations.unionByName(to_triples(read(spark, sf, "region"), [iri(r, V.TYPE, V.own("region")), literal(r, V.own("has_name"), F.col("r_name"))]))
+    nations = to_triples(read(spark, sf, "nation"), [iri(n, V.TYPE, V.own("nation")), literal(n, V.own("has_name"), F.col("n_name")), iri(n, V.own("in_region"), V.mint("region", F.col("n_regionkey").cast("string")))], by_rule=True)
+    return nations.unionByName(to_triples(read(spark, sf, "region"), [iri(r, V.TYPE, V.own("region")), literal(r, V.own("has_name"), F.col("r_name"))], by_rule=True))
 
 
 def delivery_triples(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,6 +75,7 @@ def delivery_triples(spark: SparkSession, sf: str) -> DataFrame:
             iri(s, V.TYPE, V.own("supplier")),
             iri(p, V.TYPE, V.own("part")),
         ],
+        by_rule=True,
     )
 
 
@@ -105,7 +107,7 @@ def bgp_reified_edge(spark, sf):
 @query(f"""SELECT DISTINCT '{B}customer.' || o_custkey AS c, '{B}status.' || o_orderstatus AS status, '{B}order.' || o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey""")
 def bgp_var_predicate(spark, sf):
     c, o = V.mint("customer", F.col("o_custkey").cast("string")), V.mint("order", F.col("o_orderkey").cast("string"))
-    orders = to_triples(read(spark, sf, "orders"), [iri(c, V.mint("status", F.col("o_orderstatus")), o), iri(o, V.TYPE, V.own("order"))])
+    orders = to_triples(read(spark, sf, "orders"), [iri(c, V.mint("status", F.col("o_orderstatus")), o), iri(o, V.TYPE, V.own("order"))], by_rule=True)
     triples = customer_triples(spark, sf).unionByName(orders)
     return sparql.run(triples, "SELECT DISTINCT ?c ?status ?o WHERE { ?c a bw:customer . ?o a bw:order . ?c ?status ?o . }")
 
@@ -114,8 +116,8 @@ def bgp_var_predicate(spark, sf):
 def bgp_range_filter(spark, sf):
     p, e = V.mint("part", F.col("p_partkey").cast("string")), V.mint("sale", F.concat_ws("_", "l_partkey", F.col("l_quantity").cast("long")))
     size = F.col("p_size").cast("long")
-    parts = to_triples(read(spark, sf, "part"), [literal(p, V.own("size"), size, "integer"), literal(p, V.own("most"), size + 2, "integer")])
-    sales = to_triples(read(spark, sf, "lineitem"), [iri(e, V.own("of_part"), V.mint("part", F.col("l_partkey").cast("string"))), literal(e, V.own("quantity"), F.col("l_quantity").cast("long"), "integer")])
+    parts = to_triples(read(spark, sf, "part"), [literal(p, V.own("size"), size, "integer"), literal(p, V.own("most"), size + 2, "integer")], by_rule=True)
+    sales = to_triples(read(spark, sf, "lineitem"), [iri(e, V.own("of_part"), V.mint("part", F.col("l_partkey").cast("string"))), literal(e, V.own("quantity"), F.col("l_quantity").cast("long"), "integer")], by_rule=True)
     return sparql.run(
         parts.unionByName(sales),
         "SELECT DISTINCT ?p ?quantity ?size WHERE { ?e bw:of_part ?p ; bw:quantity ?quantity . ?p bw:size ?size ; bw:most ?most . FILTER((?quantity >= ?size) && (?quantity <= ?most)) }",
@@ -178,11 +180,12 @@ def network_density(spark, sf):
     return rows.withColumn("density", F.round("density", 6))
 
 
-@query(f"""WITH known AS ({_PAIRS}), all_pairs AS (
-        SELECT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey
-    ), chosen AS (
-        SELECT p, q FROM all_pairs ANTI JOIN known USING (p, q) ORDER BY md5('7|' || p || '|' || q), p, q LIMIT 2000
-    ) SELECT p, q FROM chosen UNION ALL SELECT q, p FROM chosen""")
+@query(f"""WITH known AS ({_PAIRS}), n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS p, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier),
+    left_over AS (SELECT least(2000, n * (n - 1) // 2 - (SELECT count(*) FROM known)) AS wanted FROM n),
+    draws AS (SELECT d, ('0x' || substr(md5('7|a|' || d), 1, 12))::BIGINT % n AS a, ('0x' || substr(md5('7|b|' || d), 1, 12))::BIGINT % n AS b FROM range(100000) t(d), n),
+    pairs AS (SELECT least(x.p, y.p) AS p, greatest(x.p, y.p) AS q, min(d) AS d FROM draws JOIN e x ON x.k = a JOIN e y ON y.k = b WHERE a <> b GROUP BY ALL),
+    chosen AS (SELECT p, q FROM pairs ANTI JOIN known USING (p, q) QUALIFY row_number() OVER (ORDER BY d) <= (SELECT wanted FROM left_over))
+    SELECT p, q FROM chosen UNION ALL SELECT q, p FROM chosen""")
 def negatives_sampled(spark, sf):
     entities = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p"))
     return network.sample_negatives(entities, network.symmetrize(supplier_pairs(spark, sf)), 4000, seed=7)
@@ -420,7 +423,8 @@ def profile_kernel(spark, sf):
     return rounded(strings.profile(rows.withColumn("scores", costs.cast("array<double>")), 3, 1.0, _LETTERS.upper()))
 
 
-@query()
+@query("""WITH n AS (SELECT n_nationkey::BIGINT AS i, count(*) OVER (PARTITION BY n_regionkey) AS c, n_regionkey AS r FROM nation)
+    SELECT a.i, b.i AS j, round((1 - exp(-a.c)) / a.c + CASE WHEN a.i = b.i THEN exp(-a.c) ELSE 0 END, 6) AS k FROM n a JOIN n b USING (r) WHERE round((1 - exp(-a.c)) / a.c, 6) <> 0""")
 def diffusion_kernel(spark, sf):
     members = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").alias("complex"))
     return rounded(kernels.diffusion(kernels.cliques(members), 25))
@@ -483,7 +487,9 @@ def fold_imbalance(spark, sf):
     return folds.imbalance(folds.round_robin(customers(spark, sf), 10), rows, 10).select("fold", F.round("unbalance", 6).alias("unbalance"))
 
 
-@query()
+@query("""WITH r AS (SELECT c_mktsegment AS f, row_number() OVER (ORDER BY count(*), c_mktsegment) - 1 AS round FROM customer GROUP BY 1), d AS (SELECT c_custkey AS p, round, (row_number() OVER (PARTITION BY round ORDER BY c_custkey) - 1) % 10 AS turn FROM customer JOIN r ON f = c_mktsegment),
+    t AS (SELECT round, fold::INTEGER AS fold, row_number() OVER (PARTITION BY round ORDER BY md5('0|' || round || '|' || fold)) - 1 AS turn FROM r, range(10) x(fold))
+    SELECT p, fold FROM d JOIN t USING (round, turn)""")
 def folds_balanced(spark, sf):
     rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("p"), F.col("c_mktsegment").alias("feature"))
     return folds.balanced_folds(customers(spark, sf), rows, 10)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.network import number
+
 
 def string_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -26,7 +28,7 @@ def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t
     rows = reader.option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
     first = rows.groupBy("__file").agg(F.min("__at").alias("__first"))
     # A multi-line file is read by one task, so its records are numbered without gaps.
-    return rows.join(F.broadcast(first), "__file").where(F.col("__at") - F.col("__first") >= skip).select(*columns)
+    return rows.join(F.broadcast(first), "__file").where(F.col("__at") - F.col("__first") >= skip).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def with_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -123,6 +125,33 @@ def expression(spark: SparkSession, path: str, id_column: str = "NAME") -> DataF
     return rows.select(F.col(id_column).alias("gene"), F.array(*values).alias("x"), F.col("__file").alias("file"))
 
 
+def expression_folder(spark: SparkSession, root: str, experiments: list[str] | None = None) -> dict[str, DataFrame]:
+    """Experiment -> (gene, x) of the tables ``root/EXPERIMENT/*.pcl``; only those that are listed, if any are."""
+    found = listing(spark, f"{root}/*/*.pcl").select(F.element_at(F.split("path", "/"), -2).alias("experiment")).distinct()
+    if experiments is not None:
+        found = found.where(F.col("experiment").isin(*experiments))
+    # One row an experiment.
+    return {r["experiment"]: expression(spark, f"{root}/{r['experiment']}/*.pcl").select("gene", "x") for r in found.orderBy("experiment").collect()}
+
+
+def in_order(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows (gene, ...) with their ``index``: genes of ``targets`` (gene, index) have theirs, the others follow by name."""
+    own = rows.join(targets, "gene")
+    rest = rows.join(targets, "gene", "left_anti")
+    n = targets.agg(F.coalesce(F.max("index") + 1, F.lit(0)).cast("long").alias("n"))  # one row
+    numbered = number(rest, "gene").crossJoin(F.broadcast(n)).select("gene", (F.col("index") + F.col("n")).alias("index"))
+    return own.unionByName(rest.join(numbered, "gene"))
+
+
+def table_or_none(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame | None:
+    """A Parquet table with some columns cast, or nothing if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.withColumns({c: F.col(c).cast(t) for c, t in types.items()}) if types else rows
+
+
 # The columns of PSI-MI TAB; versions 2.5, 2.6 and 2.7 have the first 15, 36 and 42.
 PSIMI = [
     "ID_INTERACTOR_A", "ID_INTERACTOR_B", "ALT_IDS_INTERACTOR_A", "ALT_IDS_INTERACTOR_B", "ALIASES_INTERACTOR_A", "ALIASES_INTERACTOR_B",
@@ -153,14 +182,14 @@ def pssm(spark: SparkSession, path: str, priors: list[float] | None = None, gamm
     """(file, pos, residue, scores, costs) of fixed-width position-specific scoring matrices.
 
     Three leading and six trailing lines don't count. ``costs`` are -ln of the smoothed probabilities, 1e13 for
-    zero. Both arrays are in the order of the letters. Positions that don't follow each other are an error.
+    zero; ``priors`` are by letter and those of all proteins by default. Both arrays are in the order of the letters. Positions that don't follow each other are an error.
     """
     from ..functions.numeric import smoothed_cost
-    from ..operators.strings import AMINO_ACIDS, PSSM_ORDER
+    from ..operators.strings import AMINO_ACIDS, BACKGROUND, PSSM_ORDER
 
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))
     rows = text.select("file", F.posexplode(F.slice("lines", F.lit(4), F.greatest(F.size("lines") - 9, F.lit(0)))).alias("at", "line"))
-    prior = priors or [0.05] * 20
+    prior = priors or [*BACKGROUND.values()]
     order = [PSSM_ORDER.index(a) for a in AMINO_ACIDS]
     scores = F.array(*[F.trim(F.substring("line", 10 + 3 * k, 3)).cast("int") for k in order])
     costs = F.array(*[smoothed_cost(F.trim(F.substring("line", 71 + 4 * k, 4)).cast("double") / 100, F.lit(float(prior[AMINO_ACIDS.index(PSSM_ORDER[k])])), gamma) for k in order])

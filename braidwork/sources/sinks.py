@@ -177,7 +177,31 @@ def interaction_labels(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(bound, inside)).alias("value"))
 
 
-def write_folds(rotated: DataFrame, path: str) -> None:
-    """Labels of each test fold and part, in folders."""
-    lines = rotated.select("test_fold", "part", F.concat(F.lit("BOUND("), "p", F.lit("-"), "q", F.lit(")="), F.col("state").cast("int").cast("string")).alias("value"))
-    lines.write.mode("overwrite").partitionBy("test_fold", "part").text(path)
+def fold_lines(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(test_fold, part, file, value) of rotated pairs (p, q, state) and, if given, rotated labels (p, predicate, label)."""
+    end = F.concat("p", F.lit("-"), "q")
+    bound = F.concat(F.lit("BOUND("), end, F.lit(")="), F.col("state").cast("int").cast("string"))
+    inside = F.concat(F.lit("IN("), "p", F.lit(","), "q", F.lit(","), end, F.lit(")=1"))
+    lines = pairs.select("test_fold", "part", F.lit("interactions").alias("file"), F.explode(F.array(bound, inside)).alias("value"))
+    if labels is None:
+        return lines
+    value = F.concat("predicate", F.lit("("), "p", F.lit(")="), F.col("label").cast("string"))
+    return lines.unionByName(labels.select("test_fold", "part", F.lit("functions").alias("file"), value.alias("value")))
+
+
+def write_folds(pairs: DataFrame, path: str, labels: DataFrame | None = None) -> None:
+    """The lines of each test fold, part and file, in folders."""
+    fold_lines(pairs, labels).write.mode("overwrite").partitionBy("test_fold", "part", "file").text(path)
+
+
+def write_data_set(path: str, datapoints: DataFrame, predicates: DataFrame, rules: DataFrame, pairs: DataFrame, labels: DataFrame) -> None:
+    """All files of a learner: what holds for all folds, and the folds."""
+    datapoints.repartitionByRange("kind", "value").sortWithinPartitions("kind", "value").select("value").write.mode("overwrite").text(f"{path}/datapoints")
+    predicates.write.mode("overwrite").text(f"{path}/predicates")
+    rules.select("value").write.mode("overwrite").text(f"{path}/rules")
+    write_folds(pairs, f"{path}/folds", labels)
+
+
+def write_vector(rows: DataFrame, path: str) -> None:
+    """Values (i, y) as text, one a line, by their index."""
+    rows.repartitionByRange("i").sortWithinPartitions("i").select(F.col("y").cast("string").alias("value")).write.mode("overwrite").text(path)
