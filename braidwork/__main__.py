@@ -1,4 +1,4 @@
-"""``python -m braidwork``: convert sources, load, query and clear graphs."""
+"""``python -m braidwork``: convert sources, load, query and clear graphs, run the data-set pipeline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans import mappings, sparql
+from .plans import experiment, mappings, sparql
 from .plans.store import DEFAULT_GRAPH, TripleStore
 
 
@@ -27,6 +27,17 @@ def main(arguments: list[str] | None = None) -> int:
         command.add_argument("--graph", default=DEFAULT_GRAPH)
         if name == "query":
             command.add_argument("--output", help="a folder for the rows, instead of printing them")
+    trial = commands.add_parser("run-experiment", help="from a graph and an ontology to folds, rules, labels and statistics")
+    trial.add_argument("store")
+    trial.add_argument("ontology", help="an OBO file")
+    trial.add_argument("destination")
+    trial.add_argument("--graph", default=DEFAULT_GRAPH)
+    trial.add_argument("--tables", help="a folder of expression, complex, domain and scoring tables, for the kernels")
+    trial.add_argument("--targets", nargs="*", help="outputs to make and show, instead of the data set")
+    trial.add_argument("--aspects", nargs="*")
+    for option, kind, default in (("max-depth", int, None), ("min-annot", int, None), ("num-folds", int, 10), ("seed", int, 0), ("min-sequence-len", int, 50), ("redundancy", float, 0.6)):
+        trial.add_argument(f"--{option}", type=kind, default=default)
+    trial.add_argument("--force", action="store_true")
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("braidwork").getOrCreate()
     if args.command == "convert":
@@ -34,6 +45,14 @@ def main(arguments: list[str] | None = None) -> int:
             print(target, *mappings.convert(spark, args.root, target, args.parts, args.destination, args.force))
         return 0
     store = TripleStore(spark, args.store)
+    if args.command == "run-experiment":
+        options = {k: getattr(args, k) for k in ("aspects", "max_depth", "min_annot", "num_folds", "seed", "min_sequence_len", "redundancy")}
+        made = experiment.run(spark, lambda: store.graph(args.graph), args.ontology, args.destination, args.tables, args.targets, args.force, **options)
+        for name, rows in made.items():
+            print(name, *rows.columns, sep="\t")
+            for row in rows.toLocalIterator():
+                print(*row, sep="\t")
+        return 0
     if args.command == "load":
         store.load(spark.read.parquet(args.input), args.graph)
     elif args.command == "query":

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import predicate_name
-from ..operators import folds, network, ontology
-from ..sources import sinks
+from ..operators import folds, kernels, network, ontology
+from ..sources import files, sinks
 from ..terms import local_name
 from . import sparql
-from .stages import Stage
+from .stages import Scheduler, Stage, StageError
 
 # Evidence codes that are trusted; those assigned automatically are not among them.
 EVIDENCE = ["EXP", "IDA", "IPI", "IMP", "IGI", "IEP", "ISS", "ISO", "ISA", "ISM", "IGC", "IBA", "IBD", "IKR", "IRD", "RCA", "TAS", "NAS", "IC", "ND"]
@@ -140,15 +140,117 @@ def redundancy_filter(sequences: DataFrame, threshold: float = 0.6, k: int = 5)
     return left if kept is None else kept
 
 
+def incomplete(ids: DataFrame, sequences: DataFrame, features: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(check, p, fatal): genes without a sequence or a feature, which is fatal, and those without a term, which isn't."""
+    out = None
+    for check, table, fatal in (("no sequence", sequences, True), ("no feature", features, True), ("no term", annotations, False)):
+        rows = ids.join(table.select("p"), "p", "left_anti").select(F.lit(check).alias("check"), "p", F.lit(fatal).alias("fatal"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def statistics(entities: DataFrame, terms: DataFrame, annotations: DataFrame, high: DataFrame, low: DataFrame, negative: DataFrame, entity_folds: DataFrame, pair_folds: DataFrame, k: int) -> DataFrame:
+    """(what, of, value): numbers and densities of networks, terms by level, and how even the folds are."""
+    out = entities.agg(F.count("*").cast("double").alias("value")).select(F.lit("entities").alias("what"), F.lit("").alias("of"), "value")
+
+    def add(rows: DataFrame, what: str, of: str, column: str) -> None:
+        nonlocal out
+        out = out.unionByName(rows.select(F.lit(what).alias("what"), F.col(of).cast("string").alias("of"), F.col(column).cast("double").alias("value")))
+
+    for name, pairs in (("high", high), ("low", low), ("negative", negative)):
+        rows = network.density(pairs, entities).withColumn("name", F.lit(name))
+        add(rows, "pairs", "name", "n_pairs")
+        add(rows, "density", "name", "density")
+    levels = ontology.level_statistics(terms, annotations)
+    for column in ("n_terms", "n_bins", "n_annotations", "n_proteins"):
+        add(levels, f"{column} by level", "level", column)
+    add(entity_folds.groupBy("fold").agg(F.count("*").alias("n")), "entities by fold", "fold", "n")
+    add(folds.imbalance(entity_folds, annotations.select("p", F.col("id").alias("feature")), k), "imbalance by fold", "fold", "unbalance")
+    add(pair_folds.groupBy("fold").agg(F.count("*").alias("n")), "pairs by fold", "fold", "n")
+    add(folds.pairs_per_entity(entity_folds, pair_folds), "pairs an entity by fold", "fold", "pairs_per_entity")
+    return out
+
+
+#: The kernels of entities that the average is made of.
+AVERAGED = ("colocalization_kernel", "expression_kernel", "complex_kernel", "interpro_kernel", "pssm_kernel")
+
+
+def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
+    """Stages of kernels, for the entities by their ``index``; none of them is needed for the fold files.
+
+    ``load`` gives the tables that triples don't hold: ``expression``, a list of (gene, x); ``complexes`` (complex, p);
+    ``interpro`` (p, DB, FAMILY, EVALUE); ``pssm``, as ``sources.files.pssm`` reads it. Kernels of complexes and
+    fix-ups need eigenvalues on the driver, for as many entities as ``kernel_limit`` (4096) at most.
+    Parameters besides: gamma (1), pssm_k (2), pssm_threshold (6).
+    """
+
+    def order(c, entities):
+        return network.number(entities, "p").select("p", F.col("index").alias("i"))
+
+    def pair_order(c, order, high, negative):
+        pairs = network.canonical(high.unionByName(negative))
+        named = pairs.withColumn("name", F.concat_ws("-", "p", "q"))
+        numbered = named.join(network.number(named, "name"), "name").select(F.col("index").alias("s"), "p", "q")
+        return numbered.join(order.toDF("p", "i"), "p").join(order.toDF("q", "j"), "q").select("s", "i", "j")
+
+    def made(make: Callable[..., DataFrame], fixed: bool = False) -> Callable[..., DataFrame]:
+        def run(c, order, **tables):
+            n = order.count()
+            return kernels.prepared(make(c, order, n, **tables), n, normalized=True, fixed=fixed, limit=c.get("kernel_limit", 4096))
+
+        return run
+
+    def colocalization(c, order, n, contexts):
+        rows = contexts.join(order, "p").select("i", "chrom", ((F.col("start") + F.col("stop")) / 2).alias("pos"))
+        return kernels.colocalization(rows, c.get("gamma", 1.0))
+
+    def expression(c, order, n, features):
+        genes = order.join(features, "p").select("i", F.col("feature").alias("gene"))
+        return kernels.expression(genes, load("expression"))
+
+    def complexes(c, order, n, features):
+        members = load("complexes").join(features.select("p", "feature").withColumnsRenamed({"p": "q", "feature": "p"}), "p").select("complex", F.col("q").alias("p")).join(order, "p")
+        return kernels.diffusion(kernels.cliques(members.select("i", "complex")), n, limit=c.get("kernel_limit", 4096))
+
+    def domains(mode):
+        return lambda c, order, n: kernels.interpro(order.select("i", "p"), load("interpro"), mode)
+
+    def scoring(c, order, n):
+        return kernels.pssm(order, load("pssm"), c.get("pssm_k", 2), c.get("pssm_threshold", 6.0))
+
+    def average(c, **all_kernels):
+        return kernels.average(*all_kernels.values())
+
+    def pair_kernel(c, pair_order, average_kernel):
+        return kernels.pairwise(pair_order, average_kernel)
+
+    return [
+        Stage(order, ("entities",), ("order",)),
+        Stage(pair_order, ("order", "high", "negative"), ("pair_order",)),
+        Stage(made(colocalization), ("order", "contexts"), ("colocalization_kernel",)),
+        Stage(made(expression), ("order", "features"), ("expression_kernel",)),
+        Stage(made(complexes, fixed=True), ("order", "features"), ("complex_kernel",)),
+        Stage(made(domains("match")), ("order",), ("interpro_kernel",)),
+        Stage(made(domains("count")), ("order",), ("interpro_count_kernel",)),
+        Stage(made(scoring), ("order",), ("pssm_kernel",)),
+        Stage(average, AVERAGED, ("average_kernel",)),
+        Stage(pair_kernel, ("pair_order", "average_kernel"), ("pair_kernel",)),
+    ]
+
+
 def stages(load_triples: Callable[[], DataFrame], load_ontology: Callable[[], tuple[DataFrame, DataFrame]]) -> list[Stage]:
-    """Stages from a triple table and an ontology to fold files' rows.
+    """Stages from a triple table and an ontology to fold files' rows and statistics; see ``kernel_stages`` for more.
 
     Parameters of the context: min_sequence_len (50), redundancy (0.6), aspects, max_depth, min_annot, num_folds (10), seed (0).
     """
 
     def resources(c):
         t = load_triples()
-        return gene_ids(t), gene_sequences(t), gene_terms(t), gene_features(t), gene_contexts(t), physical_interactions(t, True), physical_interactions(t), action_interactions(t)
+        ids, sequences, terms, features = gene_ids(t), gene_sequences(t), gene_terms(t), gene_features(t)
+        missing = incomplete(ids, sequences, features, terms)
+        if fatal := missing.where("fatal").limit(5).collect():
+            raise StageError("genes lack what all need: " + ", ".join(f"{r['p']} ({r['check']})" for r in fatal))
+        return ids, sequences, terms, features, gene_contexts(t), physical_interactions(t, True), physical_interactions(t), action_interactions(t), missing
 
     def entities(c, ids, sequences):
         kept = sequences.join(ids, "p", "left_semi").where(F.length("seq") >= c.get("min_sequence_len", 50))
@@ -169,21 +271,57 @@ def stages(load_triples: Callable[[], DataFrame], load_ontology: Callable[[], tu
         dealt = folds.balanced_folds(entities, term_annotations.select("p", F.col("id").alias("feature")), k, seed)
         return dealt, folds.pair_folds(high, negative, k, seed)
 
-    def output(c, entities, terms, term_edges, term_annotations, pair_folds):
+    def numbers(c, entities, terms, term_annotations, high, low, negative, entity_folds, pair_folds):
+        return statistics(entities, terms, term_annotations, high, low, negative, entity_folds, pair_folds, c.get("num_folds", 10))
+
+    def output(c, entities, terms, term_edges, term_annotations, entity_folds, pair_folds):
         named = terms.withColumn("predicate", predicate_name(F.col("namespace"), F.col("level"), F.col("id"), F.col("name")))
+        k = c.get("num_folds", 10)
+        labels = sinks.closed_world(terms, term_annotations).join(named.select("id", "predicate"), "id").join(entity_folds, "p")
         return (
             sinks.datapoints(entities, pair_folds.select("p", "q")),
             sinks.predicates(named),
             sinks.rules(named, term_edges),
             sinks.function_labels(named, term_annotations),
-            folds.rotate(pair_folds, c.get("num_folds", 10)),
+            folds.rotate(pair_folds, k),
+            folds.rotate(labels.select("p", "predicate", "label", "fold"), k),
         )
 
     return [
-        Stage(resources, (), ("ids", "sequences", "annotations", "features", "contexts", "manual", "physical", "actions")),
+        Stage(resources, (), ("ids", "sequences", "annotations", "features", "contexts", "manual", "physical", "actions", "missing")),
         Stage(entities, ("ids", "sequences"), ("entities",)),
         Stage(annotated, ("entities", "annotations"), ("terms", "term_edges", "term_annotations")),
         Stage(networks, ("entities", "manual", "physical", "actions"), ("high", "low", "negative")),
         Stage(deal, ("entities", "term_annotations", "high", "negative"), ("entity_folds", "pair_folds")),
-        Stage(output, ("entities", "terms", "term_edges", "term_annotations", "pair_folds"), ("datapoints", "predicates", "rules", "function_labels", "rotated")),
+        Stage(numbers, ("entities", "terms", "term_annotations", "high", "low", "negative", "entity_folds", "pair_folds"), ("statistics",)),
+        Stage(output, ("entities", "terms", "term_edges", "term_annotations", "entity_folds", "pair_folds"), ("datapoints", "predicates", "rules", "function_labels", "rotated", "rotated_labels")),
     ]
+
+
+def loader(spark: SparkSession, root: str, entities: DataFrame | None = None) -> Callable[[str], object]:
+    """The tables of ``kernel_stages`` from a folder: ``expression/EXPERIMENT/*.pcl``, ``complexes.tab``, ``interpro/P.tsv.txt`` and ``pssm/P.pssm``."""
+
+    def load(name: str):
+        if name == "expression":
+            return [*files.expression_folder(spark, f"{root}/expression").values()]
+        if name == "complexes":
+            return files.complexes(spark, f"{root}/complexes.tab")
+        if name == "interpro":
+            found = files.listing(spark, f"{root}/interpro/*.tsv.txt").select(F.regexp_replace("name", r"\.tsv\.txt$", "").alias("p"))
+            return files.per_entity(spark, found if entities is None else entities, f"{root}/interpro")[0]
+        return files.pssm(spark, f"{root}/pssm/*.pssm")
+
+    return load
+
+
+def run(spark: SparkSession, load_triples: Callable[[], DataFrame], ontology_path: str, destination: str, root: str | None = None, targets: list[str] | None = None, force: bool = False, **context) -> dict[str, DataFrame]:
+    """Runs the data-set pipeline, writes the learner's files, and gives the targets asked for (the statistics by default)."""
+    todo = stages(load_triples, lambda: files.obo(spark, ontology_path))
+    if root is not None:
+        todo += kernel_stages(loader(spark, root))
+    scheduler = Scheduler(spark, todo, f"{destination}/cache", context)
+    made = scheduler.run([*(targets or ["statistics"])], force)
+    if targets is None:
+        out = scheduler.run(["datapoints", "predicates", "rules", "rotated", "rotated_labels"])
+        sinks.write_data_set(f"{destination}/data", out["datapoints"], out["predicates"], out["rules"], out["rotated"], out["rotated_labels"])
+    return made

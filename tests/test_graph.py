@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork import terms as V
+from braidwork.__main__ import main
 from braidwork.functions import numeric, text
-from braidwork.operators import features, folds, network, ontology
+from braidwork.operators import features, folds, network, ontology, strings
 from braidwork.plans import experiment, mapping, mappings, sparql
 from braidwork.plans.stages import Scheduler, Stage, StageError
 from braidwork.plans.store import TripleStore
@@ -347,7 +349,7 @@ def test_sources(spark, tmp_path):
     line = lambda n, r: f"{n:5d} {r}  " + "".join(f"{k:3d}" for k in range(20)) + " " + "".join(f"{100 if c == r else 0:4d}" for c in letters)
     p = write("x.pssm", "\n\n\n" + line(1, "A") + "\n" + line(2, "R") + "\n" + "\n" * 6)
     got = files.pssm(spark, p).collect()
-    assert [(r["pos"], r["residue"]) for r in got] == [(1, "A"), (2, "R")] and got[0]["costs"][0] == pytest.approx(-__import__("math").log(0.81))
+    assert [(r["pos"], r["residue"]) for r in got] == [(1, "A"), (2, "R")] and got[0]["costs"][0] == pytest.approx(-np.log(0.8 + 0.2 * strings.BACKGROUND["A"]))
     p = write("aa.tsv", "aa\tx\nA\t1\nC\t3\n")
     assert {r["aa"]: r["x"] for r in files.amino_acids(spark, p).collect()} == {"A": 1, "C": 3, "?": 2}
     p = write("cyc.tsv", "ORF\tName\tComplex\nYA\tx\tc1\nYA\tx\tc1\n")
@@ -417,7 +419,7 @@ def test_stages(spark, tmp_path):
         Scheduler(spark, [Stage(None, ("q",), ("p",)), Stage(None, ("p",), ("q",))], "").get("p")
 
 
-def test_experiment(spark, gene_triples, tmp_path):
+def made_genes(spark):
     more = spark.range(40).withColumn("k", F.format_string("S%02d", F.col("id") + 10))
     sgd, feature = V.mint("sgd_id", F.col("k")), V.mint("sgd_feature", F.col("k"))
     letters = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: F.substr(F.lit("ACDEFGHIKLMNPQRSTVWY"), F.pmod(F.xxhash64("id", x), F.lit(20)).cast("int") + 1, F.lit(1))), "")
@@ -427,10 +429,15 @@ def test_experiment(spark, gene_triples, tmp_path):
     rules = [
         mapping.iri(sgd, V.TYPE, V.own("sgd_id")), mapping.iri(sgd, V.own("sgd_id_has_type"), V.own("sgd_feature_type.ORF")), mapping.iri(sgd, V.own("sgd_id_has_qualifier"), V.own("sgd_id_qualifier.Verified")),
         mapping.iri(sgd, V.SAME_AS, feature), mapping.iri(feature, V.TYPE, V.own("sgd_feature")), mapping.literal(sgd, V.own("sgd_id_has_sequence"), letters),
+        mapping.iri(sgd, V.own("sgd_id_in_chromosome"), V.mint("chromosome", (F.col("id") % 3).cast("string"))), mapping.literal(sgd, V.own("sgd_id_in_strand"), F.lit("W")), mapping.literal(sgd, V.own("sgd_id_starts_at"), F.col("id") * 100, "integer"), mapping.literal(sgd, V.own("sgd_id_stops_at"), F.col("id") * 100 + 50, "integer"),
         mapping.iri(e, V.TYPE, V.own("sgd_int")), mapping.iri(e, V.own("sgd_int_has_bait"), feature), mapping.iri(e, V.own("sgd_int_has_hit"), other), mapping.iri(e, V.own("sgd_int_has_type"), V.own("sgd_int_type.physical_interactions")), mapping.iri(e, V.own("sgd_int_has_cur_type"), V.own("sgd_int_cur_type.manually_curated")),
         mapping.iri(note, V.TYPE, V.own("sgd_go_annotation")), mapping.iri(note, V.own("sgd_go_annotation_has_sgd_id"), sgd), mapping.iri(note, V.own("sgd_go_annotation_has_term"), V.go_term(F.when(F.col("id") % 2 == 0, "E").otherwise("C"))), mapping.literal(note, V.own("sgd_go_annotation_has_ecode"), F.lit("IDA")),
     ]
-    t = mapping.to_triples(more, rules).cache()
+    return mapping.to_triples(more, rules).cache()
+
+
+def test_experiment(spark, tmp_path):
+    t = made_genes(spark)
     terms, edges, _ = toy_ontology(spark)
     run = Scheduler(spark, experiment.stages(lambda: t, lambda: (terms, edges)), str(tmp_path / "cache"), {"num_folds": 4, "aspects": ["n"]})
     out = run.run(["entities", "high", "negative", "pair_folds", "entity_folds", "rules", "function_labels", "rotated", "datapoints"])
@@ -438,6 +445,56 @@ def test_experiment(spark, gene_triples, tmp_path):
     assert out["negative"].join(out["high"], ["p", "q"]).count() == 0
     assert out["entity_folds"].count() == 40 and out["pair_folds"].count() == 160 and out["rotated"].count() == 640
     assert out["function_labels"].count() == 200 and out["rules"].count() > 5 and out["datapoints"].count() == 200
+    found = {(r["what"], r["of"]): r["value"] for r in run.get("statistics").collect()}
+    assert found["entities", ""] == 40 and found["pairs", "high"] == 80 and found["density", "high"] == pytest.approx(80 / (40 * 39))
+    assert sum(v for (what, _), v in found.items() if what == "pairs by fold") == 160
+    assert run.get("missing").count() == 0
+    bare = t.where(F.col("p") != V.own("sgd_id_has_sequence"))
+    with pytest.raises(StageError, match="no sequence"):
+        Scheduler(spark, experiment.stages(lambda: bare, lambda: (terms, edges)), str(tmp_path / "other"), {}).get("ids")
+
+
+def test_experiment_from_files(spark, tmp_path):
+    """The command: data set, statistics, and the kernels out of a folder of tables."""
+    t = made_genes(spark)
+    TripleStore(spark, str(tmp_path / "store")).load(t)
+    names = sorted(r["p"] for r in experiment.gene_ids(t).collect())
+    tables = tmp_path / "tables"
+    for folder in ("expression/one", "expression/two", "interpro", "pssm"):
+        (tables / folder).mkdir(parents=True)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2, 40, 4))
+    for k, name in enumerate(("one", "two")):
+        (tables / f"expression/{name}/a.pcl").write_text("\n".join(["NAME\td\tGWEIGHT\ta\tb\tc\te", "EWEIGHT\t\t\t1\t1\t1\t1", *[f"{n}\tx\t1\t" + "\t".join(map(str, row)) for n, row in zip(names, x[k], strict=True)]]))
+    (tables / "complexes.tab").write_text("ORF\tName\tComplex\n" + "".join(f"{n}\tx\tc{k % 5}\n" for k, n in enumerate(names)))
+    for k, n in enumerate(names):
+        (tables / f"interpro/{n}.tsv.txt").write_text("\t".join({3: "Pfam", 4: f"F{k % 4}", 8: "0.01"}.get(c, "x") for c in range(15)) + "\n")
+        lines = [f"{at + 1:5d} A  " + "  0" * 20 + " " + "".join(f"{100 if c == (k + at) % 20 else 0:4d}" for c in range(20)) + "  0.50 0.10" for at in range(3)]
+        (tables / f"pssm/{n}.pssm").write_text("\n".join(["", "title", "letters", *lines, *["tail"] * 6]) + "\n")
+    (tmp_path / "terms.obo").write_text("format-version: 1.2\n\n[Term]\nid: R\nname: root\nnamespace: n\n\n[Term]\nid: E\nname: e\nnamespace: n\nis_a: R ! root\n\n[Term]\nid: C\nname: c\nnamespace: n\nis_a: R ! root\n")
+    common = ["run-experiment", str(tmp_path / "store"), str(tmp_path / "terms.obo"), str(tmp_path / "out"), "--num-folds", "4"]
+    assert main(common) == 0
+    data = tmp_path / "out/data"
+    lines = spark.read.text(str(data / "folds")).groupBy("test_fold", "part", "file").count().collect()
+    assert {(r["test_fold"], r["part"], r["file"]) for r in lines} == {(k, p, f) for k in range(4) for p in ("test", "valid", "train") for f in ("interactions", "functions")}
+    assert sum(r["count"] for r in lines if r["file"] == "interactions") == 4 * 2 * 160 and sum(r["count"] for r in lines if r["file"] == "functions") == 4 * 40 * 3
+    assert spark.read.text(str(data / "predicates")).count() == 5 and spark.read.text(str(data / "datapoints")).count() == 200
+    kinds = [*experiment.AVERAGED, "interpro_count_kernel", "average_kernel", "pair_kernel"]
+    made = experiment.run(spark, lambda: t, str(tmp_path / "terms.obo"), str(tmp_path / "out"), str(tables), kinds, num_folds=4)
+    matrices = {}
+    for name in kinds[:-1]:
+        m = np.zeros((40, 40))
+        for c in made[name].collect():
+            m[c["i"], c["j"]] = c["k"]
+        matrices[name] = m
+        assert np.allclose(m, m.T) and np.allclose(np.diag(m), 1)
+    wanted = sum(np.corrcoef(x[k]) for k in range(2)) / 2
+    assert np.allclose(matrices["expression_kernel"], wanted)
+    assert np.allclose(matrices["interpro_kernel"], [[float(a % 4 == b % 4) for b in range(40)] for a in range(40)])
+    assert np.allclose(matrices["average_kernel"], sum(matrices[n] for n in experiment.AVERAGED) / 5)
+    assert made["pair_kernel"].where("i = j").count() == 80
+    assert main([*common, "--tables", str(tables), "--targets", "order"]) == 0
+    assert main(["clear", str(tmp_path / "store")]) == 0
 
 
 def test_redundancy(spark):
