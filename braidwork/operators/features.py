@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import entropy
@@ -26,14 +26,18 @@ def composition(sequences: DataFrame, properties: DataFrame, columns: list[str])
 def low_complexity(sequences: DataFrame, windows: tuple[int, ...] = (8, 16, 32, 64, 128), alphabet: str = AMINO_ACIDS, epsilon: float = 1e-10) -> DataFrame:
     """Per residue the entropy of the composition of each centred window of 2w+1 residues.
 
-    Frames end with the sequence, and letters are counted as they are written. All windows share one sort.
+    Frames end with the sequence, and letters are counted as they are written. Letters are counted once, up to each
+    residue; a window's counts are the difference of two of these counts, whatever its width. All share one sort.
     """
     rows = residues(sequences)
     order = Window.partitionBy("i").orderBy("pos")
-    hits: list[Column] = [(F.col("residue") == a).cast("int") for a in alphabet]
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("c", F.array(*[F.sum((F.col("residue") == a).cast("int")).over(so_far).cast("double") for a in alphabet]))
+    all_of_it = F.last("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    none = F.array(*[F.lit(0.0)] * len(alphabet))
     for w in windows:
-        frame = order.rowsBetween(-w, w)
-        rows = rows.withColumn(f"c{w}", F.array(*[F.sum(h).over(frame).cast("double") for h in hits]))
+        ends, begins = F.coalesce(F.lead("c", w).over(order), all_of_it), F.coalesce(F.lag("c", w + 1).over(order), none)
+        rows = rows.withColumn(f"c{w}", F.zip_with(ends, begins, lambda a, b: a - b))
     return rows.select("i", "pos", *[entropy(F.col(f"c{w}"), epsilon).alias(f"entropy_{w}") for w in windows])
 
 

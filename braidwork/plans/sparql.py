@@ -235,8 +235,12 @@ PRODUCT_ROWS = 10_000
 _NUMERIC = ("integer", "double", "float", "decimal", "long", "int")
 
 
-def _bind(triples: DataFrame, pattern: Pattern) -> DataFrame:
-    """One scan: constants become filters that prune and push down, variables become columns."""
+def _bind(triples: DataFrame, pattern: Pattern, is_set: bool = True) -> DataFrame:
+    """One scan: constants become filters that prune and push down, variables become columns.
+
+    If the table may repeat triples, what one variable is bound to is made distinct, which partial aggregation makes
+    cheap; repeats of more variables are left to the query's DISTINCT.
+    """
     df, out, seen = triples, [], {}
     for place, term in (("p", pattern.p), ("s", pattern.s), ("o", pattern.o)):
         if not term.free:
@@ -252,7 +256,10 @@ def _bind(triples: DataFrame, pattern: Pattern) -> DataFrame:
             kind = {"p": F.lit("iri"), "s": F.col("s_kind"), "o": F.col("o_kind")}[place]
             type_ = F.col("o_type") if place == "o" else F.lit(None).cast("string")
             out += [F.col(place).alias(term.value), F.when(kind == "literal", "literal").otherwise("node").alias(f"{term.value}|kind"), type_.alias(f"{term.value}|type")]
-    return df.select(*out) if out else df.select(F.lit(1).alias("|exists")).limit(1)
+    if not out:
+        return df.select(F.lit(1).alias("|exists")).limit(1)
+    bound = df.select(*out)
+    return bound if is_set or len(seen) > 1 else bound.distinct()
 
 
 def _stars(triples: DataFrame, patterns: list[Pattern]) -> tuple[list[DataFrame], list[Pattern]]:
@@ -310,10 +317,10 @@ def _compared(node, columns: list[str]) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), do(x, y)).when(x.isNull() & y.isNull(), do(text(a), text(b))).otherwise(F.lit(op == "!="))
 
 
-def compile_patterns(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
+def compile_patterns(triples: DataFrame, patterns: list[Pattern], is_set: bool = True) -> DataFrame:
     """All patterns joined: those with most constants first, then any that is connected; unconnected ones last."""
     frames, rest = _stars(triples, patterns)
-    todo = [(0, f) for f in frames] + [(len(p.variables()) + p.p.free, _bind(triples, p)) for p in rest]
+    todo = [(0, f) for f in frames] + [(len(p.variables()) + p.p.free, _bind(triples, p, is_set)) for p in rest]
     todo.sort(key=lambda x: x[0])
     bound = todo.pop(0)[1]
     while todo:
@@ -337,12 +344,13 @@ def update(store, text: str) -> None:
     store.clear(*[m["graph"]] if m["graph"] is not None else [])
 
 
-def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, types: Mapping[str, str] | None = None, arity: int | None = None) -> DataFrame:
+def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, types: Mapping[str, str] | None = None, arity: int | None = None, is_set: bool = True) -> DataFrame:
     """The bindings of a query over a triple table, or over what a function gives for a graph's name.
 
     Values are strings; ``types`` names Spark types for some variables, and what doesn't parse is null.
     A projected variable that no pattern binds is null; ``arity`` asserts how many are bound. SELECT without
-    DISTINCT keeps duplicates; the table is a set. ASK gives one row with one boolean, ``ask``.
+    DISTINCT keeps duplicates; the table is a set, or is made one if ``is_set`` is false and the query needs that.
+    ASK gives one row with one boolean, ``ask``.
     """
     q = parse(text)
     if callable(triples):
@@ -352,7 +360,9 @@ def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, types
             table = table.dropDuplicates()
     else:
         table = triples
-    bound = compile_patterns(table, q.patterns)
+    if not is_set and not (q.distinct or q.ask):
+        table, is_set = table.dropDuplicates(), True
+    bound = compile_patterns(table, q.patterns, is_set)
     for f in q.filters:
         bound = bound.where(_compared(f, bound.columns))
     if q.ask:

@@ -62,7 +62,9 @@ def place_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 def delivery_triples(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as reified edges between suppliers and parts."""
-    rows = read(spark, sf, "lineitem").withColumn("e", blank("l_suppkey", "l_partkey", "l_returnflag", salt="delivery"))
+    # Rows are made different by their short keys, once for all rules, before long names are made of these.
+    rows = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    rows = rows.withColumn("e", blank("l_suppkey", "l_partkey", "l_returnflag", salt="delivery"))
     s, p = V.mint("supplier", F.col("l_suppkey").cast("string")), V.mint("part", F.col("l_partkey").cast("string"))
     e = F.col("e")
     return to_triples(
@@ -75,6 +77,7 @@ def delivery_triples(spark: SparkSession, sf: str) -> DataFrame:
             iri(s, V.TYPE, V.own("supplier")),
             iri(p, V.TYPE, V.own("part")),
         ],
+        distinct=False,
         by_rule=True,
     )
 
@@ -101,6 +104,7 @@ def bgp_reified_edge(spark, sf):
     return sparql.run(
         delivery_triples(spark, sf),
         "SELECT DISTINCT ?s ?p WHERE { ?s a bw:supplier . ?p a bw:part . ?e a bw:delivery ; bw:has_supplier ?s ; bw:has_part ?p ; bw:has_flag bw:flag.R . }",
+        is_set=False,
     )
 
 
@@ -116,12 +120,13 @@ def bgp_var_predicate(spark, sf):
 def bgp_range_filter(spark, sf):
     p, e = V.mint("part", F.col("p_partkey").cast("string")), V.mint("sale", F.concat_ws("_", "l_partkey", F.col("l_quantity").cast("long")))
     size = F.col("p_size").cast("long")
-    parts = to_triples(read(spark, sf, "part"), [literal(p, V.own("size"), size, "integer"), literal(p, V.own("most"), size + 2, "integer")], by_rule=True)
-    sales = to_triples(read(spark, sf, "lineitem"), [iri(e, V.own("of_part"), V.mint("part", F.col("l_partkey").cast("string"))), literal(e, V.own("quantity"), F.col("l_quantity").cast("long"), "integer")], by_rule=True)
+    parts = to_triples(read(spark, sf, "part"), [literal(p, V.own("size"), size, "integer"), literal(p, V.own("most"), size + 2, "integer")], distinct=False, by_rule=True)
+    sales = to_triples(read(spark, sf, "lineitem").select("l_partkey", "l_quantity").distinct(), [iri(e, V.own("of_part"), V.mint("part", F.col("l_partkey").cast("string"))), literal(e, V.own("quantity"), F.col("l_quantity").cast("long"), "integer")], distinct=False, by_rule=True)
     return sparql.run(
         parts.unionByName(sales),
         "SELECT DISTINCT ?p ?quantity ?size WHERE { ?e bw:of_part ?p ; bw:quantity ?quantity . ?p bw:size ?size ; bw:most ?most . FILTER((?quantity >= ?size) && (?quantity <= ?most)) }",
         types={"quantity": "long", "size": "long"},
+        is_set=False,
     )
 
 
