@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_REGEX, lean, materialize, shuffle_partitions
 
+#: Tasks of the sort up to which what joins their ranges is broadcast (some ten MB).
+BROADCAST_TASKS = 100_000
 _RUNS = "id long, part int, run long, head boolean, low long, size long, digest string, edge string"
 
 
@@ -107,8 +109,8 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.explode("places").alias("place"), F.array_min("places").alias("first"), "all_low", "all_size")
         .select("place.*", "first", "all_low", "all_size")
     )
-    # At most two rows a task of the sort, so its size is bounded by the number of partitions.
-    rows = rows.join(F.broadcast(joint), ["part", "run"], "left")
+    # At most two rows of six numbers a task of the sort, so the number of partitions says whether it is small.
+    rows = rows.join(F.broadcast(joint) if n <= BROADCAST_TASKS else joint, ["part", "run"], "left")
     return rows.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("first").isNull(), F.col("low")).otherwise(F.col("all_low")).alias("keep_id"),

@@ -21,6 +21,7 @@ from .common import lean, materialize
 #: Dimensions in a block.
 BLOCK = 8
 _LIMIT = float(1 << 62)
+_TOP = 2**63 - 1
 
 
 def _quantise(scale: int):
@@ -34,18 +35,24 @@ def _quantise(scale: int):
                 x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(x).all():
                     continue
-                x = np.clip(np.floor(scale * x), -_LIMIT, _LIMIT)
+                x = np.floor(scale * x)
+                most = np.abs(x).max() if len(x) else 0.0
                 ids.append(i)
                 sizes.append(len(x))
-                values.append(x.astype("<i4" if not len(x) or np.abs(x).max() < 1 << 31 else "<i8").tobytes())
+                # A component of 2**62 or more is a whole number as a double, and stays one.
+                kind = "<i4" if most < 1 << 31 else "<i8" if most < _LIMIT else "<f8"
+                values.append(kind[1:].encode() + x.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())], names=["vec_id", "dim", "q"])
 
     return run
 
 
 def _matrix(rows: pa.Table, dim: int) -> np.ndarray:
-    """One row a vector."""
-    return np.array([np.frombuffer(x, "<i4" if len(x) == 4 * dim else "<i8").astype(np.int64) for x in rows.column("q").to_pylist()], np.int64).reshape(rows.num_rows, dim)
+    """One row a vector, of 64-bit numbers or, if these don't hold all, of unbounded ones."""
+    vectors = [np.frombuffer(x, "<" + x[:2].decode(), offset=2) for x in rows.column("q").to_pylist()]
+    if any(v.dtype.kind == "f" for v in vectors):
+        return np.array([[int(c) for c in v.tolist()] for v in vectors], object).reshape(rows.num_rows, dim)
+    return np.array([v.astype(np.int64) for v in vectors], np.int64).reshape(rows.num_rows, dim)
 
 
 def best(query: np.ndarray, columns: np.ndarray, masses: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,44 +82,56 @@ def best(query: np.ndarray, columns: np.ndarray, masses: np.ndarray, ids: np.nda
     return ids[alive][order], score[order]
 
 
-def _plain(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For components so large that 64 bits may not hold a score: unbounded integers, cut off at the end."""
+def _order(score: int) -> bytes | None:
+    """Orders scores that 64 bits don't hold, by bytes."""
+    if abs(score) < _TOP:
+        return None
+    size = (abs(score).bit_length() + 7) // 8
+    key = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return key if score > 0 else bytes(255 - b for b in key) + b"\xff"
+
+
+def _plain(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int, bytes | None]]:
+    """For components so large that 64 bits may not hold a score: unbounded integers, cut off only when they are given."""
     score = query.astype(object) @ columns.astype(object)
     found = sorted((-s, i) for s, i in zip(score, ids.tolist(), strict=True) if i != own)[:k]
-    top = 2**63 - 1
-    return np.array([i for _, i in found], np.int64), np.array([max(-top, min(top, -s)) for s, _ in found], np.int64)
+    return [(i, max(-_TOP, min(_TOP, -s)), _order(-s)) for s, i in found]
 
 
 def _search(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        out: dict[str, list] = {"query_id": [], "key": [], "vec_id": [], "score": [], "beyond": []}
         if queries.num_rows and candidates.num_rows:
             dim = queries.column("dim")[0].as_py()
             ids = candidates.column("vec_id").to_numpy()
             columns = np.ascontiguousarray(_matrix(candidates, dim).T)
-            square = columns.astype(np.float64) ** 2
-            masses = np.array([square[a : a + BLOCK].sum(axis=0) for a in range(0, dim, BLOCK)]).reshape(-(-dim // BLOCK), len(ids))
-            largest = float(np.abs(columns).max()) if columns.size else 0.0
             wanted = _matrix(queries, dim)
+            exact = columns.dtype == object or wanted.dtype == object
+            if not exact:
+                square = columns.astype(np.float64) ** 2
+                masses = np.array([square[a : a + BLOCK].sum(axis=0) for a in range(0, dim, BLOCK)]).reshape(-(-dim // BLOCK), len(ids))
+                largest = float(np.abs(columns).max()) if columns.size else 0.0
             for own, key, query in zip(queries.column("vec_id").to_pylist(), queries.column("key").to_pylist(), wanted, strict=True):
-                if largest * np.abs(query.astype(np.float64)).sum() < _LIMIT:
-                    found, scores = best(query, columns, masses, ids, own, k)
+                if not exact and largest * np.abs(query.astype(np.float64)).sum() < _LIMIT:
+                    found = [(i, s, None) for i, s in zip(*(x.tolist() for x in best(query, columns, masses, ids, own, k)), strict=True)]
                 else:
-                    found, scores = _plain(query, columns, ids, own, k)
-                out.append((np.full(len(found), own), np.full(len(found), key), found, scores))
-        parts = [np.concatenate(x) if out else np.empty(0, np.int64) for x in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "key", "vec_id", "score"), parts, strict=True)})
+                    found = _plain(query, columns, ids, own, k)
+                for i, s, beyond in found:
+                    for name, x in zip(out, (own, key, i, s, beyond), strict=True):
+                        out[name].append(x)
+        return pa.table({n: pa.array(x, pa.binary() if n == "beyond" else pa.int64()) for n, x in out.items()})
 
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int = 4096, cell_candidates: int = 16384) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int = 4096, cell_candidates: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k largest inner products.
 
     Components become floor(scale * x). Queries are the rows whose id is a multiple of ``every``;
     candidates are all rows with another id and as many dimensions. Ties go to the smaller id. Rows
     without id, null vectors, and vectors with a null or non-finite component take no part; rows that
-    repeat id and vector count once. Other columns are not read. An empty table gives no rows.
+    repeat id and vector count once. Other columns are not read. An empty table gives no rows. Scores are ranked
+    as they are, however large; one that no 64-bit number holds is given as the nearest, 2**63 - 1 or its negative.
     """
     read = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("vector"))
     rows = materialize(read.mapInArrow(_quantise(scale), "vec_id long, dim int, q binary").dropDuplicates(["vec_id", "q"]))
@@ -124,6 +143,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id
     queries = queries.withColumn("down", F.pmod(place, F.lit(down))).withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
     candidates = rows.withColumn("across", F.pmod(place, F.lit(across))).withColumn("down", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
     cell = ["dim", "across", "down"]
-    found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_search(k), "query_id long, key long, vec_id long, score long")
-    best_first = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_search(k), "query_id long, key long, vec_id long, score long, beyond binary")
+    best_first = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

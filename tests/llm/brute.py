@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +114,64 @@ def top_scores(rows, every=50, k=5):
             scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in use if j != i and len(v) == len(q))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
+
+
+def line_values(text):
+    """The features of each line of a text, by name."""
+    lines = text.encode().split(b"\n")
+    split = [[w for w in re.split(rb"[\x20\x09-\x0D]+", line) if w] for line in lines]
+    lower = [[w.lower() for w in ws] for ws in split]
+    symbols = set(b"!\"#$%&'()*+-/<=>@[\\]^_`{|}~")
+    every = [w for ws in lower for w in ws]
+    repeats = 1 - len(set(every)) / max(len(every), 1)
+    out = []
+    for line, ws, ls in zip(lines, split, lower, strict=True):
+        chars = len(line.decode())
+        some, each = max(chars, 1), max(len(ws), 1)
+        letters = sum(chr(b).isascii() and chr(b).isalpha() or b >= 192 for b in line)
+        sizes = [len(w) for w in ws]
+        mean = sum(sizes) / each
+        spread = math.sqrt(max(sum(s * s for s in sizes) / each - mean**2, 0))
+        out.append({
+            "length": math.log1p(chars), "upper": sum(65 <= b <= 90 for b in line) / max(letters, 1), "digit": sum(48 <= b <= 57 for b in line) / some, "stops": sum(b in b".,;:?" for b in line) / some,
+            "symbols": sum(b in symbols for b in line) / some, "foreign": sum(b >= 192 for b in line) / some, "word_length": min(mean, 40) / 10, "word_spread": min(spread, 40) / 10,
+            "adjacent_repeats": sum(a == b for a, b in zip(ls, ls[1:], strict=False)) / each, "distinct": len(set(ls)) / each, "symbol_ends": sum(w[-1] in symbols for w in ws) / each,
+            "repeated_line": float(bool(ls) and lower.count(ls) > 1), "capital_start": float(line[:1].isupper() and line[:1].isascii()), "full_stop_end": float(line.endswith(b".")), "document_repeats": repeats,
+            "empty": float(not ws), "bangs": line.count(b"!") / some, "letters_in_word": letters / max(sum(sizes), 1), "markup": sum(b in b"<>{}[]|=/\\" for b in line) / some,
+        })
+    return out, [max(len(line.decode()), 1) for line in lines]
+
+
+def quality_score(text, model):
+    """Marginals of a chain by forward and backward sums, one line after the other, weighted by length."""
+    from braidwork.llm.quality import FEATURES, NEIGHBOURS
+
+    values, weights = line_values(text)
+    own = []
+    for k, v in enumerate(values):
+        x = [v[name] for name in FEATURES]
+        for name in NEIGHBOURS:
+            x += [values[k - 1][name] if k else 0.0, values[k + 1][name] if k + 1 < len(values) else 0.0]
+        x.append(1.0)
+        z = [max(-8.0, min(8.0, (a - m) / s)) for a, m, s in zip(x, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        own.append(sum(a * b for a, b in zip(z, model.weights.tolist(), strict=True)))
+    steps = model.steps.tolist()
+
+    def passed(scores, weight):
+        """Normalised sums over the chains up to each line."""
+        out = []
+        for s in scores:
+            before = out[-1] if out else None
+            now = [sum(before[a] * math.exp(weight(a, b)) for a in (0, 1)) if before else 1.0 for b in (0, 1)]
+            now[1] *= math.exp(max(-700.0, min(700.0, s)))
+            total = sum(now)
+            out.append([now[0] / total, now[1] / total])
+        return out
+
+    forward = passed(own, lambda a, b: steps[a][b])
+    backward = passed(own[::-1], lambda a, b: steps[b][a])[::-1]
+    total = 0.0
+    for s, f, b, w in zip(own, forward, backward, weights, strict=True):
+        good, bad = f[1] * b[1] / math.exp(max(-700.0, min(700.0, s))), f[0] * b[0]
+        total += w * good / (good + bad)
+    return total / sum(weights)

@@ -1,3 +1,4 @@
+import math
 import random
 import time
 import zlib
@@ -331,6 +332,18 @@ def test_search(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_search_of_very_large_components(spark):
+    """Components beyond 64 bits are ranked by their whole scores."""
+    rows = [(0, [1.0, 1e-3])] + [(n, [float(2**60 + n * 2**9), -float(n)]) for n in range(1, 9)] + [(50, [1e18, 1e18]), (51, [1e300, -1e300]), (52, [-1e300, 1.0])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    wanted = []
+    for q in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        wanted += [(q, k + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df).collect()], wanted)
+
+
 def test_branch_and_bound_keeps_the_best():
     r = np.random.default_rng(3)
     columns = r.integers(-300, 300, (64, 3000))
@@ -438,6 +451,19 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([got[i]["predicted"] for i in held if labels[i]]) > 0.97
 
 
+def test_quality_query_equals_plain_version(spark):
+    """Every row's score: features line by line, probabilities of all chains by their sums, without arrays."""
+    docs = table(spark)
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, SF).collect()}
+    rows = pairs(docs)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        score = brute.quality_score(t or "", model)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6) and (abs(score - 0.5) < 1e-6 or got[i]["predicted"] == (score >= 0.5))
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
