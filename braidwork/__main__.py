@@ -7,10 +7,12 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans import experiment, mappings, sparql
-from .plans.store import DEFAULT_GRAPH, TripleStore
+from .plans.store import TripleStore
+from .settings import settings
 
 
 def main(arguments: list[str] | None = None) -> int:
+    known = settings()
     parser = argparse.ArgumentParser(prog="braidwork", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     convert = commands.add_parser("convert", help="source files to triples")
@@ -21,17 +23,17 @@ def main(arguments: list[str] | None = None) -> int:
     convert.add_argument("--force", action="store_true")
     for name, text in (("load", "triples into a graph"), ("query", "run a query"), ("clear", "drop a graph")):
         command = commands.add_parser(name, help=text)
-        command.add_argument("store")
+        command.add_argument("store", help="a folder; - for the one that the settings name")
         if name != "clear":
             command.add_argument("input", help="a folder of triples" if name == "load" else "the query")
-        command.add_argument("--graph", default=DEFAULT_GRAPH)
+        command.add_argument("--graph", default=known["store"]["default_graph"])
         if name == "query":
             command.add_argument("--output", help="a folder for the rows, instead of printing them")
     trial = commands.add_parser("run-experiment", help="from a graph and an ontology to folds, rules, labels and statistics")
     trial.add_argument("store")
     trial.add_argument("ontology", help="an OBO file")
     trial.add_argument("destination")
-    trial.add_argument("--graph", default=DEFAULT_GRAPH)
+    trial.add_argument("--graph", default=known["store"]["default_graph"])
     trial.add_argument("--tables", help="a folder of expression, complex, domain and scoring tables, for the kernels")
     trial.add_argument("--targets", nargs="*", help="outputs to make and show, instead of the data set")
     trial.add_argument("--aspects", nargs="*")
@@ -44,7 +46,7 @@ def main(arguments: list[str] | None = None) -> int:
         for target in args.targets:
             print(target, *mappings.convert(spark, args.root, target, args.parts, args.destination, args.force))
         return 0
-    store = TripleStore(spark, args.store)
+    store = TripleStore(spark, known["store"]["path"] if args.store == "-" else args.store)
     if args.command == "run-experiment":
         options = {k: getattr(args, k) for k in ("aspects", "max_depth", "min_annot", "num_folds", "seed", "min_sequence_len", "redundancy")}
         made = experiment.run(spark, lambda: store.graph(args.graph), args.ontology, args.destination, args.tables, args.targets, args.force, **options)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import terms as V
 from .functions import text as X
 from .lineage import checkpoint_folder, materialize
-from .operators import folds, kernels, network, ontology
+from .operators import folds, kernels, network, ontology, strings
 from .operators.strings import AMINO_ACIDS, BACKGROUND, PSSM_ORDER, one_letter, three_letter
 from .plans import experiment, mappings, sparql
 from .plans.stages import Scheduler, Stage
@@ -553,6 +553,53 @@ def src_test_folds(spark, sf):
     return files.test_folds(spark, f"{root}/test*.txt")
 
 
+@query(f"WITH {_SMALL} SELECT kind, count(*) AS cells, sum(k) AS total FROM g, (VALUES ('protein'), ('domain'), ('residue')) v(kind) GROUP BY kind")
+def src_gold_kernels(spark, sf):
+    root = scratch(spark)
+    cells = {(r["i"], r["j"]): r["k"] for r in small_kernel(spark, sf).collect()}  # 25 x 25
+    text = "".join(" ".join(str(cells[i, j]) for j in range(25)) + "\n" for i in range(25))
+    for kind, folder in (("protein", "ppi"), ("domain", "ddi"), ("residue", "rri")):
+        put(spark, f"{root}/{folder}/ready/{kind}Kernel.txt", text)
+    out = None
+    for kind, rows in files.gold_kernels(spark, root).items():
+        one = rows.select(F.lit(kind).alias("kind"), F.explode("row").alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kind").agg(F.count("*").alias("cells"), F.sum("k").alias("total"))
+
+
+@query("SELECT 'Y' || n_nationkey AS p, row_number() OVER (ORDER BY n_nationkey % 2, n_nationkey) - 1 AS index, n_nationkey % 2 = 0 AS positive FROM nation")
+def gold_pair_order(spark, sf):
+    """Pairs in the order of their files, positive ones first."""
+    root, keys = scratch(spark), sorted(r["n_nationkey"] for r in read(spark, sf, "nation").collect())  # 25 rows
+    for name, kept in (("proteins", keys), ("goldPosProteinPairs", [k for k in keys if k % 2 == 0]), ("goldNegProteinPairs", [k for k in keys if k % 2])):
+        put(spark, f"{root}/ppi/ready/{name}.txt", "".join(f"Y{k} Y{k}\n" for k in kept))
+    return files.gold_order(spark, root, "protein")[1].select("p", "index", "positive")
+
+
+@query("SELECT n_nationkey::BIGINT AS line, (n_nationkey % 3)::VARCHAR AS value FROM nation")
+def sink_vector(spark, sf):
+    path = scratch(spark)
+    sinks.write_vector(read(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") % 3).alias("y")), path)
+    rows = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "part-"), -1).alias("f"), F.monotonically_increasing_id().alias("at"), "value")
+    return rows.withColumn("key", F.concat_ws("|", "f", F.lpad(F.col("at").cast("string"), 20, "0"))).join(network.number(rows.withColumn("key", F.concat_ws("|", "f", F.lpad(F.col("at").cast("string"), 20, "0"))), "key"), "key").select(F.col("index").alias("line"), "value")
+
+
+@query("SELECT c_custkey::INTEGER AS c_custkey, c_acctbal::BIGINT::VARCHAR AS balance, true AS missing FROM customer")
+def src_table_cast(spark, sf):
+    """A table with a column cast, and one that isn't there."""
+    rows = files.table_or_none(spark, f"{sf}/customer.parquet", {"c_custkey": "int"})
+    missing = files.table_or_none(spark, f"{scratch(spark)}/none.parquet") is None
+    return rows.select("c_custkey", F.round("c_acctbal").cast("long").cast("string").alias("balance"), F.lit(missing).alias("missing"))
+
+
+@query("""WITH c AS (SELECT item_id AS i, lower(text) AS s FROM benchmark), m AS (SELECT i, substr(s, p, 4) AS f, count(*) AS v FROM (SELECT i, s, unnest(range(1, length(s) - 2)) AS p FROM c) WHERE regexp_full_match(substr(s, p, 4), '[a-z]{4}') GROUP BY ALL),
+    n AS (SELECT f FROM m GROUP BY f HAVING sum(v) >= 5) SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE AS k FROM m a JOIN m b USING (f) WHERE f IN (FROM n) GROUP BY ALL""")
+def spectrum_kernel_survivors(spark, sf):
+    """Only k-mers that occur five times or more over all strings count."""
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("i"), F.lower("text").alias("s"))
+    return rounded(strings.spectrum(rows, 4, "abcdefghijklmnopqrstuvwxyz", least=5))
+
+
 # The store, the runner of stages, and writers.
 
 
@@ -747,6 +794,13 @@ def iri_suffix(spark, sf):
     return iris.select("iri", V.local_name(F.col("iri")).alias("name"))
 
 
+@query("SELECT 'no sequence' AS \"check\", 'S0' || s_suppkey AS p, true AS fatal FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 30 = 0 UNION ALL SELECT 'no term', 'S0' || s_suppkey, false FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 2 = 1")
+def genes_incomplete(spark, sf):
+    """Genes without a sequence or a feature, and without a trusted term."""
+    t = genome(spark, sf)
+    return experiment.incomplete(experiment.gene_ids(t), experiment.gene_sequences(t), experiment.gene_features(t), experiment.gene_terms(t))
+
+
 # Functions.
 
 

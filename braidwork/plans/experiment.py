@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import predicate_name
+from ..lineage import materialize
 from ..operators import folds, kernels, network, ontology
 from ..sources import files, sinks
 from ..terms import local_name
@@ -113,22 +114,95 @@ def gold_positions(triples: DataFrame) -> DataFrame:
     return rows.select(local_name(F.col("d")).alias("domain"), local_name(F.col("r")).alias("residue"), "start", "stop", F.col("pos").alias("position"), local_name(F.col("pfam")).alias("family"))
 
 
+def gold_labels(pairs: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """(i, y) of ordered pairs (p, q, index): 1 or -1 as the graph has it; a pair with neither or both is an error."""
+    rows = folds.labelled(pairs.select("p", "q"), positive, negative)
+    return pairs.join(rows, ["p", "q"]).select(F.col("index").alias("i"), F.col("y").cast("double").alias("y"))
+
+
+def gold_stages(spark: SparkSession, load_triples: Callable[[], DataFrame], load: Callable[[str], object], root: str, kinds: tuple[str, ...] = ("colocalization", "expression", "complex", "interpro", "interpro_score", "profile", "random")) -> list[Stage]:
+    """Stages of a gold standard's proteins: orders, labels, a kernel and its pairwise kernel of each kind, their average
+    (without the random one), and the indices of the test folds.
+
+    ``root`` holds the gold standard's files, ``load`` is that of ``kernel_stages``. Kernels are of entities and pairs in
+    the order of the files. Parameters: gamma (1), pssm_k (4), pssm_threshold (6), seed (0), kernel_limit (4096).
+    """
+
+    def orders(c):
+        entities, pairs = files.gold_order(spark, root, "protein")
+        at = entities.withColumnRenamed("id", "e")
+        indexed = pairs.withColumnRenamed("index", "s").join(at.toDF("p", "i"), "p").join(at.toDF("q", "j"), "q")
+        return entities.select(F.col("id").alias("p"), F.col("index").alias("i")), indexed.select("p", "q", "s", "i", "j", "positive")
+
+    def labels(c, gold_pair_order):
+        t = load_triples()
+        return gold_labels(gold_pair_order.withColumnRenamed("s", "index"), gold_pairs(t, "protein", True), gold_pairs(t, "protein", False))
+
+    def kernel(kind: str):
+        def run(c, gold_order):
+            n, limit = gold_order.count(), c.get("kernel_limit", 4096)
+            if kind == "colocalization":
+                made = kernels.colocalization(gold_contexts(load_triples()).join(gold_order, "p").select("i", "chrom", "pos"), c.get("gamma", 1.0))
+            elif kind == "expression":
+                made = kernels.expression(gold_order.select("i", F.col("p").alias("gene")), load("expression"))
+            elif kind == "complex":
+                made = kernels.diffusion(kernels.cliques(load("complexes").join(gold_order, "p").select("i", "complex")), n, limit=limit)
+            elif kind in ("interpro", "interpro_score"):
+                made = kernels.interpro(gold_order.select("i", "p"), load("interpro"), "match" if kind == "interpro" else "evalue")
+            elif kind == "profile":
+                made = kernels.pssm(gold_order, load("pssm"), c.get("pssm_k", 4), c.get("pssm_threshold", 6.0))
+            else:
+                made = kernels.random_linear(gold_order.select("i"), seed=c.get("seed", 0))
+            return kernels.prepared(made, n, normalized=True, limit=limit)
+
+        return run
+
+    def pairwise(kind: str):
+        return lambda c, gold_pair_order, **one: kernels.pairwise(gold_pair_order.select("s", "i", "j"), one[f"gold_{kind}_kernel"])
+
+    def average(c, **pair_kernels):
+        return kernels.average(*pair_kernels.values())
+
+    def test_indices(c, gold_pair_order):
+        rows = files.test_folds(spark, f"{root}/ppi/ready/test*.txt")
+        return rows.join(gold_pair_order, ["p", "q"]).select("fold", "s")
+
+    averaged = tuple(f"gold_{k}_pair_kernel" for k in kinds if k != "random")
+    return [
+        Stage(orders, (), ("gold_order", "gold_pair_order")),
+        Stage(labels, ("gold_pair_order",), ("gold_y",)),
+        *[Stage(kernel(k), ("gold_order",), (f"gold_{k}_kernel",)) for k in kinds],
+        *[Stage(pairwise(k), ("gold_pair_order", f"gold_{k}_kernel"), (f"gold_{k}_pair_kernel",)) for k in kinds],
+        Stage(average, averaged, ("gold_average_pair_kernel",)),
+        Stage(test_indices, ("gold_pair_order",), ("gold_test_indices",)),
+    ]
+
+
 def redundancy_filter(sequences: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
     """(p): one member of each cluster of similar sequences, the longest (ties: the smallest name).
 
     Stands in for an external clustering tool, whose output ``sources.files.clusters`` reads as well. Similar are
     sequences that share at least ``threshold`` of the shorter one's different k-mers. Clusters are greedy by
     length: a sequence goes if a kept longer one is similar, which is settled in rounds.
-    """
-    from ..lineage import materialize
 
+    Of two similar sequences, the one with fewer k-mers shares one of its rarest with the other: as many as it may lack
+    and one more. Only these are joined, so that a k-mer which all sequences have makes no pairs, and then counted in full.
+    """
     grams = sequences.where(F.length("seq") >= k).select("p", F.length("seq").alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr("seq", i, F.lit(k))))).alias("g"))
-    sizes = grams.groupBy("p").agg(F.count("*").alias("size"), F.max("n").alias("n"))
-    shared = grams.select("p", "g").join(grams.select(F.col("p").alias("q"), "g"), "g").where("p <> q").groupBy("p", "q").agg(F.count("*").alias("both"))
-    shared = shared.join(sizes, "p").join(sizes.select(F.col("p").alias("q"), F.col("size").alias("size2"), F.col("n").alias("n2")), "q")
-    # q stands before p.
-    before = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("q") < F.col("p")))
-    edges = materialize(shared.where((F.col("both") >= threshold * F.least("size", "size2")) & before).select("p", "q"))
+    sets = grams.groupBy("p").agg(F.collect_list("g").alias("set"), F.max("n").alias("n"))  # of one sequence each
+    sets = materialize(sets.withColumn("size", F.size("set")))
+    grams = sets.select("p", "size", F.explode("set").alias("g"))
+    rarity = grams.groupBy("g").agg(F.count("*").alias("holders"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("holders", "g"))
+    rare = grams.join(rarity, "g").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1)
+    holder = grams.select(F.col("p").alias("q"), F.col("size").alias("size2"), "g")
+    pairs = rare.select("p", "size", "g").join(holder, "g").where("p <> q AND size <= size2").select("p", "q").distinct()
+    pairs = pairs.join(sets, "p").join(sets.toDF("q", "set2", "n2", "size2"), "q")
+    pairs = pairs.where(F.size(F.array_intersect("set", "set2")) >= threshold * F.col("size"))
+    # The longer one stands before the other; of equal ones, the one with the smaller name.
+    first = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("q") < F.col("p")))
+    edges = pairs.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("q"))
+    edges = materialize(edges.distinct())
     left = materialize(sequences.select("p").distinct())
     kept = None
     while not left.isEmpty():
@@ -167,6 +241,7 @@ def statistics(entities: DataFrame, terms: DataFrame, annotations: DataFrame, hi
     add(entity_folds.groupBy("fold").agg(F.count("*").alias("n")), "entities by fold", "fold", "n")
     add(folds.imbalance(entity_folds, annotations.select("p", F.col("id").alias("feature")), k), "imbalance by fold", "fold", "unbalance")
     add(pair_folds.groupBy("fold").agg(F.count("*").alias("n")), "pairs by fold", "fold", "n")
+    add(network.asymmetric(pair_folds).agg(F.count("*").alias("n")).withColumn("of", F.lit("")), "pairs without their mirror", "of", "n")
     add(folds.pairs_per_entity(entity_folds, pair_folds), "pairs an entity by fold", "fold", "pairs_per_entity")
     return out
 

@@ -242,6 +242,28 @@ def gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return out
 
 
+def gold_order(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(id, index) and (p, q, index, positive) of a kind of the gold standard in the order of its files, positive pairs first."""
+    folder, size, name = {"protein": ("ppi", 1, "Protein"), "domain": ("ddi", 2, "Domain"), "residue": ("rri", 3, "Residue")}[kind]
+    base = f"{root}/{folder}/ready"
+
+    def named(first: int):
+        return F.array_join(F.slice("words", first, size), "_")
+
+    entities = tokens(spark, f"{base}/{kind}s.txt").select(named(1).alias("id"), "line")
+    entities = entities.join(number(entities, "line"), "line").select("id", "index")
+    pairs = None
+    for state, sign in ((True, "Pos"), (False, "Neg")):
+        rows = tokens(spark, f"{base}/gold{sign}{name}Pairs.txt").select(F.struct(F.lit(not state).alias("after"), "line").alias("place"), named(1).alias("p"), named(1 + size).alias("q"), F.lit(state).alias("positive"))
+        pairs = rows if pairs is None else pairs.unionByName(rows)
+    return entities, pairs.join(number(pairs, "place"), "place").select("p", "q", "index", "positive")
+
+
+def gold_kernels(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The matrices that come with the gold standard, (i, row) of each kind."""
+    return {kind: matrix(spark, f"{root}/{folder}/ready/{kind}Kernel.txt") for kind, folder in (("protein", "ppi"), ("domain", "ddi"), ("residue", "rri"))}
+
+
 def test_folds(spark: SparkSession, pattern: str, size: int = 1) -> DataFrame:
     """(fold, p, q): the pairs of fold files, whose first line doesn't count; the fold is the number in the name."""
     rows = tokens(spark, pattern, skip=1)

@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from braidwork import settings
 from braidwork import terms as V
 from braidwork.__main__ import main
 from braidwork.functions import numeric, text
@@ -516,3 +519,60 @@ def test_conversion_and_streams(spark, tmp_path):
     rule = mapping.iri(V.pdb(F.col("PDB_ID"), F.col("PDB_CHAIN")), V.own("sifts_same_as"), V.uniprot(F.col("SP_ID")))
     streams.stream_triples(stream, [rule], f"{out}/stream", f"{out}/state").awaitTermination(60)
     assert spark.read.parquet(f"{out}/stream").count() == 1
+
+
+def test_redundancy_equals_plain_version(spark):
+    """Sequences that all share a part, some of them similar."""
+    r = random.Random(4)
+    common = "".join(r.choices("ACDEFGHIKL", k=30))
+    rows = {}
+    for k in range(25):
+        own = "".join(r.choices("MNPQRSTVWY", k=r.randint(5, 80)))
+        rows[f"p{k}"] = common + own
+        if k % 3 == 0:
+            rows[f"q{k}"] = common + own[: r.randint(1, len(own))] + "".join(r.choices("MNP", k=r.randint(0, 20)))
+    for threshold in (0.5, 0.8):
+        grams = {p: {s[i : i + 5] for i in range(len(s) - 4)} for p, s in rows.items()}
+        kept = []
+        for p in sorted(rows, key=lambda p: (-len(rows[p]), p)):
+            if all(len(grams[p] & grams[q]) < threshold * min(len(grams[p]), len(grams[q])) for q in kept):
+                kept.append(p)
+        got = experiment.redundancy_filter(spark.createDataFrame([*rows.items()], "p string, seq string"), threshold)
+        assert sorted(x["p"] for x in got.collect()) == sorted(kept) and 1 < len(kept) < len(rows)
+
+
+def test_gold_pipeline(spark, tmp_path):
+    """Kernels of a gold standard's proteins in the order of its files."""
+    names = [f"Y{k}" for k in (3, 0, 2, 1, 4)]
+    ready = tmp_path / "gold/ppi/ready"
+    ready.mkdir(parents=True)
+    (ready / "proteins.txt").write_text("".join(f"{n}\n" for n in names))
+    positive, negative = [("Y0", "Y3"), ("Y2", "Y1")], [("Y4", "Y0"), ("Y1", "Y3")]
+    (ready / "goldPosProteinPairs.txt").write_text("".join(f"{p} {q}\n" for p, q in positive))
+    (ready / "goldNegProteinPairs.txt").write_text("".join(f"{p} {q}\n" for p, q in negative))
+    (ready / "test0.txt").write_text("head\nY2 Y1\nY4 Y0\n")
+    t = mapping.to_triples(spark.createDataFrame([(n,) for n in names], "n string"), [mapping.iri(V.mint("gold_protein", F.col("n")), V.TYPE, V.own("gold_protein"))])
+    for pairs, verb in ((positive, "gold_interacts_with"), (negative, "gold_not_interacts_with")):
+        t = t.unionByName(mapping.to_triples(spark.createDataFrame(pairs, "p string, q string"), [mapping.iri(V.mint("gold_protein", F.col("p")), V.own(verb), V.mint("gold_protein", F.col("q")))]))
+    hits = spark.createDataFrame([(n, "Pfam", f"F{k % 2}", "0.1") for k, n in enumerate(names)], "p string, DB string, FAMILY string, EVALUE string")
+    todo = experiment.gold_stages(spark, lambda: t, lambda name: hits, str(tmp_path / "gold"), ("interpro", "random"))
+    out = Scheduler(spark, todo, str(tmp_path / "cache"), {}).run(["gold_y", "gold_interpro_kernel", "gold_average_pair_kernel", "gold_random_pair_kernel", "gold_test_indices"])
+    assert {(r["i"], r["y"]) for r in out["gold_y"].collect()} == {(0, 1.0), (1, 1.0), (2, -1.0), (3, -1.0)}
+    m = np.array([[float(a % 2 == b % 2) for b in range(5)] for a in range(5)])
+    assert {(r["i"], r["j"]) for r in out["gold_interpro_kernel"].collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(m), strict=True)}
+    at = [(names.index(p), names.index(q)) for p, q in positive + negative]
+    wanted = np.array([[m[i, a] * m[j, b] + m[i, b] * m[j, a] for a, b in at] for i, j in at])
+    got = np.zeros((4, 4))
+    for r in out["gold_average_pair_kernel"].collect():
+        got[r["i"], r["j"]] = r["k"]
+    assert np.allclose(got, wanted)
+    assert out["gold_random_pair_kernel"].where("i = j").count() == 4
+    assert {(r["fold"], r["s"]) for r in out["gold_test_indices"].collect()} == {(0, 1), (0, 2)}
+
+
+def test_settings(tmp_path):
+    assert settings.settings([tmp_path / "none.ini"]) == settings.DEFAULTS
+    (tmp_path / "a.ini").write_text("[store]\npath = /data/store\n[other]\nx = %y\n")
+    found = settings.settings([tmp_path / "none.ini", tmp_path / "a.ini"])
+    assert found["store"] == {"path": "/data/store", "default_graph": settings.DEFAULTS["store"]["default_graph"]} and found["other"] == {"x": "%y"}
+    assert [p.name for p in settings.places({"HOME": str(tmp_path)})] == ["braidwork.ini"] * 2
