@@ -584,12 +584,12 @@ def sink_vector(spark, sf):
     return rows.withColumn("key", F.concat_ws("|", "f", F.lpad(F.col("at").cast("string"), 20, "0"))).join(network.number(rows.withColumn("key", F.concat_ws("|", "f", F.lpad(F.col("at").cast("string"), 20, "0"))), "key"), "key").select(F.col("index").alias("line"), "value")
 
 
-@query("SELECT c_custkey::INTEGER AS c_custkey, c_acctbal::BIGINT::VARCHAR AS balance, true AS missing FROM customer")
+@query("SELECT c_custkey::INTEGER AS c_custkey, floor(c_acctbal)::BIGINT::VARCHAR AS balance, true AS missing FROM customer")
 def src_table_cast(spark, sf):
     """A table with a column cast, and one that isn't there."""
     rows = files.table_or_none(spark, f"{sf}/customer.parquet", {"c_custkey": "int"})
     missing = files.table_or_none(spark, f"{scratch(spark)}/none.parquet") is None
-    return rows.select("c_custkey", F.round("c_acctbal").cast("long").cast("string").alias("balance"), F.lit(missing).alias("missing"))
+    return rows.select("c_custkey", F.floor("c_acctbal").cast("long").cast("string").alias("balance"), F.lit(missing).alias("missing"))
 
 
 @query("""WITH c AS (SELECT item_id AS i, lower(text) AS s FROM benchmark), m AS (SELECT i, substr(s, p, 4) AS f, count(*) AS v FROM (SELECT i, s, unnest(range(1, length(s) - 2)) AS p FROM c) WHERE regexp_full_match(substr(s, p, 4), '[a-z]{4}') GROUP BY ALL),
