@@ -297,7 +297,12 @@ def test_folds(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 10
     most = dealt.join(feats.where("feature <> 'g'"), "p").groupBy("fold", "feature").count().agg(F.max("count")).first()[0]
     assert most <= 2  # four entities over five folds, in two rounds at most
-    assert folds.feature_order({("a",): 5, ("a", "b"): 1, ("c",): 1}) == [("b", {("a", "b")}), ("c", {("c",)}), ("a", {("a",)})]
+    assert folds.feature_order({("a",): 5, ("a", "b"): 1, ("c",): 1}) == ["b", "c", "a"]
+    r = random.Random(3)
+    members = spark.createDataFrame([(f"e{k}", f) for k in range(60) for f in r.sample("abcdefg", k=r.randint(0, 3))], "p string, feature string")
+    every = spark.createDataFrame([(f"e{k}",) for k in range(70)], "p string")
+    one, other = (sorted(tuple(x) for x in folds.balanced_folds(every, members, 4, 2, most).collect()) for most in (1000, 1))
+    assert one == other and len(one) == 70
     pairs = network.symmetrize(spark.range(23).select(F.format_string("e%02d", "id").alias("p"), F.format_string("e%02d", F.col("id") + 20).alias("q")))
     both = folds.pair_folds(pairs, pairs.limit(0), 5, seed=1).cache()
     assert sorted(r["count"] for r in both.groupBy("fold").count().collect()) == [8, 8, 8, 8, 14]
