@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def low_complexity(sequences: DataFrame, windows: tuple[int, ...] = (8, 16, 32,
     return rows.select("i", "pos", *[entropy(F.col(f"c{w}"), epsilon).alias(f"entropy_{w}") for w in windows])
 
 
+def summarised(sequences: DataFrame, get_phi: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Features of one's own: ``get_phi`` turns (i, s) into rows (i, pos, numbers), whose means by sequence are given."""
+    return per_sequence(get_phi(sequences))
+
+
 def per_sequence(phi: DataFrame) -> DataFrame:
     """Means over the residues of each sequence."""
     return phi.groupBy("i").agg(*[F.avg(c).alias(c) for c in phi.columns if c not in ("i", "pos")])

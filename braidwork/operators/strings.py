@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +68,29 @@ def spectrum(strings: DataFrame, k: int, alphabet: str = AMINO_ACIDS, least: int
     return _gram(spectrum_counts(strings, k, alphabet), least)
 
 
-def mismatch(strings: DataFrame, k: int, m: int = 1, alphabet: str = AMINO_ACIDS, least: int = 1) -> DataFrame:
-    """k-mers within Hamming distance m. Different k-mers are expanded once, level by level, pruned at m."""
-    check_arguments(strings, k, alphabet)
+def by_expansion(strings: DataFrame, k: int, expand: Callable[[DataFrame], DataFrame], least: int = 1) -> DataFrame:
+    """A string kernel of one's own: ``expand`` turns different k-mers (kmer) into the leaves that they reach, (kmer, f)."""
     counts = kmers(strings, k).groupBy("i", "kmer").agg(F.count("*").cast("double").alias("v"))
     # The reach of a k-mer depends on it alone: different ones are expanded once.
-    level = counts.select("kmer").distinct().select("kmer", F.lit("").alias("leaf"), F.lit(0).alias("mm"))
-    symbols = F.explode(F.array(*[F.lit(a) for a in alphabet]))
-    for d in range(1, k + 1):
-        level = level.select("kmer", "leaf", "mm", symbols.alias("a"))
-        level = level.select("kmer", F.concat("leaf", "a").alias("leaf"), (F.col("mm") + (F.substring("kmer", d, 1) != F.col("a")).cast("int")).alias("mm")).where(F.col("mm") <= m)
-    reached = counts.join(level.select("kmer", F.col("leaf").alias("f")), "kmer").groupBy("i", "f").agg(F.sum("v").alias("v"))
+    reached = counts.join(expand(counts.select("kmer").distinct()), "kmer").groupBy("i", "f").agg(F.sum("v").alias("v"))
     return _gram(reached, least)
 
 
+def mismatch(strings: DataFrame, k: int, m: int = 1, alphabet: str = AMINO_ACIDS, least: int = 1) -> DataFrame:
+    """k-mers within Hamming distance m. Different k-mers are expanded once, level by level, pruned at m."""
+    check_arguments(strings, k, alphabet)
+
+    def near(different: DataFrame) -> DataFrame:
+        level = different.select("kmer", F.lit("").alias("leaf"), F.lit(0).alias("mm"))
+        symbols = F.explode(F.array(*[F.lit(a) for a in alphabet]))
+        for d in range(1, k + 1):
+            level = level.select("kmer", "leaf", "mm", symbols.alias("a"))
+            level = level.select("kmer", F.concat("leaf", "a").alias("leaf"), (F.col("mm") + (F.substring("kmer", d, 1) != F.col("a")).cast("int")).alias("mm")).where(F.col("mm") <= m)
+        return level.select("kmer", F.col("leaf").alias("f"))
+
+    return by_expansion(strings, k, near, least)
+
+
 def profile(profiles: DataFrame, k: int, threshold: float = 6.0, alphabet: str = AMINO_ACIDS, least: int = 1) -> DataFrame:
     """Leaves whose cost, summed over k successive positions, is at most the threshold.
 

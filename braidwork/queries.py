@@ -311,6 +311,12 @@ def sparse_linear_kernel(spark, sf):
     return rounded(kernels.sparse_linear(supplier_brands(spark, sf)))
 
 
+@query("""SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, round(exp(-abs(a.n_nationkey - b.n_nationkey) / 5), 6) AS k FROM nation a, nation b""")
+def kernel_of_pairs(spark, sf):
+    rows = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    return rounded(kernels.of_pairs(rows, lambda a, b: F.exp(-F.abs(a("i") - b("i")) / 5), block=8))
+
+
 @query("""WITH v AS (SELECT user_id AS i, event_type AS f, count(*) AS v FROM events GROUP BY ALL)
     SELECT a.i, b.i AS j, sum(least(a.v, b.v))::DOUBLE AS k FROM v a JOIN v b USING (f) GROUP BY ALL""")
 def intersection_kernel(spark, sf):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.operators import kernels, strings
+from braidwork.operators import features, kernels, strings
 
 
 def cells(spark, matrix):
@@ -225,3 +225,18 @@ def test_kernels_are_symmetric(spark):
         assert np.allclose(m, m.T)
         assert np.allclose(np.diag(dense(kernels.normalize(k), 3)), 1)
     assert kernels.mirror(spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0)], "i long, j long, k double")).agg(F.sum("k")).first()[0] == 5
+
+
+def test_kernels_of_ones_own(spark):
+    x = np.random.default_rng(8).normal(size=(9, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i long, a double, b double")
+
+    def near(left, right):
+        return F.exp(-((left("a") - right("a")) * (left("a") - right("a")) + (left("b") - right("b")) * (left("b") - right("b"))))
+
+    close(kernels.of_pairs(df, near, block=4), np.exp(-((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)))
+    values = random_strings(4, 14)
+    first = strings.by_expansion(texts(spark, *values), 2, lambda different: different.select("kmer", F.substring("kmer", 1, 1).alias("f")))
+    close(first, gram([Counter(v[:-1]) for v in values]))
+    lengths = features.summarised(texts(spark, *values), lambda s: features.residues(s).select("i", "pos", (F.col("residue") == "A").cast("double").alias("share")))
+    assert {r["i"]: pytest.approx(r["share"]) for r in lengths.collect()} == {i: v.count("A") / len(v) for i, v in enumerate(values)}
