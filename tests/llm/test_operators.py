@@ -246,15 +246,15 @@ def test_depth_follows_density():
     values = r.integers(0, 1 << 20, (9000, minhash.DEEPEST))
     values[:20, :2] = 7  # sparse: two values are enough
     values[20:5000, :3] = 9  # dense at three values, parted by the fourth
-    values[20:5000, 3] = r.integers(0, 8, 4980)
+    values[20:5000, 3] = r.integers(0, 16, 4980)
     values[5000:5010, :1] = 5  # one value isn't
     values[6000:, :] = 3  # all alike
     rows = sorted_labels(values)
     found = dict(zip(rows[:, -1].tolist(), minhash.parts(rows).tolist(), strict=True))
     assert len({found[i] for i in range(20)}) == 1 and 0 not in {found[i] for i in range(20)}
     assert {found[i] for i in range(5000, 5010)} == {0}
-    by_fourth = {v: {found[i] for i in range(20, 5000) if values[i, 3] == v} for v in range(8)}
-    assert all(len(x) == 1 for x in by_fourth.values()) and len(set.union(*by_fourth.values())) == 8
+    by_fourth = {v: {found[i] for i in range(20, 5000) if values[i, 3] == v} for v in range(16)}
+    assert all(len(x) == 1 for x in by_fourth.values()) and len(set.union(*by_fourth.values())) == 16
     sizes = np.unique([found[i] for i in range(6000, 9000)], return_counts=True)[1]
     assert sizes.max() <= minhash.REGION and sizes.sum() == 3000 and found[6000] != 0
 
