@@ -87,7 +87,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_WORDS = "words AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents))"
+
+
+def _run_of(n: int) -> str:
+    """``n`` successive words of a document, null where fewer are left."""
+    return " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER w" for k in range(1, n))])
+
+
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH {_WORDS.format(text="coalesce(text, '')")},
+        starts AS (SELECT doc_id, i, word, {_run_of(13)} AS run FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        seen AS (SELECT doc_id, i, word, coalesce(first < doc_id, false)::INTEGER AS again FROM starts LEFT JOIN (SELECT run, min(doc_id) AS first FROM starts WHERE run IS NOT NULL GROUP BY run) USING (run)),
+        judged AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM seen)
+        SELECT doc_id, count(word) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+        FROM documents LEFT JOIN judged USING (doc_id) GROUP BY doc_id""",
+    "op5_minhash_dedup": f"""
+        WITH RECURSIVE {_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")},
+        runs AS (SELECT doc_id, {_run_of(5)} AS run FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        sets AS (SELECT DISTINCT doc_id, run FROM runs WHERE run IS NOT NULL UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM words GROUP BY doc_id HAVING count(*) < 5),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT b, other FROM reached JOIN links ON a = doc_id),
+        classes AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM classes LEFT JOIN sizes USING (doc_id)""",
     "op1_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
