@@ -18,6 +18,10 @@ from ..functions.numeric import decay
 from ..lineage import materialize
 
 
+#: Rows of an inverted index up to which it is broadcast (some ten MB).
+BROADCAST_ROWS = 200_000
+
+
 def mirror(lower: DataFrame) -> DataFrame:
     """Both triangles of a kernel whose cells have i >= j."""
     flipped = F.array(F.struct("i", "j", "k"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
@@ -25,9 +29,18 @@ def mirror(lower: DataFrame) -> DataFrame:
     return lower.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def _index_join(features: DataFrame, cell: Column) -> DataFrame:
-    a = features.select("f", F.col("i"), F.col("v").alias("a"))
-    b = features.select("f", F.col("i").alias("j"), F.col("v").alias("b"))
+def _index_join(features: DataFrame, cell: Column, kept: bool = True) -> DataFrame:
+    """Cells out of all pairs of entities that share a feature.
+
+    With ``kept`` the index is made once and counted. A small one is sent to tasks that hold whole entities each, so that
+    cells are summed where they are made. A large one is joined by feature, and partial sums are shuffled by cell.
+    """
+    features = features.select("i", "f", "v")
+    features = materialize(features) if kept else features
+    a, b = features.select("f", "i", F.col("v").alias("a")), features.select("f", F.col("i").alias("j"), F.col("v").alias("b"))
+    if kept and features.count() <= BROADCAST_ROWS:
+        tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a, b = a.repartition(tasks, "i"), F.broadcast(b)
     lower = a.join(b, "f").where("i >= j").groupBy("i", "j").agg(cell.alias("k"))
     return mirror(lower.where("k <> 0"))
 
@@ -45,7 +58,7 @@ def intersection(features: DataFrame) -> DataFrame:
 def set_intersection(items: DataFrame) -> DataFrame:
     """Sizes of the intersections of sets (i, item)."""
     rows = items.select("i", F.col("item").alias("f"), F.lit(1).alias("v")).distinct()
-    return _index_join(rows, F.count("*").cast("double"))
+    return _index_join(rows, F.count("*").cast("double"), kept=False)
 
 
 def _product(left: pa.Table, right: pa.Table) -> pa.Table:
