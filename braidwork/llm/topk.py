@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize
+from .common import lean, materialize, shuffle_partitions
 
 #: Dimensions in a block.
 BLOCK = 8
@@ -124,7 +124,7 @@ def _search(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int = 4096, cell_candidates: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int = 4096, cell_candidates: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k largest inner products.
 
     Components become floor(scale * x). Queries are the rows whose id is a multiple of ``every``;
@@ -143,6 +143,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id
     queries = queries.withColumn("down", F.pmod(place, F.lit(down))).withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
     candidates = rows.withColumn("across", F.pmod(place, F.lit(across))).withColumn("down", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
     cell = ["dim", "across", "down"]
+    # Cells are small and take long, so they are dealt out by number, not gathered by size.
+    tasks = shuffle_partitions(vectors.sparkSession)
+    queries, candidates = queries.repartition(tasks, *cell), candidates.repartition(tasks, *cell)
     found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_search(k), "query_id long, key long, vec_id long, score long, beyond binary")
     best_first = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
