@@ -84,14 +84,14 @@ def _to_buckets(width: int, period: int, buckets: int):
         last = np.concatenate([at[1:], [len(keys)]]).astype(np.int64) - 1
         several = (holders[last] != holders[at]).astype(np.uint8) if len(at) else np.empty(0, np.uint8)
         keys = keys[at]
-        return _pack(docs.column("block")[0].as_py(), _bucket(keys, buckets), {"keys": keys, "several": several})
+        return _pack(docs.column("block")[0].as_py(), _bucket(keys, buckets), {"keys": keys.astype("<u4"), "several": several})
 
     return run
 
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Bucket -> for each block, those of its anchors that two documents or more have."""
-    keys, row = _unpack(rows, "keys", "<u8")
+    keys, row = _unpack(rows, "keys", "<u4")
     several, _ = _unpack(rows, "several", "u1")
     order = np.argsort(keys, kind="stable")
     keys, row, several = keys[order], row[order], several[order].astype(bool)
@@ -121,7 +121,9 @@ def _extend(width: int, period: int, buckets: int):
             return nothing
         ids, words, of, ends = _words(docs)
         places, keys = _anchors(words, of, ends, width, period)
-        common = np.unique(_unpack(shared, "keys", "<u8")[0])
+        low, row = _unpack(shared, "keys", "<u4")
+        common = np.unique(shared.column("bucket").to_numpy()[row] << 32 | low)
+        keys = _bucket(keys, buckets) << 32 | keys.astype("<u4")
         near = np.zeros(len(of) + 1, np.int64)
         near[1 + places[common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys]] = 1
         near = np.cumsum(near)
@@ -219,7 +221,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     other's words; a row with a null id removes nothing and loses nothing. Other columns are not read. An
     empty table gives no rows.
 
-    The texts are shuffled once, by block, and read thrice from that. Keys: 64 bits for an anchor, which
+    The texts are shuffled once, by block, and read thrice from that. Keys: a bucket and 32 bits for an anchor, which
     decides only what is compared further, and 96 bits for a window, from two independent hashes of each word.
     Blocks are of ``BLOCK_BYTES`` on the average, whatever the input (its size is one sum over the column), and
     there are as many buckets, so that these are of bounded size too. A step sends at most a row for each
