@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, lines, minhash, packing, quality, secrets, substring, topk
+from . import bpe, chat, exact, importance, lines, minhash, packing, quality, secrets, substring, topk
 from .common import table
 
 
@@ -76,11 +76,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_packing, op3_substring_dedup, op4_line_dedup, op5_minhash_dedup,
-        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets,
+        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets, op13_importance,
     )
 }
 
@@ -95,6 +100,15 @@ def _run_of(n: int) -> str:
     return " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER w" for k in range(1, n))])
 
 
+# CRC-32 by bits: its table, and the checksum of a text in UTF-8 by way of its hexadecimal digits.
+_CRC_BYTE = "list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b)"
+_HEX = "0123456789ABCDEF"
+_CRC = f"""xor(4294967295, list_reduce(
+    list_transform(range(1, 1 + octet_length(encode({{0}}))), lambda k: 16 * (strpos('{_HEX}', hex({{0}})[2 * k - 1]) - 1) + strpos('{_HEX}', hex({{0}})[2 * k]) - 1),
+    lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)]), 4294967295))"""
+
+_WORDS_13 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": f"""
         WITH {_WORDS.format(text="coalesce(text, '')")},
@@ -158,4 +172,21 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
             doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM normalised""",
+    "op13_importance": f"""
+        WITH cut AS (SELECT 0 AS kind, doc_id, {_WORDS_13} AS w FROM documents UNION ALL SELECT 1, NULL, {_WORDS_13} FROM benchmark),
+        runs AS (SELECT kind, doc_id, w, list_filter(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), lambda f: f IS NOT NULL) AS fs FROM cut),
+        features AS (SELECT kind, doc_id, unnest(fs) AS f FROM runs),
+        named AS (SELECT DISTINCT f FROM features),
+        crc_table AS (SELECT list({_CRC_BYTE} ORDER BY b) AS crc_table FROM (SELECT unnest(range(256)) AS b)),
+        buckets AS (SELECT f, {_CRC.format("f")} % 10000 AS bucket FROM named, crc_table),
+        placed AS (SELECT kind, doc_id, bucket, count(*) AS n FROM features JOIN buckets USING (f) GROUP BY ALL),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM placed GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+        weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, len(fs) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM runs LEFT JOIN weights USING (doc_id) WHERE kind = 0
+        ), placed_docs AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed_docs""",
 }

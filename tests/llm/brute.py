@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\x0b\x0c\r"
@@ -175,3 +176,34 @@ def quality_score(text, model):
         good, bad = f[1] * b[1] / math.exp(max(-700.0, min(700.0, s))), f[0] * b[0]
         total += w * good / (good + bad)
     return total / sum(weights)
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def ngrams(text):
+    w = ALNUM.findall((text or "").translate(LOWER))
+    return len(w), [" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+
+def importance(rows, target, percent=5, least=20, buckets=10_000):
+    """(doc_id, n_features, weight, score, rank)"""
+    def counted(texts):
+        out = [0] * buckets
+        for t in texts:
+            for f in ngrams(t)[1]:
+                out[zlib.crc32(f.encode()) % buckets] += 1
+        return out
+
+    s, t = counted(x for _, x in rows), counted(target)
+    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + buckets) / ((a + 1) * (sum(t) + buckets)))) for a, b in zip(s, t, strict=True)]
+    out = []
+    for i, x in rows:
+        n, found = ngrams(x)
+        weight = sum(gain[zlib.crc32(f.encode()) % buckets] for f in found)
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is not None, r[0]))
+    for k, r in enumerate(able[: percent * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
