@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, importance, lines, minhash, packing, quality, secrets, substring, topk
-from .common import table
+from . import bpe, chat, exact, importance, lines, minhash, packing, quality, secrets, substring, topk, warc
+from ..lineage import checkpoint_folder
+from .common import materialize, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +78,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    pages = warc.read_archives(spark, folder, payloads=False).where("type <> 'warcinfo'")
+    done = materialize(pages.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # read whole by now, and of no use to anyone else
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "n_features", "weight", "score", "rank")
@@ -85,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_packing, op3_substring_dedup, op4_line_dedup, op5_minhash_dedup,
-        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets, op13_importance,
+        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets, op12_warc, op13_importance,
     )
 }
 
@@ -189,4 +201,11 @@ ORACLE: dict[str, str] = {
             FROM runs LEFT JOIN weights USING (doc_id) WHERE kind = 0
         ), placed_docs AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed_docs""",
+    "op12_warc": f"""
+        WITH read AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        named AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, unhex(sha1(payload))::BIT::VARCHAR AS bits FROM read)
+        SELECT page_id, octet_length(payload) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {" + ".join(f"{2 ** (4 - i)} * bits[5 * k + {i + 1}]::INTEGER" for i in range(5))}, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+        FROM named""",
 }
