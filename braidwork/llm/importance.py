@@ -20,14 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, rows_of
+from .common import lean, materialize, rows_of, word_spans
 
 #: Bytes of text that are looked at together; a longer text comes alone.
 SLICE = 1 << 20
 #: Words whose features are made together; a document of any length is a run of such stretches.
 STRETCH = 1 << 19
 _WORD_BYTE = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BYTE_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)  # of a register that holds 0
 
 
@@ -93,28 +92,9 @@ def checksums(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return out
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; each word's start, size and text."""
-    texts = texts.cast(pa.large_binary())
-    if texts.null_count:
-        texts = texts.fill_null(b"")
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    first = int(ends[0]) if len(ends) else 0
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[first : int(ends[-1])] if len(texts) and ends[-1] > first else np.zeros(0, np.uint8)
-    data, ends = _LOWER[raw], ends - first
-    inside = np.concatenate([[False], _WORD_BYTE[data], [False]])
-    opens, closes = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
-    cuts = ends[1:-1]
-    cuts = cuts[inside[cuts] & inside[cuts + 1]]  # two words that only a text's end parts
-    opens[cuts] = closes[cuts] = True
-    starts = np.flatnonzero(opens)
-    sizes = np.flatnonzero(closes) - starts
-    return data, starts, sizes, np.searchsorted(ends, starts, "right") - 1
-
-
 def features(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of every run of one to three words, a stretch of words at a time."""
-    data, starts, sizes, of = _words(texts)
+    data, starts, sizes, of = word_spans(texts, _WORD_BYTE)
     words, space = checksums(data, starts, sizes), np.uint32(zlib.crc32(b" "))
     one = np.ones(1, np.int64)
     for a in range(0, len(words), STRETCH):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, importance, lines, minhash, packing, quality, secrets, substring, topk, warc
+from . import bpe, chat, divergence, exact, importance, lines, minhash, packing, quality, secrets, substring, topk, warc
 from ..lineage import checkpoint_folder
 from .common import materialize, table
 
@@ -78,6 +78,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -97,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_packing, op3_substring_dedup, op4_line_dedup, op5_minhash_dedup,
-        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets, op12_warc, op13_importance,
+        op6_topk_search, op7_exact_dedup, op8_bpe, op9_quality, op10_secrets, op11_divergence, op12_warc, op13_importance,
     )
 }
 
@@ -208,4 +212,22 @@ ORACLE: dict[str, str] = {
             list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {" + ".join(f"{2 ** (4 - i)} * bits[5 * k + {i + 1}]::INTEGER" for i in range(5))}, 1)), 'string_agg', '') AS payload_digest,
             CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
         FROM named""",
+    "op11_divergence": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), words AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        sizes AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, sum(n)::BIGINT AS n FROM counts GROUP BY ALL),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(t.n, 0) + s.v) AS p, 1 + 1000000000 * (k.n + 1) // (s.n + s.v) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+        ), pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b USING (lang) LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source WHERE a.source <> b.source),
+        marks AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (FROM every UNION ALL FROM marks) QUALIFY part = 'pair' OR rank <= 200""",
 }

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\x0b\x0c\r"
@@ -207,3 +208,33 @@ def importance(rows, target, percent=5, least=20, buckets=10_000):
     for k, r in enumerate(able[: percent * len(able) // 100]):
         r[4] = k + 1
     return [tuple(r[:5]) for r in out]
+
+
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, least=3, most=200):
+    """[(lang, source, text)] -> [(lang, source, part, item, value, rank)]"""
+    out = []
+    rows = [tuple(x or "" for x in r) for r in rows]
+    for lang in {r[0] for r in rows}:
+        docs = [(s, LETTERS.findall(t.translate(LOWER))) for own, s, t in rows if own == lang]
+        seen = Counter(w for _, words in docs for w in set(words))
+        kept = sorted(w for w, n in seen.items() if n >= least)
+        groups = {s: Counter() for s, _ in docs}
+        for s, words in docs:
+            groups[s].update(w for w in words if seen[w] >= least)
+        whole = sum(groups.values(), Counter())
+
+        def shares(count, kept=kept):
+            total = sum(count.values())
+            return {w: 1 + 1_000_000_000 * (count[w] + 1) // (total + len(kept)) for w in kept}
+
+        p, q = {s: shares(c) for s, c in groups.items()}, shares(whole)
+        for s in groups:
+            found = {"pair": [(sum((p[s][w] - p[o][w]) ** 2 // p[o][w] for w in kept), o) for o in groups if o != s]}
+            found["term"] = [((p[s][w] - q[w]) ** 2 // q[w], w) for w in kept if groups[s][w] and p[s][w] > q[w]]
+            for part, items in found.items():
+                items.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (value, item) in enumerate(items) if part == "pair" or k < most]
+    return out
