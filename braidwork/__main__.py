@@ -49,7 +49,7 @@ def main(arguments: list[str] | None = None) -> int:
     store = TripleStore(spark, known["store"]["path"] if args.store == "-" else args.store)
     if args.command == "run-experiment":
         options = {k: getattr(args, k) for k in ("aspects", "max_depth", "min_annot", "num_folds", "seed", "min_sequence_len", "redundancy")}
-        made = experiment.run(spark, lambda: store.graph(args.graph), args.ontology, args.destination, args.tables, args.targets, args.force, **options)
+        made = experiment.run(spark, lambda: store.view(args.graph), args.ontology, args.destination, args.tables, args.targets, args.force, **options)
         for name, rows in made.items():
             print(name, *rows.columns, sep="\t")
             for row in rows.toLocalIterator():
@@ -58,7 +58,7 @@ def main(arguments: list[str] | None = None) -> int:
     if args.command == "load":
         store.load(spark.read.parquet(args.input), args.graph)
     elif args.command == "query":
-        rows = sparql.run(lambda g: store.graph(g or args.graph), args.input)
+        rows = sparql.run(lambda g: store.view(g or args.graph), args.input)
         if args.output:
             rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(args.output)
         else:

@@ -775,9 +775,7 @@ def interactions_by_any_predicate(spark, sf):
     return experiment.action_interactions(genome(spark, sf))
 
 
-@query("SELECT 'Y' || p_partkey || '_PF' || (p_size % 2) AS domain, 'Y' || p_partkey || '_PF' || (p_size % 2) || '_' || r AS residue, 2::BIGINT AS start, 9::BIGINT AS stop, r::BIGINT AS position, 'PF' || (p_size % 2) AS family FROM part, (VALUES (1), (5)) v(r) WHERE r BETWEEN 2 AND 9 AND p_size % 2 = 0")
-def positions_in_domains(spark, sf):
-    """A cyclic pattern: a residue's domain, its family, and a hit of that family on the protein's feature."""
+def gold_triples(spark, sf):
     part = read(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     gold = mappings.gold_standard(files.gold(spark, f"{gold_files(spark, sf)}/gold"))
@@ -785,7 +783,24 @@ def positions_in_domains(spark, sf):
     given = {"SGD_ID": F.concat(F.lit("S0"), key), "FEAT_TYPE": F.lit("ORF"), "FEAT_NAME": F.concat(F.lit("Y"), key), "METHOD": F.lit("Pfam"), "STATUS": F.lit("T"), "DB_MEMBERS": F.lit("PF0"), "START": F.lit("2"), "STOP": F.lit("9")}
     features = part.select(*[given[c].alias(c) if c in given else blank[c] for c in mappings.FEATURES])
     hits = part.select(*[given[c].alias(c) if c in given else blank[c] for c in mappings.DOMAINS])
-    return experiment.gold_positions(materialize(gold.unionByName(mappings.sgd_features(features)).unionByName(mappings.sgd_domains(hits))))
+    return gold.unionByName(mappings.sgd_features(features)).unionByName(mappings.sgd_domains(hits))
+
+
+_POSITIONS = "SELECT 'Y' || p_partkey || '_PF' || (p_size % 2) AS domain, 'Y' || p_partkey || '_PF' || (p_size % 2) || '_' || r AS residue, 2::BIGINT AS start, 9::BIGINT AS stop, r::BIGINT AS position, 'PF' || (p_size % 2) AS family FROM part, (VALUES (1), (5)) v(r) WHERE r BETWEEN 2 AND 9 AND p_size % 2 = 0"
+
+
+@query(_POSITIONS)
+def positions_in_domains(spark, sf):
+    """A cyclic pattern: a residue's domain, its family, and a hit of that family on the protein's feature."""
+    return experiment.gold_positions(materialize(gold_triples(spark, sf)))
+
+
+@query(_POSITIONS)
+def positions_by_statistics(spark, sf):
+    """The same over a store, whose statistics order its nineteen patterns."""
+    store = TripleStore(spark, scratch(spark))
+    store.load(gold_triples(spark, sf))
+    return experiment.gold_positions(store.view())
 
 
 @query(f"SELECT '{B}customer.' || c_custkey AS iri, c_custkey::VARCHAR AS name FROM customer")

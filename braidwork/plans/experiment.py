@@ -14,6 +14,9 @@ from ..sources import files, sinks
 from ..terms import local_name
 from . import sparql
 from .stages import Scheduler, Stage, StageError
+from .statistics import Graph
+
+Triples = DataFrame | Graph
 
 # Evidence codes that are trusted; those assigned automatically are not among them.
 EVIDENCE = ["EXP", "IDA", "IPI", "IMP", "IGI", "IEP", "ISS", "ISO", "ISA", "ISM", "IGC", "IBA", "IBD", "IKR", "IRD", "RCA", "TAS", "NAS", "IC", "ND"]
@@ -25,18 +28,18 @@ def _verified(name: str = "orf") -> str:
     return _ORF.format(name)
 
 
-def gene_ids(triples: DataFrame) -> DataFrame:
+def gene_ids(triples: Triples) -> DataFrame:
     """(p): verified genes."""
     rows = sparql.run(triples, f"SELECT ?orf WHERE {{ {_verified()} . }}")
     return rows.select(local_name(F.col("orf")).alias("p")).distinct()
 
 
-def gene_sequences(triples: DataFrame) -> DataFrame:
+def gene_sequences(triples: Triples) -> DataFrame:
     rows = sparql.run(triples, f"SELECT ?orf ?seq WHERE {{ {_verified()} ; bw:sgd_id_has_sequence ?seq . }}", arity=2)
     return rows.select(local_name(F.col("orf")).alias("p"), "seq")
 
 
-def gene_terms(triples: DataFrame) -> DataFrame:
+def gene_terms(triples: Triples) -> DataFrame:
     """(p, id) by trusted evidence."""
     text = f"""SELECT ?orf ?fun ?ecode WHERE {{ {_verified()} .
         ?note a bw:sgd_go_annotation ; bw:sgd_go_annotation_has_ecode ?ecode ; bw:sgd_go_annotation_has_sgd_id ?orf ; bw:sgd_go_annotation_has_term ?fun . }}"""
@@ -44,7 +47,7 @@ def gene_terms(triples: DataFrame) -> DataFrame:
     return rows.select(local_name(F.col("orf")).alias("p"), local_name(F.col("fun"), "#").alias("id")).distinct()
 
 
-def gene_features(triples: DataFrame) -> DataFrame:
+def gene_features(triples: Triples) -> DataFrame:
     """(p, feature): one a gene; more are an error."""
     rows = sparql.run(triples, f"SELECT ?orf ?feat WHERE {{ {_verified()} ; owl:sameAs ?feat . ?feat a bw:sgd_feature . }}", arity=2)
     one = F.when(F.count_distinct("feat") == 1, F.min("feat")).otherwise(F.raise_error(F.lit("a gene with several features")).cast("string"))
@@ -52,14 +55,14 @@ def gene_features(triples: DataFrame) -> DataFrame:
     return grouped.select(local_name(F.col("orf")).alias("p"), local_name(F.col("feat")).alias("feature"))
 
 
-def gene_contexts(triples: DataFrame) -> DataFrame:
+def gene_contexts(triples: Triples) -> DataFrame:
     """(p, chrom, strand, start, stop)."""
     text = f"SELECT ?orf ?chrom ?strand ?start ?stop WHERE {{ {_verified()} . ?orf bw:sgd_id_in_chromosome ?chrom . ?orf bw:sgd_id_in_strand ?strand . ?orf bw:sgd_id_starts_at ?start . ?orf bw:sgd_id_stops_at ?stop . }}"
     rows = sparql.run(triples, text, types={"start": "long", "stop": "long"}, arity=5)
     return rows.select(local_name(F.col("orf")).alias("p"), local_name(F.col("chrom")).alias("chrom"), "strand", "start", "stop")
 
 
-def physical_interactions(triples: DataFrame, manual_only: bool = False) -> DataFrame:
+def physical_interactions(triples: Triples, manual_only: bool = False) -> DataFrame:
     """(p, q), symmetric."""
     manual = "; bw:sgd_int_has_cur_type bw:sgd_int_cur_type.manually_curated" if manual_only else ""
     text = f"""SELECT DISTINCT ?orf1 ?orf2 WHERE {{ {_verified("orf1")} ; owl:sameAs ?feat1 . {_verified("orf2")} ; owl:sameAs ?feat2 .
@@ -69,7 +72,7 @@ def physical_interactions(triples: DataFrame, manual_only: bool = False) -> Data
     return network.symmetrize(rows.select(local_name(F.col("orf1")).alias("p"), local_name(F.col("orf2")).alias("q")))
 
 
-def action_interactions(triples: DataFrame) -> DataFrame:
+def action_interactions(triples: Triples) -> DataFrame:
     """(p, q), symmetric: genes linked by any predicate between their entries."""
     text = f"""SELECT DISTINCT ?orf1 ?orf2 WHERE {{ {_verified("orf1")} . {_verified("orf2")} .
         ?id1 a bw:string_id ; owl:sameAs ?orf1 . ?id2 a bw:string_id ; owl:sameAs ?orf2 . ?id1 ?mode ?id2 . }}"""
@@ -77,19 +80,19 @@ def action_interactions(triples: DataFrame) -> DataFrame:
     return network.symmetrize(rows.select(local_name(F.col("orf1")).alias("p"), local_name(F.col("orf2")).alias("q")))
 
 
-def gold_pairs(triples: DataFrame, kind: str, positive: bool) -> DataFrame:
+def gold_pairs(triples: Triples, kind: str, positive: bool) -> DataFrame:
     verb = "gold_interacts_with" if positive else "gold_not_interacts_with"
     rows = sparql.run(triples, f"SELECT ?x ?y WHERE {{ ?x a bw:gold_{kind} . ?y a bw:gold_{kind} . ?x bw:{verb} ?y . }}", arity=2)
     return rows.select(local_name(F.col("x")).alias("p"), local_name(F.col("y")).alias("q")).distinct()
 
 
-def gold_sequences(triples: DataFrame) -> DataFrame:
+def gold_sequences(triples: Triples) -> DataFrame:
     text = """SELECT ?p ?seq WHERE { ?p a bw:gold_protein ; owl:sameAs ?feat . ?feat a bw:sgd_feature .
         ?id a bw:sgd_id ; owl:sameAs ?feat ; bw:sgd_id_has_type bw:sgd_feature_type.ORF ; bw:sgd_id_has_sequence ?seq . }"""
     return sparql.run(triples, text, arity=2).select(local_name(F.col("p")).alias("p"), "seq")
 
 
-def gold_contexts(triples: DataFrame) -> DataFrame:
+def gold_contexts(triples: Triples) -> DataFrame:
     """(p, chrom, pos): the midpoint of the gene."""
     text = """SELECT ?p ?chrom ?strand ?start ?stop WHERE { ?p a bw:gold_protein ; owl:sameAs ?feat . ?feat a bw:sgd_feature . ?id a bw:sgd_id ; owl:sameAs ?feat .
         ?id bw:sgd_id_in_chromosome ?chrom . ?id bw:sgd_id_in_strand ?strand . ?id bw:sgd_id_starts_at ?start . ?id bw:sgd_id_stops_at ?stop . }"""
@@ -99,7 +102,7 @@ def gold_contexts(triples: DataFrame) -> DataFrame:
     return rows.select(local_name(F.col("p")).alias("p"), local_name(F.col("chrom")).alias("chrom"), midpoint(F.col("start"), F.col("stop")).alias("pos"))
 
 
-def gold_positions(triples: DataFrame) -> DataFrame:
+def gold_positions(triples: Triples) -> DataFrame:
     """(domain, residue, start, stop, position, family): residues that lie inside a hit of their domain's family."""
     text = """SELECT ?d ?r ?start ?stop ?pos ?pfam WHERE {
         ?p a bw:gold_protein ; bw:gold_parent_of ?d ; owl:sameAs ?feat .
@@ -120,7 +123,7 @@ def gold_labels(pairs: DataFrame, positive: DataFrame, negative: DataFrame) -> D
     return pairs.join(rows, ["p", "q"]).select(F.col("index").alias("i"), F.col("y").cast("double").alias("y"))
 
 
-def gold_stages(spark: SparkSession, load_triples: Callable[[], DataFrame], load: Callable[[str], object], root: str, kinds: tuple[str, ...] = ("colocalization", "expression", "complex", "interpro", "interpro_score", "profile", "random")) -> list[Stage]:
+def gold_stages(spark: SparkSession, load_triples: Callable[[], Triples], load: Callable[[str], object], root: str, kinds: tuple[str, ...] = ("colocalization", "expression", "complex", "interpro", "interpro_score", "profile", "random")) -> list[Stage]:
     """Stages of a gold standard's proteins: orders, labels, a kernel and its pairwise kernel of each kind, their average
     (without the random one), and the indices of the test folds.
 
@@ -169,12 +172,12 @@ def gold_stages(spark: SparkSession, load_triples: Callable[[], DataFrame], load
 
     averaged = tuple(f"gold_{k}_pair_kernel" for k in kinds if k != "random")
     return [
-        Stage(orders, (), ("gold_order", "gold_pair_order")),
-        Stage(labels, ("gold_pair_order",), ("gold_y",)),
-        *[Stage(kernel(k), ("gold_order",), (f"gold_{k}_kernel",)) for k in kinds],
+        Stage(orders, (), ("gold_order", "gold_pair_order"), sources=("gold",)),
+        Stage(labels, ("gold_pair_order",), ("gold_y",), sources=("graph",)),
+        *[Stage(kernel(k), ("gold_order",), (f"gold_{k}_kernel",), sources=() if k == "random" else ("graph",) if k == "colocalization" else ("tables",)) for k in kinds],
         *[Stage(pairwise(k), ("gold_pair_order", f"gold_{k}_kernel"), (f"gold_{k}_pair_kernel",)) for k in kinds],
         Stage(average, averaged, ("gold_average_pair_kernel",)),
-        Stage(test_indices, ("gold_pair_order",), ("gold_test_indices",)),
+        Stage(test_indices, ("gold_pair_order",), ("gold_test_indices",), sources=("gold",)),
     ]
 
 
@@ -303,17 +306,17 @@ def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
         Stage(order, ("entities",), ("order",)),
         Stage(pair_order, ("order", "high", "negative"), ("pair_order",)),
         Stage(made(colocalization), ("order", "contexts"), ("colocalization_kernel",)),
-        Stage(made(expression), ("order", "features"), ("expression_kernel",)),
-        Stage(made(complexes, fixed=True), ("order", "features"), ("complex_kernel",)),
-        Stage(made(domains("match")), ("order",), ("interpro_kernel",)),
-        Stage(made(domains("count")), ("order",), ("interpro_count_kernel",)),
-        Stage(made(scoring), ("order",), ("pssm_kernel",)),
+        Stage(made(expression), ("order", "features"), ("expression_kernel",), sources=("tables",)),
+        Stage(made(complexes, fixed=True), ("order", "features"), ("complex_kernel",), sources=("tables",)),
+        Stage(made(domains("match")), ("order",), ("interpro_kernel",), sources=("tables",)),
+        Stage(made(domains("count")), ("order",), ("interpro_count_kernel",), sources=("tables",)),
+        Stage(made(scoring), ("order",), ("pssm_kernel",), sources=("tables",)),
         Stage(average, AVERAGED, ("average_kernel",)),
         Stage(pair_kernel, ("pair_order", "average_kernel"), ("pair_kernel",)),
     ]
 
 
-def stages(load_triples: Callable[[], DataFrame], load_ontology: Callable[[], tuple[DataFrame, DataFrame]]) -> list[Stage]:
+def stages(load_triples: Callable[[], Triples], load_ontology: Callable[[], tuple[DataFrame, DataFrame]]) -> list[Stage]:
     """Stages from a triple table and an ontology to fold files' rows and statistics; see ``kernel_stages`` for more.
 
     Parameters of the context: min_sequence_len (50), redundancy (0.6), aspects, max_depth, min_annot, num_folds (10), seed (0).
@@ -363,9 +366,9 @@ def stages(load_triples: Callable[[], DataFrame], load_ontology: Callable[[], tu
         )
 
     return [
-        Stage(resources, (), ("ids", "sequences", "annotations", "features", "contexts", "manual", "physical", "actions", "missing")),
+        Stage(resources, (), ("ids", "sequences", "annotations", "features", "contexts", "manual", "physical", "actions", "missing"), sources=("graph",)),
         Stage(entities, ("ids", "sequences"), ("entities",)),
-        Stage(annotated, ("entities", "annotations"), ("terms", "term_edges", "term_annotations")),
+        Stage(annotated, ("entities", "annotations"), ("terms", "term_edges", "term_annotations"), sources=("ontology",)),
         Stage(networks, ("entities", "manual", "physical", "actions"), ("high", "low", "negative")),
         Stage(deal, ("entities", "term_annotations", "high", "negative"), ("entity_folds", "pair_folds")),
         Stage(numbers, ("entities", "terms", "term_annotations", "high", "low", "negative", "entity_folds", "pair_folds"), ("statistics",)),
@@ -389,12 +392,19 @@ def loader(spark: SparkSession, root: str, entities: DataFrame | None = None) ->
     return load
 
 
-def run(spark: SparkSession, load_triples: Callable[[], DataFrame], ontology_path: str, destination: str, root: str | None = None, targets: list[str] | None = None, force: bool = False, **context) -> dict[str, DataFrame]:
-    """Runs the data-set pipeline, writes the learner's files, and gives the targets asked for (the statistics by default)."""
-    todo = stages(load_triples, lambda: files.obo(spark, ontology_path))
+def run(spark: SparkSession, load_triples: Callable[[], Triples], ontology_path: str, destination: str, root: str | None = None, targets: list[str] | None = None, force: bool = False, **context) -> dict[str, DataFrame]:
+    """Runs the data-set pipeline, writes the learner's files, and gives the targets asked for (the statistics by default).
+
+    What was made before is read again if the triples, the ontology and the tables are still the same: a ``Graph`` says so by
+    its version, a plain table by its rows, files by names, sizes and times.
+    """
+    triples = load_triples()
+    sources = {"graph": triples.version if isinstance(triples, Graph) and triples.version else files.content_fingerprint(triples.triples if isinstance(triples, Graph) else triples), "ontology": files.fingerprint(spark, ontology_path)}
+    todo = stages(lambda: triples, lambda: files.obo(spark, ontology_path))
     if root is not None:
+        sources["tables"] = files.fingerprint(spark, root)
         todo += kernel_stages(loader(spark, root))
-    scheduler = Scheduler(spark, todo, f"{destination}/cache", context)
+    scheduler = Scheduler(spark, todo, f"{destination}/cache", context, sources)
     made = scheduler.run([*(targets or ["statistics"])], force)
     if targets is None:
         out = scheduler.run(["datapoints", "predicates", "rules", "rotated", "rotated_labels"])

@@ -1,21 +1,22 @@
 """A SPARQL subset compiled to DataFrame joins.
 
 ASK, SELECT [DISTINCT], FROM, GRAPH, basic graph patterns with ``a``, ``;``, ``,`` and variable predicates,
-and FILTER with comparisons, && and ||. Catalyst plans the joins; the compiler only orders the patterns so
-that each new one shares a variable with those before, and turns patterns without free object into one scan.
+and FILTER with comparisons, && and ||. Patterns of one subject are read by one grouping of its rows where what a
+subject has is known to be bounded; statistics of the graph, if there are any, order the joins. Catalyst plans them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..terms import PREFIXES, TYPE
+from .statistics import Graph, Statistics, member
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*
@@ -235,6 +236,13 @@ PRODUCT_ROWS = 10_000
 _NUMERIC = ("integer", "double", "float", "decimal", "long", "int")
 
 
+def _object_is(term: Term) -> Column:
+    same = (F.col("o") == term.value) & (F.col("o_kind") == term.kind)
+    if term.kind == "literal" and term.type != "string":
+        same &= F.coalesce(F.col("o_type").isin(*_NUMERIC) if term.type in _NUMERIC else F.col("o_type") == term.type, F.lit(False))
+    return same
+
+
 def _bind(triples: DataFrame, pattern: Pattern, is_set: bool = True) -> DataFrame:
     """One scan: constants become filters that prune and push down, variables become columns.
 
@@ -244,45 +252,91 @@ def _bind(triples: DataFrame, pattern: Pattern, is_set: bool = True) -> DataFram
     df, out, seen = triples, [], {}
     for place, term in (("p", pattern.p), ("s", pattern.s), ("o", pattern.o)):
         if not term.free:
-            df = df.where(F.col(place) == term.value)
-            if place == "o":
-                df = df.where(F.col("o_kind") == term.kind)
-                if term.kind == "literal" and term.type != "string":
-                    df = df.where(F.col("o_type").isin(*_NUMERIC) if term.type in _NUMERIC else F.col("o_type") == term.type)
+            df = df.where(_object_is(term) if place == "o" else F.col(place) == term.value)
         elif term.value in seen:
             df = df.where(F.col(place) == F.col(seen[term.value]))
         else:
             seen[term.value] = place
             kind = {"p": F.lit("iri"), "s": F.col("s_kind"), "o": F.col("o_kind")}[place]
-            type_ = F.col("o_type") if place == "o" else F.lit(None).cast("string")
-            out += [F.col(place).alias(term.value), F.when(kind == "literal", "literal").otherwise("node").alias(f"{term.value}|kind"), type_.alias(f"{term.value}|type")]
+            out += _variable(term.value, F.col(place), kind, F.col("o_type") if place == "o" else F.lit(None).cast("string"))
     if not out:
         return df.select(F.lit(1).alias("|exists")).limit(1)
     bound = df.select(*out)
     return bound if is_set or len(seen) > 1 else bound.distinct()
 
 
-def _stars(triples: DataFrame, patterns: list[Pattern]) -> tuple[list[DataFrame], list[Pattern]]:
-    """Patterns of one free subject whose predicates and objects are constant, as one scan and one aggregation.
+@dataclass(frozen=True)
+class Star:
+    """Patterns of one free subject and constant predicates, read out of one grouping of the subjects' rows."""
 
-    A chain of semi-joins would read the table once a pattern. As the table is a set, a subject has all
-    of them exactly if as many rows match.
-    """
-    fixed: dict[str, list[Pattern]] = {}
+    subject: str
+    patterns: tuple[Pattern, ...]
+
+    def variables(self) -> set[str]:
+        return set().union(*[p.variables() for p in self.patterns])
+
+
+#: Objects of one subject and predicate up to which a star gathers them; predicates with more are joined, row by row.
+GATHERED = 1000
+
+
+def _stars(patterns: list[Pattern], most: Mapping[str, int]) -> list[Star | Pattern]:
+    """Patterns put together by subject: those with constant objects, and with free ones if ``most`` bounds what a subject has."""
+    own: dict[str, list[Pattern]] = {}
+    patterns = list(dict.fromkeys(patterns))
     for p in patterns:
-        if p.s.free and not p.p.free and not p.o.free:
-            fixed.setdefault(p.s.value, []).append(p)
-    frames, used = [], set()
-    for name, own in fixed.items():
-        own = list(dict.fromkeys(own))
-        if len(own) < 2:
-            continue
-        used.update(own)
-        hits = [(F.col("p") == p.p.value) & (F.col("o") == p.o.value) & (F.col("o_kind") == p.o.kind) for p in own]
-        rows = triples.where(F.col("p").isin(*sorted({p.p.value for p in own}))).where(reduce(Column.__or__, hits))
-        found = rows.groupBy("s").agg(*[F.max(h).alias(f"h{k}") for k, h in enumerate(hits)]).where(" AND ".join(f"h{k}" for k in range(len(hits))))
-        frames.append(found.select(F.col("s").alias(name), F.lit("node").alias(f"{name}|kind"), F.lit(None).cast("string").alias(f"{name}|type")))
-    return frames, [p for p in dict.fromkeys(patterns) if p not in used]
+        if p.s.free and not p.p.free and (not p.o.free or most.get(p.p.value, GATHERED + 1) <= GATHERED):
+            own.setdefault(p.s.value, []).append(p)
+    stars = [Star(name, tuple(found)) for name, found in own.items() if len(found) > 1]
+    used = {p for star in stars for p in star.patterns}
+    return [*stars, *[p for p in patterns if p not in used]]
+
+
+def _variable(name: str, value: Column, kind: Column, type_: Column) -> list[Column]:
+    return [value.alias(name), F.when(kind == "literal", "literal").otherwise("node").alias(f"{name}|kind"), type_.alias(f"{name}|type")]
+
+
+def _read_star(triples: DataFrame, star: Star, most: Mapping[str, int]) -> DataFrame:
+    """One scan and one shuffle, whatever the number of patterns.
+
+    A constant object leaves a flag, a predicate that has one object a subject leaves that, another leaves the
+    set of its objects, which is exploded. If a subject has a second object of a predicate that should have one, that is an error.
+    """
+    free = [p for p in star.patterns if p.o.free]
+    fixed = [p for p in star.patterns if not p.o.free]
+    rows = triples.where(F.col("p").isin(*sorted({p.p.value for p in star.patterns})))
+    hits = [(F.col("p") == p.p.value) & _object_is(p.o) for p in fixed]
+    wanted = F.col("p").isin(*sorted({p.p.value for p in free})) if free else F.lit(False)
+    rows = rows.where(reduce(Column.__or__, hits, wanted))
+    flags = [F.max(h).alias(f"h{k}") for k, h in enumerate(hits)]
+    if not free:  # flags alone are combined before the shuffle
+        found = rows.groupBy("s").agg(*flags)
+    else:
+        value = F.when(wanted, F.struct("o", "o_kind", "o_type"))
+        rows = rows.select("s", "p", *[h.alias(f"h{k}") for k, h in enumerate(hits)], value.alias("v"))
+        flags = [F.max(f"h{k}").alias(f"h{k}") for k in range(len(hits))]
+        names = sorted({p.p.value for p in free})
+        for k, name in enumerate(names):
+            v = F.when(F.col("p") == name, F.col("v"))
+            flags += [F.min(v).alias(f"a{k}"), F.max(v).alias(f"z{k}")] if most[name] == 1 else [F.collect_set(v).alias(f"c{k}")]
+        found = rows.repartition("s").groupBy("s").agg(*flags)
+    found = found.where(reduce(Column.__and__, [F.col(f"h{k}") for k in range(len(fixed))], F.lit(True)))
+    known = {star.subject: (F.col("s"), F.lit("node"))}
+    out = _variable(star.subject, F.col("s"), F.lit("node"), F.lit(None).cast("string"))
+    for k, p in enumerate(free):
+        at, v = names.index(p.p.value), F.col(f"v{k}")
+        if most[p.p.value] == 1:
+            several = F.raise_error(F.concat(F.lit(f"several objects of {p.p.value} at "), F.col("s"))).cast("struct<o:string,o_kind:string,o_type:string>")
+            found = found.where(F.col(f"a{at}").isNotNull()).withColumn(f"v{k}", F.when(F.col(f"a{at}").eqNullSafe(F.col(f"z{at}")), F.col(f"a{at}")).otherwise(several))
+        else:
+            found = found.withColumn(f"v{k}", F.explode(f"c{at}"))
+        kind = F.when(v["o_kind"] == "literal", "literal").otherwise("node")
+        if p.o.value in known:  # bound before: the same value and kind
+            found = found.where((v["o"] == known[p.o.value][0]) & (kind == known[p.o.value][1]))
+        else:
+            known[p.o.value] = (v["o"], kind)
+            out += _variable(p.o.value, v["o"], v["o_kind"], v["o_type"])
+    return found.select(*out)
 
 
 def _join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -317,20 +371,83 @@ def _compared(node, columns: list[str]) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), do(x, y)).when(x.isNull() & y.isNull(), do(text(a), text(b))).otherwise(F.lit(op == "!="))
 
 
-def compile_patterns(triples: DataFrame, patterns: list[Pattern], is_set: bool = True) -> DataFrame:
-    """All patterns joined: those with most constants first, then any that is connected; unconnected ones last."""
-    frames, rest = _stars(triples, patterns)
-    todo = [(0, f) for f in frames] + [(len(p.variables()) + p.p.free, _bind(triples, p, is_set)) for p in rest]
-    todo.sort(key=lambda x: x[0])
-    bound = todo.pop(0)[1]
+def _estimates(statistics: Statistics, units: list[Star | Pattern]) -> list[tuple[float, dict[str, float]]]:
+    """Rows of each unit and different values of its variables, from a graph's statistics."""
+    parts = [u.patterns if isinstance(u, Star) else (u,) for u in units]
+    info = statistics.of({p.p.value for own in parts for p in own if not p.p.free})
+    subjects = statistics.subjects([[member(p.p.value, None if p.o.free else p.o.value) for p in own if not p.p.free] for own in parts])
+    none = {"triples": 0, "subjects": 1, "objects": 1}
+    out = []
+    for own, n in zip(parts, subjects, strict=True):
+        rows, values = float(n), {}
+        for p in own:
+            at = info.get(p.p.value, none)
+            each = at["triples"] / max(1, at["subjects"])
+            if p.p.free:
+                rows *= 4  # unknown: a subject has a few
+                values |= {p.p.value: 8.0, **({p.o.value: rows} if p.o.free else {})}
+            elif p.o.free:
+                rows *= each
+                values[p.o.value] = float(at["objects"])
+            elif p.p.value != TYPE:  # a class is a member of the sets itself
+                rows *= each / max(1, at["objects"])
+            if p.s.free:
+                values[p.s.value] = float(n)
+            else:
+                rows /= max(1, n)
+        out.append((rows, {v: max(1.0, min(x, rows)) for v, x in values.items()}))
+    return out
+
+
+#: Orders that are followed at once; with up to eight units these are all that matter.
+_ORDERS = 256
+
+
+def join_order(estimates: list[tuple[float, dict[str, float]]]) -> list[int]:
+    """The order of joins with the fewest rows in between: dynamic programming over sets of units, each joined to a connected one."""
+    best = {frozenset([k]): (rows, rows, values, [k]) for k, (rows, values) in enumerate(estimates)}
+    for _ in estimates[1:]:
+        longer: dict[frozenset, tuple] = {}
+        for done, (cost, rows, values, order) in best.items():
+            rest = [k for k in range(len(estimates)) if k not in done]
+            for k in [k for k in rest if values.keys() & estimates[k][1].keys()] or rest:
+                n, own = estimates[k]
+                joined = rows * n
+                for v in values.keys() & own.keys():
+                    joined /= max(values[v], own[v])
+                both = {v: max(1.0, min(values.get(v, joined), own.get(v, joined), joined)) for v in values.keys() | own.keys()}
+                key = done | {k}
+                if key not in longer or cost + joined < longer[key][0]:
+                    longer[key] = (cost + joined, joined, both, [*order, k])
+        best = dict(sorted(longer.items(), key=lambda x: x[1][0])[:_ORDERS])
+    return next(iter(best.values()))[3]
+
+
+def plan(graph: Graph, patterns: list[Pattern]) -> tuple[list[Star | Pattern], dict[str, int]]:
+    """Stars and single patterns in the order in which they are joined, and how many objects a subject has of a predicate at most.
+
+    With statistics the cheapest order is taken; without, units with most constants come first, then those connected to them.
+    """
+    most = dict.fromkeys(graph.functional, 1)
+    if graph.statistics is not None:
+        most = {name: int(at["most"]) for name, at in graph.statistics.of({p.p.value for p in patterns if not p.p.free}).items()} | most
+    units = _stars(patterns, most)
+    if graph.statistics is not None and len(units) > 1:
+        return [units[k] for k in join_order(_estimates(graph.statistics, units))], most
+    todo = sorted(units, key=lambda u: 0 if isinstance(u, Star) else len(u.variables()) + u.p.free)
+    order, names = todo[:1], todo[0].variables() if todo else set()
+    del todo[:1]
     while todo:
-        names = set(bound.columns)
-        at = next((k for k, (_, f) in enumerate(todo) if names & {c for c in f.columns if "|" not in c}), None)
-        if at is None and not any("|" not in c for c in names | {*todo[0][1].columns}):
-            at = 0  # only what has no variables
-        at = at or 0
-        bound = _join(bound, todo.pop(at)[1])
-    return bound
+        at = next((k for k, u in enumerate(todo) if names & u.variables()), 0)
+        names |= todo[at].variables()
+        order.append(todo.pop(at))
+    return order, most
+
+
+def compile_patterns(graph: Graph, patterns: list[Pattern], is_set: bool = True) -> DataFrame:
+    """All patterns joined, star by star."""
+    order, most = plan(graph, patterns)
+    return reduce(_join, [_read_star(graph.triples, u, most) if isinstance(u, Star) else _bind(graph.triples, u, is_set) for u in order])
 
 
 _CLEAR = re.compile(r"\s*CLEAR\s+(?:SILENT\s+)?(?:GRAPH\s+<(?P<graph>[^<>\s]*)>|(?P<default>DEFAULT))\s*;?\s*", re.IGNORECASE)
@@ -344,25 +461,25 @@ def update(store, text: str) -> None:
     store.clear(*[m["graph"]] if m["graph"] is not None else [])
 
 
-def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, types: Mapping[str, str] | None = None, arity: int | None = None, is_set: bool = True) -> DataFrame:
+def run(triples: DataFrame | Graph | Callable[[str | None], DataFrame | Graph], text: str, types: Mapping[str, str] | None = None, arity: int | None = None, is_set: bool = True) -> DataFrame:
     """The bindings of a query over a triple table, or over what a function gives for a graph's name.
 
     Values are strings; ``types`` names Spark types for some variables, and what doesn't parse is null.
     A projected variable that no pattern binds is null; ``arity`` asserts how many are bound. SELECT without
     DISTINCT keeps duplicates; the table is a set, or is made one if ``is_set`` is false and the query needs that.
-    ASK gives one row with one boolean, ``ask``.
+    ASK gives one row with one boolean, ``ask``. A ``Graph`` brings statistics, which order the joins and allow more
+    patterns to be read at once; they change no row.
     """
     q = parse(text)
-    if callable(triples):
-        graphs = list(dict.fromkeys(q.graphs)) or [None]
-        table = reduce(DataFrame.unionByName, [triples(g) for g in graphs])
-        if len(graphs) > 1:
-            table = table.dropDuplicates()
-    else:
-        table = triples
+    graph = triples
+    if not isinstance(triples, (DataFrame, Graph)):
+        named = [triples(g) for g in list(dict.fromkeys(q.graphs)) or [None]]
+        graph = named[0] if len(named) == 1 else reduce(DataFrame.unionByName, [g.triples if isinstance(g, Graph) else g for g in named]).dropDuplicates()
+    if isinstance(graph, DataFrame):
+        graph = Graph(graph)
     if not is_set and not (q.distinct or q.ask):
-        table, is_set = table.dropDuplicates(), True
-    bound = compile_patterns(table, q.patterns, is_set)
+        graph, is_set = replace(graph, triples=graph.triples.dropDuplicates()), True
+    bound = compile_patterns(graph, q.patterns, is_set)
     for f in q.filters:
         bound = bound.where(_compared(f, bound.columns))
     if q.ask:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -17,30 +18,35 @@ class StageError(RuntimeError):
 
 @dataclass(frozen=True)
 class Stage:
-    """``make(context, **inputs)`` gives a table for each output. ``version`` is part of the cache key."""
+    """``make(context, **inputs)`` gives a table for each output. ``version`` is part of the cache key, and so are those of ``sources`` that it reads beside its inputs."""
 
     make: Callable[..., DataFrame | tuple[DataFrame, ...]]
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
     version: str = "1"
+    sources: tuple[str, ...] = ()
 
 
 @dataclass
 class Scheduler:
     """Makes outputs on demand, each stage once.
 
-    The key of a cached output is a digest of the stage's version, the parameters and the keys of its inputs, so
-    another parameter makes another file and nothing stale is read.
+    The key of a cached output is a digest of the stage's version, the parameters, the versions of the sources that the
+    stage reads and the keys of its inputs, so another parameter or another state of a source makes another file and
+    nothing stale is read. ``sources`` names each source's version, which changes with its content; what is made of a
+    source without one is kept for this scheduler only.
     """
 
     spark: SparkSession
     stages: list[Stage]
     cache: str
     context: Mapping[str, Any] = field(default_factory=dict)
+    sources: Mapping[str, str] = field(default_factory=dict)
     made: dict[str, DataFrame] = field(default_factory=dict)
     ran: list[tuple[str, ...]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.unknown = uuid.uuid4().hex
         self.producer: dict[str, Stage] = {}
         for stage in self.stages:
             for output in stage.outputs:
@@ -52,7 +58,7 @@ class Scheduler:
         if name in above:
             raise StageError("stages go in a circle: " + " -> ".join((*above, name)))
         stage = self._stage(name)
-        parts = [stage.version, json.dumps(dict(self.context), sort_keys=True, default=str), *stage.outputs, *[self.key(i, (*above, name)) for i in stage.inputs]]
+        parts = [stage.version, *[f"{x}={self.sources.get(x, self.unknown)}" for x in stage.sources], json.dumps(dict(self.context), sort_keys=True, default=str), *stage.outputs, *[self.key(i, (*above, name)) for i in stage.inputs]]
         return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:16]
 
     def _stage(self, name: str) -> Stage:

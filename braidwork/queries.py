@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from . import terms as V
 from .functions import numeric, text
+from .lineage import checkpoint_folder
 from .operators import features, folds, kernels, network, ontology, strings
 from .plans import sparql
 from .plans.mapping import blank, iri, literal, to_triples
+from .plans.statistics import Graph, statistics_of
+from .plans.store import TripleStore
 from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +93,7 @@ def bgp_star(spark, sf):
 def bgp_chain(spark, sf):
     triples = customer_triples(spark, sf).unionByName(place_triples(spark, sf))
     return sparql.run(
-        triples,
+        Graph(triples, functional=frozenset(map(V.own, ("has_name", "in_nation", "in_region")))),
         """SELECT ?customer ?nation ?region WHERE {
             ?c a bw:customer ; bw:has_segment bw:segment.BUILDING ; bw:has_name ?customer ; bw:in_nation ?n .
             ?n bw:has_name ?nation ; bw:in_region ?r .  # a chain
@@ -100,7 +104,7 @@ def bgp_chain(spark, sf):
 @query(f"""SELECT DISTINCT '{B}supplier.' || l_suppkey AS s, '{B}part.' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'""")
 def bgp_reified_edge(spark, sf):
     return sparql.run(
-        delivery_triples(spark, sf),
+        Graph(delivery_triples(spark, sf), functional=frozenset({V.own("has_supplier"), V.own("has_part")})),
         "SELECT DISTINCT ?s ?p WHERE { ?s a bw:supplier . ?p a bw:part . ?e a bw:delivery ; bw:has_supplier ?s ; bw:has_part ?p ; bw:has_flag bw:flag.R . }",
         is_set=False,
     )
@@ -121,13 +125,53 @@ def bgp_range_filter(spark, sf):
     parts = to_triples(read(spark, sf, "part"), [literal(p, V.own("size"), size, "integer"), literal(p, V.own("most"), size + 2, "integer")], distinct=False, by_rule=True)
     sales = to_triples(read(spark, sf, "lineitem").select("l_partkey", "l_quantity").distinct(), [iri(e, V.own("of_part"), V.mint("part", F.col("l_partkey").cast("string"))), literal(e, V.own("quantity"), F.col("l_quantity").cast("long"), "integer")], distinct=False, by_rule=True)
     return sparql.run(
-        parts.unionByName(sales),
+        Graph(parts.unionByName(sales), functional=frozenset(map(V.own, ("of_part", "quantity", "size", "most")))),
         "SELECT DISTINCT ?p ?quantity ?size WHERE { ?e bw:of_part ?p ; bw:quantity ?quantity . ?p bw:size ?size ; bw:most ?most . FILTER((?quantity >= ?size) && (?quantity <= ?most)) }",
         types={"quantity": "long", "size": "long"},
         is_set=False,
     )
 
 
+def trade_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers with accounts, and trades as reified edges between accounts."""
+    rows = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey", "o_orderstatus").distinct()
+    c, s, t = V.mint("customer", F.col("c_custkey").cast("string")), V.mint("supplier", F.col("s_suppkey").cast("string")), V.mint("trade", F.concat_ws("_", "o_custkey", "l_suppkey", "o_orderstatus"))
+    account = lambda kind, key: V.mint("account", F.concat(F.lit(kind), F.col(key).cast("string")))
+    same = V.PREFIXES["owl"] + "sameAs"
+    buyers = to_triples(read(spark, sf, "customer"), [iri(c, V.TYPE, V.own("party")), iri(c, V.own("has_role"), V.own("role.buyer")), iri(c, V.own("has_segment"), V.mint("segment", F.col("c_mktsegment"))), iri(c, same, account("c", "c_custkey")), iri(account("c", "c_custkey"), V.TYPE, V.own("account"))])
+    sellers = to_triples(read(spark, sf, "supplier"), [iri(s, V.TYPE, V.own("party")), iri(s, V.own("has_role"), V.own("role.seller")), iri(s, V.own("in_nation"), V.mint("nation", F.col("s_nationkey").cast("string"))), iri(s, same, account("s", "s_suppkey")), iri(account("s", "s_suppkey"), V.TYPE, V.own("account"))])
+    trades = to_triples(rows, [iri(t, V.TYPE, V.own("trade")), iri(t, V.own("has_buyer"), account("c", "o_custkey")), iri(t, V.own("has_seller"), account("s", "l_suppkey")), iri(t, V.own("has_status"), V.mint("status", F.col("o_orderstatus")))], distinct=False)
+    return buyers.unionByName(sellers).unionByName(trades)
+
+
+TRADES = """SELECT DISTINCT ?c ?s WHERE {
+    ?c a bw:party ; bw:has_role bw:role.buyer ; bw:has_segment bw:segment.BUILDING ; owl:sameAs ?fc .
+    ?s a bw:party ; bw:has_role bw:role.seller ; bw:in_nation bw:nation.3 ; owl:sameAs ?fs .
+    ?fc a bw:account . ?fs a bw:account .
+    ?t a bw:trade ; bw:has_buyer ?fc ; bw:has_seller ?fs ; bw:has_status bw:status.F . }"""
+
+
+@query(f"""SELECT DISTINCT '{B}customer.' || o_custkey AS c, '{B}supplier.' || l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND s_nationkey = 3""")
+def bgp_fourteen_patterns(spark, sf):
+    """Two stars of one shape, joined by a third, over a store that keeps statistics."""
+    store = TripleStore(spark, f"{checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.load(trade_triples(spark, sf))
+    return sparql.run(store.view(), TRADES, arity=2)
+
+
+@query(f"""WITH t AS (SELECT c_custkey::VARCHAR AS s, unnest(['{V.TYPE}', '{B}in_nation', '{B}has_segment', '{B}has_name']) AS p, unnest(['{B}customer', c_nationkey::VARCHAR, c_mktsegment, c_name]) AS o FROM customer)
+    SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, 1::BIGINT AS most FROM t GROUP BY p""")
+def graph_predicates(spark, sf):
+    return statistics_of(customer_triples(spark, sf)).predicates.select("p", "triples", "subjects", "most")
+
+
+@query(f"""SELECT list_sort(['{B}has_name', '{B}in_region', '{V.TYPE}', '{V.TYPE} {B}nation']) AS members, count(*) AS subjects FROM nation
+    UNION ALL SELECT list_sort(['{B}has_name', '{V.TYPE}', '{V.TYPE} {B}region']), count(*) FROM region""")
+def graph_characteristic_sets(spark, sf):
+    return statistics_of(place_triples(spark, sf)).sets
+
+
 @query("SELECT count(*) > 0 AS ask FROM nation")
 def ask_graph(spark, sf):
     return sparql.run(place_triples(spark, sf), "ASK WHERE { GRAPH <urn:any> { ?n a bw:nation } }")

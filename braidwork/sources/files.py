@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,27 @@ def string_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _digest(rows: DataFrame) -> str:
+    """A digest of rows as a bag, in whatever order they come; sums of two hashes, which partial aggregation makes."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    hashes = [F.xxhash64(F.lit(salt), *columns) for salt in (1, 2)]
+    summed = rows.agg(F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in hashes]).first()
+    return hashlib.sha256(repr([None if x is None else int(x) for x in summed]).encode()).hexdigest()[:32]
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What tells a file, or the files under a folder, from a later state: names, sizes and times. Spark lists them and reads none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return "none"
+    return _digest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime"))
+
+
+def content_fingerprint(rows: DataFrame) -> str:
+    """The same for a table that is no file: of all its rows, which are read for it."""
+    return _digest(rows)
+
+
 def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", skip: int = 0, quote: str = '"', comment: str | None = None) -> DataFrame:
     """Records by position. Short rows end in nulls, surplus cells go, empty cells are null, blank lines don't count.
 
@@ -56,7 +79,7 @@ def obo(spark: SparkSession, path: str, keep_obsolete: bool = False) -> tuple[Da
 
     Only ``[Term]`` stanzas count, and edges of dropped terms go with them. Two terms with one id are an error.
     """
-    stanzas = spark.read.option("lineSep", "\n[").text(path).where(F.startswith("value", F.lit("Term]")))
+    stanzas = spark.read.option("lineSep", "\n[").text(path).where(F.regexp_like("value", F.lit(r"^\[?Term\]")))  # a file may begin with a stanza
     rows = stanzas.select(F.sha2("value", 256).alias("stanza"), F.explode(F.split("value", r"\r?\n")).alias("line"))
     rows = rows.select("stanza", F.regexp_extract("line", r"^([^ ]+): (.+)$", 1).alias("key"), F.regexp_extract("line", r"^([^ ]+): (.+)$", 2).alias("value")).where("key <> ''")
 
