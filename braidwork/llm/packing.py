@@ -200,7 +200,8 @@ def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[tupl
     """Patterns (lengths in one sequence) and how many sequences have each.
 
     Open patterns lie in a list by the room they have left. Each length takes packs from the one with most
-    room, as many as there are pieces, and what it doesn't fill opens new packs.
+    room, as many as there are pieces. Where none has room for a piece a new one is opened, and as it has most room then, it
+    takes pieces until it is full: so what is left over goes into packs of as many pieces as have room in one.
     """
     open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     most_room: list[int] = []
@@ -216,7 +217,10 @@ def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[tupl
         while count > 0:
             left = -most_room[0] if most_room else -1
             if left < length:
-                put(room - length, (length,), count)
+                each = room // length
+                for pieces, packs in ((each, count // each), (count % each, 1)):
+                    if pieces and packs:
+                        put(room - pieces * length, (length,) * pieces, packs)
                 break
             patterns = open_by_room[left]
             pattern, n = patterns.pop()
