@@ -11,15 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decay
 from ..lineage import materialize
+from . import blocks
+from .network import pairs_within
 
 
-#: Rows of an inverted index up to which it is broadcast (some ten MB).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of names of an inverted index up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def mirror(lower: DataFrame) -> DataFrame:
@@ -29,20 +31,22 @@ def mirror(lower: DataFrame) -> DataFrame:
     return lower.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def _index_join(features: DataFrame, cell: Column, kept: bool = True) -> DataFrame:
-    """Cells out of all pairs of entities that share a feature.
+def _index_join(features: DataFrame, cell: Column) -> DataFrame:
+    """Cells out of all pairs of entities that share a feature, whose values are ``a`` and ``b``.
 
-    With ``kept`` the index is made once and counted. A small one is sent to tasks that hold whole entities each, so that
-    cells are summed where they are made. A large one is joined by feature, and partial sums are shuffled by cell.
+    The index is made once and measured. A small one is sent to tasks that hold whole entities each, so that cells are summed
+    where they are made. A large one is paired by feature, a frequent one by blocks of its entities, and partial sums are
+    shuffled by cell.
     """
-    features = features.select("i", "f", "v")
-    features = materialize(features) if kept else features
-    a, b = features.select("f", "i", F.col("v").alias("a")), features.select("f", F.col("i").alias("j"), F.col("v").alias("b"))
-    if kept and features.count() <= BROADCAST_ROWS:
+    features = materialize(features.select("i", "f", "v"))
+    n, size = features.agg(F.count("*"), F.sum(F.octet_length(F.col("f").cast("string")))).first()
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
         tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a, b = a.repartition(tasks, "i"), F.broadcast(b)
-    lower = a.join(b, "f").where("i >= j").groupBy("i", "j").agg(cell.alias("k"))
-    return mirror(lower.where("k <> 0"))
+        a, b = features.select("f", "i", F.col("v").alias("a")), features.select("f", F.col("i").alias("j"), F.col("v").alias("b"))
+        pairs = a.repartition(tasks, "i").join(F.broadcast(b), "f").where("i >= j")
+    else:
+        pairs = pairs_within(features, "f", "i").select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    return mirror(pairs.groupBy("i", "j").agg(cell.alias("k")).where("k <> 0"))
 
 
 def sparse_linear(features: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def intersection(features: DataFrame) -> DataFrame:
 def set_intersection(items: DataFrame) -> DataFrame:
     """Sizes of the intersections of sets (i, item)."""
     rows = items.select("i", F.col("item").alias("f"), F.lit(1).alias("v")).distinct()
-    return _index_join(rows, F.count("*").cast("double"), kept=False)
+    return _index_join(rows, F.count("*").cast("double"))
 
 
 def _product(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -126,14 +130,12 @@ def correlation(vectors: DataFrame) -> DataFrame:
 def colocalization(contexts: DataFrame, gamma: float = 1.0) -> DataFrame:
     """exp(-gamma * distance / largest distance) within a chromosome (i, chrom, pos).
 
-    The largest distance is the chromosome's range, one window over it. A chromosome with one place gives 1.
+    The largest distance is the chromosome's range, which is aggregated. A chromosome with one place gives 1.
     """
-    whole = Window.partitionBy("chrom")
-    rows = contexts.withColumn("reach", F.max("pos").over(whole) - F.min("pos").over(whole))
-    a = rows.select("chrom", "i", F.col("pos").alias("p"), "reach")
-    b = rows.select("chrom", F.col("i").alias("j"), F.col("pos").alias("q"))
-    cell = decay(F.abs(F.col("p") - F.col("q")), F.col("reach"), gamma)
-    return mirror(a.join(b, "chrom").where("i >= j").select("i", "j", cell.alias("k")))
+    rows = contexts.select("chrom", "i", "pos")
+    pairs = pairs_within(rows, "chrom", "i", summary={"reach": F.max("pos") - F.min("pos")})
+    cell = decay(F.abs(F.col("a.pos") - F.col("b.pos")), F.col("reach"), gamma)
+    return mirror(pairs.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), cell.alias("k")))
 
 
 def normalize(kernel: DataFrame) -> DataFrame:
@@ -156,8 +158,8 @@ def total(*kernels: DataFrame) -> DataFrame:
 
 
 def label_kernel(labels: DataFrame) -> DataFrame:
-    """The outer product of labels (i, y), which is quadratic by its nature; the labels are all that is sent to each task."""
-    return labels.select("i", "y").crossJoin(labels.select(F.col("i").alias("j"), F.col("y").alias("w"))).select("i", "j", (F.col("y") * F.col("w")).cast("double").alias("k"))
+    """The outer product of labels (i, y), which is quadratic by its nature, by pairs of blocks."""
+    return of_pairs(labels.select("i", "y"), lambda a, b: a("y") * b("y"))
 
 
 def alignment(first: DataFrame, second: DataFrame, indices: DataFrame | None = None) -> DataFrame:
@@ -216,68 +218,51 @@ def pairwise(pairs: DataFrame, kernel: DataFrame, op: str = "product") -> DataFr
     return parts.groupBy("s", "t").agg(F.sum("k").alias("k")).select(F.col("s").alias("i"), F.col("t").alias("j"), "k")
 
 
-def dense(kernel: DataFrame, size: int, limit: int = 4096) -> np.ndarray:
-    """A small kernel on the driver; the number of entities is checked, not the number of cells."""
-    if size > limit:
-        raise ValueError(f"{size} entities are more than {limit}")
-    out = np.zeros((size, size))
-    cells = kernel.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("k").cast("double")).toArrow()
-    i, j, k = (cells.column(c).to_numpy() for c in range(3))
-    out[i, j] = k
-    return out
+def diffusion(adjacency: DataFrame, size: int, beta: float = 1.0, block: int = blocks.BLOCK) -> DataFrame:
+    """exp(beta (A - D)), D holding the row sums of A, for entities 0 to size - 1. See ``blocks.exponential``."""
+    a = adjacency.select("i", "j", (F.lit(float(beta)) * F.col("k")).alias("k"))
+    rows = a.groupBy("i").agg((-F.sum("k")).alias("k")).select("i", F.col("i").alias("j"), "k")
+    return blocks.exponential(a.unionByName(rows).groupBy("i", "j").agg(F.sum("k").alias("k")), size, block)
 
 
-def _cells(spark, matrix: np.ndarray) -> DataFrame:
-    i, j = np.nonzero(matrix)
-    return spark.createDataFrame(pa.table({"i": i.astype(np.int64), "j": j.astype(np.int64), "k": matrix[i, j].astype(np.float64)}))
-
-
-def _exponential(matrix: np.ndarray) -> np.ndarray:
-    """By eigenvectors if symmetric, else by scaling and squaring of a Taylor sum."""
-    if np.allclose(matrix, matrix.T):
-        values, vectors = np.linalg.eigh(matrix)
-        return (vectors * np.exp(values)) @ vectors.T
-    halvings = max(0, int(np.ceil(np.log2(max(np.linalg.norm(matrix, 1), 1e-300)))) + 1)
-    small = matrix / 2.0**halvings
-    out = term = np.eye(len(matrix))
-    for n in range(1, 20):
-        term = term @ small / n
-        out = out + term
-    return np.linalg.matrix_power(out, 2**halvings)
+def cliques(members: DataFrame) -> DataFrame:
+    """Adjacency of entities that share a complex (i, complex); each with itself too, which diffusion cancels."""
+    pairs = pairs_within(members.select("complex", "i").distinct(), "complex", "i").select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
+    return mirror(pairs.withColumn("k", F.lit(1.0)))
 
 
-def diffusion(adjacency: DataFrame, size: int, beta: float = 1.0, limit: int = 4096) -> DataFrame:
-    """exp(beta (A - D)), D holding the row sums of A, for entities 0 to size - 1."""
-    a = dense(adjacency, size, limit)
-    return _cells(adjacency.sparkSession, _exponential(beta * (a - np.diag(a.sum(axis=1)))))
+def _turned(kernel: DataFrame) -> DataFrame:
+    return kernel.select(F.col("j").alias("i"), F.col("i").alias("j"), "k")
 
 
-def cliques(members: DataFrame) -> DataFrame:
-    """Adjacency of entities that share a complex (i, complex); each with itself too, which diffusion cancels."""
-    a, b = members.select("complex", "i").distinct(), members.select("complex", F.col("i").alias("j")).distinct()
-    return a.join(b, "complex").select("i", "j").distinct().withColumn("k", F.lit(1.0))
+def is_psd(kernel: DataFrame, size: int, tolerance: float = 1e-6, block: int = blocks.BLOCK) -> bool:
+    """Symmetric within the tolerance and without a negative eigenvalue beyond rounding."""
+    kernel = materialize(kernel.select("i", "j", F.col("k").cast("double").alias("k")))
+    skew = kernel.unionByName(_turned(kernel).withColumn("k", -F.col("k"))).groupBy("i", "j").agg(F.sum("k").alias("d")).where(F.abs("d") > tolerance)
+    if not skew.isEmpty():
+        return False
+    most = kernel.agg(F.max(F.abs("k"))).first()[0] or 0.0
+    return blocks.lowest_eigenvalue(_symmetric(kernel), size, block) >= -1e-9 * max(1.0, most)
 
 
-def is_psd(kernel: DataFrame, size: int, tolerance: float = 1e-6, limit: int = 4096) -> bool:
-    """Symmetric within the tolerance and without a negative eigenvalue beyond rounding."""
-    m = dense(kernel, size, limit)
-    return bool((np.abs(m - m.T) <= tolerance).all() and np.linalg.eigvalsh((m + m.T) / 2)[0] >= -1e-9 * max(1.0, np.abs(m).max()))
+def _symmetric(kernel: DataFrame) -> DataFrame:
+    both = kernel.select("i", "j", "k").unionByName(_turned(kernel))
+    return both.groupBy("i", "j").agg((F.sum("k") / 2).alias("k"))
 
 
-def fixup(kernel: DataFrame, size: int, tolerance: float | None = None, limit: int = 4096) -> DataFrame:
+def fixup(kernel: DataFrame, size: int, tolerance: float | None = None, block: int = blocks.BLOCK) -> DataFrame:
     """The symmetric part; a smallest eigenvalue below 0 adds ten times its size to the diagonal.
 
-    With a tolerance, one below minus that is an error instead.
+    With a tolerance, one below minus that is an error instead. Up to 1e-12 of the largest cell, or of 1, is rounding.
     """
-    both = kernel.select("i", "j", "k").unionByName(kernel.select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
-    symmetric = both.groupBy("i", "j").agg((F.sum("k") / 2).alias("k"))
-    lowest = float(np.linalg.eigvalsh(dense(symmetric, size, limit))[0]) if size else 0.0
+    symmetric = materialize(_symmetric(kernel))
+    lowest = blocks.lowest_eigenvalue(symmetric, size, block)
     if tolerance is not None and lowest < -tolerance:
         raise ValueError(f"the smallest eigenvalue is {lowest}")
-    if lowest >= -1e-12:
+    most = symmetric.agg(F.max(F.abs("k"))).first()[0] or 0.0
+    if lowest >= -1e-12 * max(1.0, most):
         return symmetric
-    shift = kernel.sparkSession.range(size).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(-10 * lowest).alias("k"))
-    return total(symmetric, shift)
+    return blocks.shifted(symmetric, size, F.lit(-10 * lowest))
 
 
 def precomputed(rows: DataFrame) -> DataFrame:
@@ -298,13 +283,13 @@ def pssm(entities: DataFrame, profiles: DataFrame, k: int = 2, threshold: float
     return profile(rows.select("i", "pos", "residue", "scores"), k, threshold)
 
 
-def prepared(kernel: DataFrame, size: int, normalized: bool = False, fixed: bool = False, limit: int = 4096) -> DataFrame:
+def prepared(kernel: DataFrame, size: int, normalized: bool = False, fixed: bool = False) -> DataFrame:
     """A kernel of ``size`` entities, 2 at least, fixed up and then normalised if asked for, and kept for its users."""
     if size < 2:
         raise ValueError("a kernel needs two entities")
     if kernel.where(f"i < 0 OR j < 0 OR i >= {int(size)} OR j >= {int(size)}").limit(1).count():
         raise ValueError(f"a cell lies outside of {size} entities")
-    kernel = fixup(kernel, size, limit=limit) if fixed else kernel
+    kernel = fixup(kernel, size) if fixed else kernel
     return materialize(normalize(kernel) if normalized else kernel)
 
 

@@ -36,10 +36,33 @@ def asymmetric(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")), ["p", "q"], "left_anti")
 
 
+#: Members of a group that are paired as one; a larger group is dealt into blocks of about as many.
+GROUP = 2048
+
+
+def pairs_within(rows: DataFrame, key: str, entity: str, most: int = GROUP, summary: dict[str, Column] | None = None) -> DataFrame:
+    """(key, a, b, ...): the rows a and b, as structs, of each group whose entities are a >= b, with a ``summary`` of the group.
+
+    The rows of a large group are dealt into blocks by entity, and each row meets each block once: pairs of blocks form a
+    triangular grid, whose cells are joined by themselves. So a key that all rows have makes many tasks of bounded
+    size, and a small group is one cell.
+    """
+    names = list(summary or {})
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__blocks"), *[c.alias(n) for n, c in (summary or {}).items()])
+    own = F.pmod(F.xxhash64(entity), F.col("__blocks")).cast("int")
+    dealt = rows.select(key, F.struct(*rows.columns).alias("__row"), F.col(entity)).join(sizes, key).select(key, "__row", *names, own.alias("__own"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__met"))
+    cell = [key, "__low", "__high"]
+    dealt = dealt.select(key, F.least("__own", "__met").alias("__low"), F.greatest("__own", "__met").alias("__high"), "__own", "__row", *names)
+    a = dealt.select(*cell, F.col("__own").alias("__x"), F.col("__row").alias("a"), *names)
+    b = dealt.select(*cell, F.col("__own").alias("__y"), F.col("__row").alias("b"))
+    met = a.join(b, cell).where((F.col("a")[entity] >= F.col("b")[entity]) & ((F.col("__low") == F.col("__high")) | (F.col("__x") != F.col("__y"))))
+    return met.select(key, "a", "b", *names)
+
+
 def co_members(groups: DataFrame) -> DataFrame:
     """Pairs p < q that share a group (p, g)."""
-    a, b = groups.select("g", "p").distinct(), groups.select("g", F.col("p").alias("q")).distinct()
-    return a.join(b, "g").where("p < q").select("p", "q").distinct()
+    pairs = pairs_within(groups.select("g", "p").distinct(), "g", "p").where("a.p > b.p")
+    return pairs.select(F.col("b.p").alias("p"), F.col("a.p").alias("q")).distinct()
 
 
 def shuffled(seed: int, *columns: str):
@@ -99,9 +122,11 @@ def number(rows: DataFrame, column: str) -> DataFrame:
 
     A range partitioning sorts; tasks number their own rows, and offsets come from the tasks' counts.
     """
-    part = materialize(rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()))
+    # The id's upper bits are the task's number, its lower 33 count the task's rows.
+    at = F.monotonically_increasing_id()
+    part = materialize(rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("at", at))
+    part = part.select(column, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("local"))
     counts = part.groupBy("part").count()
     # One row a task, so the window over all of them is small.
     before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return part.withColumn("local", local).join(F.broadcast(before), "part").select(column, (F.col("base") + F.col("local")).cast("long").alias("index"))
+    return part.join(F.broadcast(before), "part").select(column, (F.col("base") + F.col("local")).cast("long").alias("index"))

@@ -128,7 +128,7 @@ def gold_stages(spark: SparkSession, load_triples: Callable[[], Triples], load:
     (without the random one), and the indices of the test folds.
 
     ``root`` holds the gold standard's files, ``load`` is that of ``kernel_stages``. Kernels are of entities and pairs in
-    the order of the files. Parameters: gamma (1), pssm_k (4), pssm_threshold (6), seed (0), kernel_limit (4096).
+    the order of the files. Parameters: gamma (1), pssm_k (4), pssm_threshold (6), seed (0).
     """
 
     def orders(c):
@@ -143,20 +143,20 @@ def gold_stages(spark: SparkSession, load_triples: Callable[[], Triples], load:
 
     def kernel(kind: str):
         def run(c, gold_order):
-            n, limit = gold_order.count(), c.get("kernel_limit", 4096)
+            n = gold_order.count()
             if kind == "colocalization":
                 made = kernels.colocalization(gold_contexts(load_triples()).join(gold_order, "p").select("i", "chrom", "pos"), c.get("gamma", 1.0))
             elif kind == "expression":
                 made = kernels.expression(gold_order.select("i", F.col("p").alias("gene")), load("expression"))
             elif kind == "complex":
-                made = kernels.diffusion(kernels.cliques(load("complexes").join(gold_order, "p").select("i", "complex")), n, limit=limit)
+                made = kernels.diffusion(kernels.cliques(load("complexes").join(gold_order, "p").select("i", "complex")), n)
             elif kind in ("interpro", "interpro_score"):
                 made = kernels.interpro(gold_order.select("i", "p"), load("interpro"), "match" if kind == "interpro" else "evalue")
             elif kind == "profile":
                 made = kernels.pssm(gold_order, load("pssm"), c.get("pssm_k", 4), c.get("pssm_threshold", 6.0))
             else:
                 made = kernels.random_linear(gold_order.select("i"), seed=c.get("seed", 0))
-            return kernels.prepared(made, n, normalized=True, limit=limit)
+            return kernels.prepared(made, n, normalized=True)
 
         return run
 
@@ -257,8 +257,7 @@ def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
     """Stages of kernels, for the entities by their ``index``; none of them is needed for the fold files.
 
     ``load`` gives the tables that triples don't hold: ``expression``, a list of (gene, x); ``complexes`` (complex, p);
-    ``interpro`` (p, DB, FAMILY, EVALUE); ``pssm``, as ``sources.files.pssm`` reads it. Kernels of complexes and
-    fix-ups need eigenvalues on the driver, for as many entities as ``kernel_limit`` (4096) at most.
+    ``interpro`` (p, DB, FAMILY, EVALUE); ``pssm``, as ``sources.files.pssm`` reads it.
     Parameters besides: gamma (1), pssm_k (2), pssm_threshold (6).
     """
 
@@ -274,7 +273,7 @@ def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
     def made(make: Callable[..., DataFrame], fixed: bool = False) -> Callable[..., DataFrame]:
         def run(c, order, **tables):
             n = order.count()
-            return kernels.prepared(make(c, order, n, **tables), n, normalized=True, fixed=fixed, limit=c.get("kernel_limit", 4096))
+            return kernels.prepared(make(c, order, n, **tables), n, normalized=True, fixed=fixed)
 
         return run
 
@@ -288,7 +287,7 @@ def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
 
     def complexes(c, order, n, features):
         members = load("complexes").join(features.select("p", "feature").withColumnsRenamed({"p": "q", "feature": "p"}), "p").select("complex", F.col("q").alias("p")).join(order, "p")
-        return kernels.diffusion(kernels.cliques(members.select("i", "complex")), n, limit=c.get("kernel_limit", 4096))
+        return kernels.diffusion(kernels.cliques(members.select("i", "complex")), n)
 
     def domains(mode):
         return lambda c, order, n: kernels.interpro(order.select("i", "p"), load("interpro"), mode)

@@ -483,6 +483,22 @@ def diffusion_kernel(spark, sf):
     return rounded(kernels.diffusion(kernels.cliques(members), 25))
 
 
+@query("""WITH c AS (SELECT c_custkey AS i, c_nationkey AS g, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT a.i, b.i AS j, round((1 - exp(-a.n)) / a.n + CASE WHEN a.i = b.i THEN exp(-a.n) ELSE 0 END, 6) AS k FROM c a JOIN c b USING (g) WHERE round((1 - exp(-a.n)) / a.n, 6) <> 0""")
+def diffusion_kernel_in_blocks(spark, sf):
+    """As many entities as make a grid of blocks. On a graph of cliques diffusion has a closed form."""
+    members = read(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("complex"))
+    return rounded(kernels.diffusion(kernels.cliques(members), members.count()))
+
+
+@query("""WITH c AS (SELECT c_custkey AS i, c_nationkey AS g FROM customer)
+    SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 10 ELSE 1 END::DOUBLE AS k FROM c a JOIN c b USING (g)""")
+def kernel_fixup_shift(spark, sf):
+    """Customers of one nation, but none with itself: the smallest eigenvalue is -1, so the diagonal becomes 10."""
+    members = read(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("complex"))
+    return rounded(kernels.fixup(kernels.cliques(members).where("i <> j"), members.count()))
+
+
 # Features of sequences.
 
 

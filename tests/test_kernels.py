@@ -129,8 +129,6 @@ def test_dense_algebra(spark):
     close(kernels.fixup(bad, 2), [[11, 2], [2, 11]])
     with pytest.raises(ValueError):
         kernels.fixup(bad, 2, tolerance=0.5)
-    with pytest.raises(ValueError):
-        kernels.dense(bad, 5000)
     square = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0])], "i long, row array<double>")
     close(kernels.precomputed(square), [[1, 0], [0, 2]])
     with pytest.raises(ValueError):
