@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +35,37 @@ def alternatives(terms: DataFrame) -> DataFrame:
     return terms.select(F.explode("alt_ids").alias("alt_id"), "id")
 
 
-def closure(edges: DataFrame, relations: list[str] | None = (IS_A,)) -> DataFrame:
-    """(id, ancestor): the transitive closure, without the term itself.
+def distances(edges: DataFrame, relations: list[str] | None = (IS_A,)) -> DataFrame:
+    """(id, ancestor, d): each ancestor with the number of steps of the shortest path to it.
 
-    Semi-naive: each round extends what the last one found and drops what is known, so paths that meet
-    again are followed once. Rounds number the longest shortest path.
+    By doubling: a round joins the pairs that the last one found to all that are known, which finds those up to twice as far
+    away. For of a shortest path of more than 2**r steps and at most 2**(r + 1), the first 2**r are one of the last round's,
+    and the rest is known; the smallest of such sums is the distance. What a round finds is kept as a table of
+    its own, so nothing is written twice.
     """
     step = related(edges, relations).select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct()
-    step = materialize(step)
-    up = step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-    known = frontier = step
+    found = [materialize(step.withColumn("d", F.lit(1)))]
     while True:
-        more = frontier.join(up, "ancestor").select("id", F.col("next").alias("ancestor")).distinct()
-        frontier = materialize(more.join(known, ["id", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
+        known = reduce(DataFrame.unionByName, found)
+        above = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("d").alias("more"))
+        further = found[-1].join(above, "ancestor").groupBy("id", F.col("top").alias("ancestor")).agg(F.min(F.col("d") + F.col("more")).alias("d"))
+        new = materialize(further.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        if new.isEmpty():
             return known
-        known = materialize(known.unionByName(frontier))
+        found.append(new)
+
+
+def closure(edges: DataFrame, relations: list[str] | None = (IS_A,)) -> DataFrame:
+    """(id, ancestor): the transitive closure; a term is its own ancestor only in a circle. See ``distances``."""
+    return distances(edges, relations).select("id", "ancestor")
 
 
 def levels(terms: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): 0 without an is_a parent, else one more than the smallest level of a parent."""
-    up = materialize(related(edges, [IS_A]).select(F.col("child").alias("id"), "parent").distinct())
-    found = frontier = materialize(terms.select("id").join(up.select("id"), "id", "left_anti").withColumn("level", F.lit(0)))
-    while True:
-        below = up.join(frontier.select(F.col("id").alias("parent"), "level"), "parent").select("id", (F.col("level") + 1).alias("level")).distinct()
-        frontier = materialize(below.join(found, "id", "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = materialize(found.unionByName(frontier))
+    """(id, level): 0 without an is_a parent, else one more than the smallest level of a parent: the distance to the nearest term without one."""
+    up = related(edges, [IS_A]).select(F.col("child").alias("id"))
+    roots = materialize(terms.select("id").join(up, "id", "left_anti"))
+    below = distances(edges).join(roots.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy("id").agg(F.min("d").alias("level"))
+    return roots.withColumn("level", F.lit(0)).unionByName(below)
 
 
 def annotate(terms: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -502,15 +502,19 @@ def kernel_fixup_shift(spark, sf):
 # Features of sequences.
 
 
-@query("""WITH s AS (SELECT item_id AS i, text AS s FROM benchmark), r AS (SELECT i, generate_subscripts(string_split(s, ''), 1) - 1 AS pos, unnest(string_split(s, '')) AS residue FROM s),
-    c AS (SELECT x.i, x.pos, y.residue, count(*) AS n FROM r x JOIN r y ON x.i = y.i AND y.pos BETWEEN x.pos - 8 AND x.pos + 8 WHERE regexp_full_match(y.residue, '[a-z]') GROUP BY ALL),
-    t AS (SELECT i, pos, sum(n) + 26e-10 AS total, 26 - count(*) AS none FROM c GROUP BY ALL),
-    h AS (SELECT i, pos, -sum((n + 1e-10) / total * ln((n + 1e-10) / total)) - any_value(none) * (1e-10 / any_value(total)) * ln(1e-10 / any_value(total)) AS h FROM c JOIN t USING (i, pos) GROUP BY ALL)
-    SELECT i, round(sum(coalesce(h, ln(26)))/count(*), 5) AS entropy_8 FROM r LEFT JOIN h USING (i, pos) GROUP BY i""")
+_WIDTHS = (8, 16, 32, 64, 128)
+
+
+@query(f"""WITH s AS (SELECT item_id AS i, text AS s FROM benchmark), r AS (SELECT i, generate_subscripts(string_split(s, ''), 1) - 1 AS pos, unnest(string_split(s, '')) AS residue FROM s),
+    x AS (SELECT i, pos, w FROM r, (SELECT unnest([{", ".join(map(str, _WIDTHS))}]) AS w)),
+    c AS (SELECT x.i, x.pos, x.w, y.residue, count(*) AS n FROM x JOIN r y ON x.i = y.i AND y.pos BETWEEN x.pos - x.w AND x.pos + x.w WHERE regexp_full_match(y.residue, '[a-z]') GROUP BY ALL),
+    t AS (SELECT i, pos, w, sum(n) + 26e-10 AS total, 26 - count(*) AS none FROM c GROUP BY ALL),
+    h AS (SELECT i, pos, w, -sum((n + 1e-10) / total * ln((n + 1e-10) / total)) - any_value(none) * (1e-10 / any_value(total)) * ln(1e-10 / any_value(total)) AS h FROM c JOIN t USING (i, pos, w) GROUP BY ALL)
+    SELECT i, {", ".join(f"round(avg(coalesce(h, ln(26))) FILTER (w = {w}), 5) AS entropy_{w}" for w in _WIDTHS)} FROM x LEFT JOIN h USING (i, pos, w) GROUP BY i""")
 def entropy_windows(spark, sf):
     rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("s"))
-    phi = features.per_sequence(features.low_complexity(rows, (8,), _LETTERS))
-    return phi.select("i", F.round("entropy_8", 5).alias("entropy_8"))
+    phi = features.per_sequence(features.low_complexity(rows, _WIDTHS, _LETTERS))
+    return phi.select("i", *[F.round(f"entropy_{w}", 5).alias(f"entropy_{w}") for w in _WIDTHS])
 
 
 @query("""WITH r AS (SELECT item_id AS i, unnest(string_split(upper(text), '')) AS residue FROM benchmark)

@@ -39,19 +39,18 @@ def content_fingerprint(rows: DataFrame) -> str:
 def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", skip: int = 0, quote: str = '"', comment: str | None = None) -> DataFrame:
     """Records by position. Short rows end in nulls, surplus cells go, empty cells are null, blank lines don't count.
 
-    ``skip`` drops that many records at the head of each file. Only one task reads the head of a file, and only
-    the heads are numbered; the rest streams through.
+    ``skip`` drops that many records at the head of each file, as long as these lie in its first split. A record is a line.
     """
     reader = spark.read.schema(string_schema(columns)).option("sep", sep).option("quote", quote).option("escape", quote).option("mode", "PERMISSIVE")
     if comment:
         reader = reader.option("comment", comment)
     if not skip:
         return reader.csv(path)
-    # Records that are skipped stand at the start of their file: order them by the place of their block.
-    rows = reader.option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
-    first = rows.groupBy("__file").agg(F.min("__at").alias("__first"))
-    # A multi-line file is read by one task, so its records are numbered without gaps.
-    return rows.join(F.broadcast(first), "__file").where(F.col("__at") - F.col("__first") >= skip).select(*[F.col(f"`{c}`") for c in columns])
+    # A file may be split over tasks; the records to be skipped are the first of the split that begins with the file.
+    place, at = F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at")
+    rows = reader.csv(path).select("*", place, (F.col("_metadata.file_block_start") == 0).alias("__head"), at)
+    first = rows.where("__head").groupBy("__file").agg(F.min("__at").alias("__first"))
+    return rows.join(F.broadcast(first), "__file", "left").where(~F.col("__head") | (F.col("__at") - F.col("__first") >= skip)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def with_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
