@@ -4,8 +4,9 @@ operator reads, read by it, and held against DuckDB SQL over the tables themselv
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import terms as V
@@ -27,13 +28,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, path: str, text: str) -> str:
-    """One small file of a given name."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(text, "utf-8"))
-    out.close()
-    return path
+def named(rows: DataFrame, name: Column | str, at: Column | int, value: Column | str) -> DataFrame:
+    """Lines of files, for ``sinks.write_named``."""
+    name, at, value = (F.lit(x) if isinstance(x, (str, int)) else x for x in (name, at, value))
+    return rows.select(name.alias("name"), at.cast("long").alias("at"), value.alias("value"))
+
+
+def heads(spark: SparkSession, name: str, *lines: str, first: int = 0) -> DataFrame:
+    """Fixed lines of one file."""
+    return spark.createDataFrame([(name, first + k, x) for k, x in enumerate(lines)], "name string, at long, value string")
+
+
+def put(spark: SparkSession, *parts: DataFrame) -> str:
+    """A new folder with named files, whose lines are the parts'."""
+    root = scratch(spark)
+    sinks.write_named(reduce(DataFrame.unionByName, parts), root)
+    return root
 
 
 def write_lines(rows: DataFrame, path: str, *parts, sep: str = "\t") -> str:
@@ -263,21 +273,19 @@ def src_gold_pairs(spark, sf):
     return tables["protein_positive"].withColumn("positive", F.lit(True)).unionByName(tables["protein_negative"].withColumn("positive", F.lit(False)))
 
 
-@query(f"SELECT '{B}gold_protein.Y' || n_nationkey AS s, '{V.SAME_AS}' AS p, '{UNIPROT}P' || n_nationkey AS o FROM nation")
+@query(f"SELECT '{B}gold_protein.Y' || s_suppkey AS s, '{V.SAME_AS}' AS p, '{UNIPROT}P' || s_suppkey AS o FROM supplier")
 def map_gold_aliases(spark, sf):
     """A ruled report: the table is the part behind the fifth ruler line."""
-    root = scratch(spark)
-    rows = [f"{'x':75}{'Y' + str(r['n_nationkey']) + '; other':20}{'P' + str(r['n_nationkey']):11}tail" for r in read(spark, sf, "nation").collect()]
-    rulers = "\n".join(["head", "-----", "a", "_____", "b", "_____", "c", "_____", "OLN SP_ACC", "_____"])
-    put(spark, f"{root}/gold/yeast.txt", rulers + "\n" + "\n".join(rows) + "\n_____\nend\n")
+    key = F.col("s_suppkey").cast("string")
+    value = F.concat(F.rpad(F.lit("x"), 75, " "), F.rpad(F.concat(F.lit("Y"), key, F.lit("; other")), 20, " "), F.rpad(F.concat(F.lit("P"), key), 11, " "), F.lit("tail"))
+    name, last = "gold/yeast.txt", 1 << 60
+    root = put(spark, heads(spark, name, "head", "-----", "a", "_____", "b", "_____", "c", "_____", "OLN SP_ACC", "_____"), named(read(spark, sf, "supplier"), name, 100 + F.col("s_suppkey"), value), heads(spark, name, "_____", "end", first=last))
     return mappings.REGISTRY["gold"]["aliases"](spark, root).select("s", "p", "o")
 
 
 @query(f"SELECT '{PDBR}1a' || n_nationkey AS s, '{V.TYPE}' AS p, '{V.PREFIXES['pdbo']}PDBID' AS o FROM nation")
 def map_pdb_ids(spark, sf):
-    root = scratch(spark)
-    for row in read(spark, sf, "nation").collect():  # 25 files, named by their ids
-        put(spark, f"{root}/PDB/divided/mmCIF/1A{row['n_nationkey']}.cif.gz", "x")
+    root = put(spark, named(read(spark, sf, "nation"), F.concat(F.lit("PDB/divided/mmCIF/1A"), "n_nationkey", F.lit(".cif.gz")), 0, "x"))
     return mappings.REGISTRY["pdb"]["ids"](spark, root).select("s", "p", "o")
 
 
@@ -386,32 +394,28 @@ _interpro_kernel("evalue", "coalesce(-ln(min(e)), 1)")
 @query("SELECT 'r' || r_regionkey AS p, 'F' || n_nationkey AS \"FAMILY\", '1' AS \"START\" FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 4")
 def src_per_entity(spark, sf):
     """One file an entity; a last entity has none."""
-    root, nations = scratch(spark), read(spark, sf, "nation").collect()  # 25 rows
-    for r in range(4):
-        rows = [[{"FAMILY": f"F{n['n_nationkey']}", "START": "1"}.get(c, "x") for c in files.INTERPRO] for n in nations if n["n_regionkey"] == r]
-        put(spark, f"{root}/r{r}.tsv.txt", "".join("\t".join(x) + "\n" for x in rows))
+    given = {"FAMILY": F.concat(F.lit("F"), "n_nationkey"), "START": F.lit("1")}
+    value = F.concat_ws("\t", *[given.get(c, F.lit("x")) for c in files.INTERPRO])
+    root = put(spark, named(read(spark, sf, "nation").where("n_regionkey < 4"), F.concat(F.lit("r"), "n_regionkey", F.lit(".tsv.txt")), F.col("n_nationkey"), value))
     entities = read(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("p"))
     return files.per_entity(spark, entities, root)[0].select("p", "FAMILY", "START")
 
 
 @query("SELECT 'r' || r_regionkey AS p FROM region WHERE r_regionkey >= 4")
 def src_per_entity_missing(spark, sf):
-    root = scratch(spark)
-    for r in range(4):
-        put(spark, f"{root}/r{r}.tsv.txt", "\t".join(["x"] * len(files.INTERPRO)) + "\n")
+    root = put(spark, named(read(spark, sf, "region").where("r_regionkey < 4"), F.concat(F.lit("r"), "r_regionkey", F.lit(".tsv.txt")), 0, "\t".join(["x"] * len(files.INTERPRO))))
     entities = read(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("p"))
     return files.per_entity(spark, entities, root)[1]
 
 
 def expression_file(spark: SparkSession, sf: str) -> str:
     """Three experiments, each with a table of suppliers as genes."""
-    root = scratch(spark)
-    # Tables of this kind are small: one row a gene of one organism.
-    keys = sorted(r["s_suppkey"] for r in read(spark, sf, "supplier").select("s_suppkey").collect())
+    parts = []
     for name, shift in (("one", 0), ("two", 3), ("other", 5)):
-        rows = [f"Y{k}\tx\t1\t{(k + shift) % 5}\t{(k + shift) % 7}\t{(k + shift) % 11}" for k in keys]
-        put(spark, f"{root}/{name}/x.pcl", "\n".join(["NAME\td\tGWEIGHT\ta\tb\tc", "EWEIGHT\t\t\t1\t1\t1", *rows]) + "\n")
-    return root
+        at = F.col("s_suppkey") + shift
+        value = F.concat_ws("\t", F.concat(F.lit("Y"), "s_suppkey"), F.lit("x"), F.lit("1"), *[(at % n).cast("string") for n in (5, 7, 11)])
+        parts += [heads(spark, f"{name}/x.pcl", "NAME\td\tGWEIGHT\ta\tb\tc", "EWEIGHT\t\t\t1\t1\t1"), named(read(spark, sf, "supplier"), f"{name}/x.pcl", 2 + F.col("s_suppkey"), value)]
+    return put(spark, *parts)
 
 
 _MICRO = "x AS (SELECT s_suppkey, s, 'Y' || s_suppkey AS gene, [((s_suppkey + s) % 5)::DOUBLE, ((s_suppkey + s) % 7)::DOUBLE, ((s_suppkey + s) % 11)::DOUBLE] AS x FROM supplier, (VALUES (0), (3)) v(s))"
@@ -449,16 +453,14 @@ def src_psimi(spark, sf):
 
 def pssm_files(spark: SparkSession, sf: str) -> str:
     """One scoring matrix a region; its positions are nations, and residue and numbers come from their keys."""
-    root, nations = scratch(spark), read(spark, sf, "nation").collect()  # 25 rows
-    for r in range(5):
-        rows = sorted(n["n_nationkey"] for n in nations if n["n_regionkey"] == r)
-        lines = ["", "title", "  letters"]
-        for at, key in enumerate(rows):
-            scores = "".join(f"{(key + k) % 9 - 4:3d}" for k in range(20))
-            percents = "".join(f"{100 if k == key % 20 else 0:4d}" for k in range(20))
-            lines.append(f"{at + 1:5d} {AMINO_ACIDS[key % 20]}  {scores} {percents}  0.50 0.10")
-        put(spark, f"{root}/{r}.pssm", "\n".join([*lines, *[f"tail {k}" for k in range(6)]]) + "\n")
-    return root
+    nations, key = read(spark, sf, "nation"), F.col("n_nationkey")
+    name, at = F.concat("n_regionkey", F.lit(".pssm")), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    scores = F.concat(*[F.format_string("%3d", (key + k) % 9 - 4) for k in range(20)])
+    percents = F.concat(*[F.format_string("%4d", F.when(key % 20 == k, 100).otherwise(0)) for k in range(20)])
+    letter = F.substring(F.lit(AMINO_ACIDS), (key % 20 + 1).cast("int"), F.lit(1))
+    rows = nations.select("n_regionkey", name.alias("name"), at.alias("at"), F.concat(F.format_string("%5d", at), F.lit(" "), letter, F.lit("  "), scores, F.lit(" "), percents, F.lit("  0.50 0.10")).alias("value"))
+    around = rows.select("name").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("at"), F.lit(t).alias("value")) for n, t in [(-3, ""), (-2, "title"), (-1, "  letters"), *[(1 << 40 | k, f"tail {k}") for k in range(6)]]])))
+    return put(spark, named(rows, F.col("name"), F.col("at"), F.col("value")), named(around, F.col("name"), F.col("x.at"), F.col("x.value")))
 
 
 _PSSM = f"""n AS (SELECT n_regionkey AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos, n_nationkey AS k FROM nation),
@@ -504,9 +506,7 @@ def src_complexes(spark, sf):
 
 @query("SELECT n_nationkey || '.txt' AS name FROM nation")
 def src_listing(spark, sf):
-    root = scratch(spark)
-    for row in read(spark, sf, "nation").collect():  # 25 files
-        put(spark, f"{root}/{row['n_nationkey']}.txt", "x")
+    root = put(spark, named(read(spark, sf, "nation"), F.concat("n_nationkey", F.lit(".txt")), 0, "x"))
     return files.listing(spark, f"{root}/*.txt").select("name")
 
 
@@ -525,41 +525,44 @@ def src_matrix_text(spark, sf):
     path = scratch(spark)
     sinks.write_matrix_text(small_kernel(spark, sf).coalesce(2), 25, path)
     # The writer makes one file a range of rows; one file is what the reader numbers.
-    whole = "\n".join(r["value"] for r in spark.read.text(path).orderBy(F.element_at(F.split("_metadata.file_path", "part-"), -1), F.monotonically_increasing_id()).collect())
-    return rounded(kernels.precomputed(files.matrix(spark, put(spark, f"{scratch(spark)}/m.txt", whole))))
+    part = F.regexp_extract(F.col("_metadata.file_path"), "part-([0-9]+)", 1).cast("long")
+    whole = spark.read.text(path).select("value", part.alias("part"), F.monotonically_increasing_id().alias("line"))
+    root = put(spark, named(whole, "m.txt", F.col("part") * (1 << 42) + F.col("line"), F.col("value")))
+    return rounded(kernels.precomputed(files.matrix(spark, f"{root}/m.txt")))
 
 
 @query(f"WITH {_SMALL} SELECT i, count(*) AS cells, sum(k) AS total FROM g WHERE i <= j GROUP BY i")
 def sink_matrix_binary(spark, sf):
-    """The upper triangle as float32, decoded again by its size."""
-    blocks = sinks.matrix_blocks(small_kernel(spark, sf), 25)
+    """The upper triangle as float32 in one file, read back and decoded by its size."""
+    path = f"{put(spark, heads(spark, 'folder', ''))}/kernel.bin"
+    sinks.write_matrix_binary(small_kernel(spark, sf), 25, path)
 
     def decode(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            rows = [np.frombuffer(x, "<f4").astype(float) for x in batch.column("block").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([len(r) for r in rows], pa.int64()), pa.array([float(r.sum()) for r in rows])], names=["i", "cells", "total"])
+            for content in batch.column("content").to_pylist():
+                n = int(np.frombuffer(content, "<i4", 1)[0])
+                rows = np.split(np.frombuffer(content, "<f4", offset=4).astype(float), np.cumsum(np.arange(n, 1, -1)))
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([float(r.sum()) for r in rows])], names=["i", "cells", "total"])
 
-    return blocks.mapInArrow(decode, "i long, cells long, total double")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "i long, cells long, total double")
 
 
 @query("SELECT n_regionkey::INTEGER AS fold, 'Y' || n_nationkey AS p, 'Z' || n_nationkey AS q FROM nation")
 def src_test_folds(spark, sf):
-    root, rows = scratch(spark), read(spark, sf, "nation").collect()  # 25 rows
-    for k in range(5):
-        put(spark, f"{root}/test{k}.txt", "head\n" + "".join(f"Y{r['n_nationkey']} Z{r['n_nationkey']}\n" for r in rows if r["n_regionkey"] == k))
+    name, key = F.concat(F.lit("test"), "n_regionkey", F.lit(".txt")), F.col("n_nationkey")
+    nations = read(spark, sf, "nation")
+    root = put(spark, named(nations.select("n_regionkey").distinct(), name, -1, "head"), named(nations, name, key, F.concat(F.lit("Y"), key, F.lit(" Z"), key)))
     return files.test_folds(spark, f"{root}/test*.txt")
 
 
 @query(f"WITH {_SMALL} SELECT kind, count(*) AS cells, sum(k) AS total FROM g, (VALUES ('protein'), ('domain'), ('residue')) v(kind) GROUP BY kind")
 def src_gold_kernels(spark, sf):
-    root = scratch(spark)
-    cells = {(r["i"], r["j"]): r["k"] for r in small_kernel(spark, sf).collect()}  # 25 x 25
-    text = "".join(" ".join(str(cells[i, j]) for j in range(25)) + "\n" for i in range(25))
-    for kind, folder in (("protein", "ppi"), ("domain", "ddi"), ("residue", "rri")):
-        put(spark, f"{root}/{folder}/ready/{kind}Kernel.txt", text)
+    line = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("j", "k"))), lambda x: x["k"].cast("string")))
+    rows = small_kernel(spark, sf).groupBy("i").agg(line.alias("value"))
+    root = put(spark, *[named(rows, f"{folder}/ready/{kind}Kernel.txt", F.col("i"), F.col("value")) for kind, folder in (("protein", "ppi"), ("domain", "ddi"), ("residue", "rri"))])
     out = None
     for kind, rows in files.gold_kernels(spark, root).items():
         one = rows.select(F.lit(kind).alias("kind"), F.explode("row").alias("k"))
@@ -570,9 +573,10 @@ def src_gold_kernels(spark, sf):
 @query("SELECT 'Y' || n_nationkey AS p, row_number() OVER (ORDER BY n_nationkey % 2, n_nationkey) - 1 AS index, n_nationkey % 2 = 0 AS positive FROM nation")
 def gold_pair_order(spark, sf):
     """Pairs in the order of their files, positive ones first."""
-    root, keys = scratch(spark), sorted(r["n_nationkey"] for r in read(spark, sf, "nation").collect())  # 25 rows
-    for name, kept in (("proteins", keys), ("goldPosProteinPairs", [k for k in keys if k % 2 == 0]), ("goldNegProteinPairs", [k for k in keys if k % 2])):
-        put(spark, f"{root}/ppi/ready/{name}.txt", "".join(f"Y{k} Y{k}\n" for k in kept))
+    nations, key = read(spark, sf, "nation"), F.col("n_nationkey")
+    value = F.concat(F.lit("Y"), key, F.lit(" Y"), key)
+    kinds = (("proteins", "true"), ("goldPosProteinPairs", "n_nationkey % 2 = 0"), ("goldNegProteinPairs", "n_nationkey % 2 = 1"))
+    root = put(spark, *[named(nations.where(kept), f"ppi/ready/{name}.txt", key, value) for name, kept in kinds])
     return files.gold_order(spark, root, "protein")[1].select("p", "index", "positive")
 
 
@@ -971,19 +975,21 @@ def kernel_prepared(spark, sf):
     return rounded(kernels.prepared(small_kernel(spark, sf), 25, normalized=True, fixed=True))
 
 
-@query("SELECT i, k FROM (SELECT unnest(range(25)) AS i, 1.0::DOUBLE AS k)")
+@query("""WITH u AS (SELECT s_suppkey::BIGINT AS i, n, ((('0x' || substr(md5('4|' || n || '|' || s_suppkey), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656 AS u FROM supplier, (SELECT unnest(range(20)) AS n)),
+    x AS (SELECT a.i, a.n // 2 AS d, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS x FROM u a JOIN u b ON a.i = b.i AND b.n = a.n + 1 WHERE a.n % 2 = 0)
+    SELECT a.i, b.i AS j, round(sum(a.x * b.x), 6) AS k FROM x a JOIN x b USING (d) GROUP BY ALL HAVING round(sum(a.x * b.x), 6) <> 0""")
 def random_linear_kernel(spark, sf):
-    """A random kernel is a Gram matrix: it is symmetric and its normalised diagonal is 1."""
-    entities = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
-    kernel = kernels.normalize(kernels.random_linear(entities, seed=4))
-    assert kernels.is_psd(kernel, 25)
-    return kernel.where("i = j").select("i", F.round("k", 6).alias("k"))
+    """Dot products of normal features, which digests of the seed and the entity give."""
+    return rounded(kernels.random_linear(read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("i")), seed=4))
 
 
-@query(f"SELECT a, t, a AS back, round(f, 12) AS f FROM (VALUES {', '.join(f'({a!r}, {t!r}, {BACKGROUND[a]!r}::DOUBLE)' for a, t in __import__('braidwork.operators.strings', fromlist=['x']).THREE_LETTERS.items())}) v(a, t, f), region WHERE r_regionkey = 0")
+@query(f"""SELECT a, t, a AS back, round(f, 12) AS f, n FROM (VALUES {', '.join(f'({a!r}, {t!r}, {BACKGROUND[a]!r}::DOUBLE)' for a, t in strings.THREE_LETTERS.items())}) v(a, t, f)
+    JOIN (SELECT a, count(*) AS n FROM (SELECT unnest(string_split(upper(p_name), '')) AS a FROM part) GROUP BY a) USING (a)""")
 def amino_acid_letters(spark, sf):
-    rows = spark.createDataFrame([*BACKGROUND.items()], "a string, f double")
-    return rows.select("a", three_letter(F.col("a")).alias("t"), one_letter(three_letter(F.col("a"))).alias("back"), F.round("f", 12).alias("f"))
+    """The letters of names that stand for amino acids, with how often they occur."""
+    known = spark.createDataFrame([*BACKGROUND.items()], "a string, f double")
+    rows = read(spark, sf, "part").select(F.explode(F.split(F.upper("p_name"), "")).alias("a")).groupBy("a").agg(F.count("*").alias("n")).join(F.broadcast(known), "a")
+    return rows.select("a", three_letter(F.col("a")).alias("t"), one_letter(three_letter(F.col("a"))).alias("back"), F.round("f", 12).alias("f"), "n")
 
 
 @query("SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, 1.0::DOUBLE AS k FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")

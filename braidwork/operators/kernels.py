@@ -110,7 +110,7 @@ def random_linear(entities: DataFrame, dimensions: int = 10, seed: int = 0) -> D
     """A linear kernel of normal random features that depend on the entity and the seed only."""
 
     def uniform(n: int) -> Column:
-        return (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(n)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(n)), F.col("i").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
     x = F.array(*[F.sqrt(-2 * F.ln(uniform(2 * d))) * F.cos(2 * np.pi * uniform(2 * d + 1)) for d in range(dimensions)])
     return linear(entities.select("i", x.alias("x")))

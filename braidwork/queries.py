@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import terms as V
 from .functions import numeric, text
 from .lineage import checkpoint_folder
-from .operators import features, folds, kernels, network, ontology, strings
+from .operators import alignment, features, folds, kernels, network, ontology, strings
 from .plans import sparql
 from .plans.mapping import blank, iri, literal, to_triples
 from .plans.statistics import Graph, statistics_of
@@ -499,6 +499,13 @@ def kernel_fixup_shift(spark, sf):
     return rounded(kernels.fixup(kernels.cliques(members).where("i <> j"), members.count()))
 
 
+@query()
+def redundant_sequences(spark, sf):
+    """Clusters of texts by identity of a global alignment. No SQL: tests hold it against all pairs and a plain greedy pass."""
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("p"), F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("seq"))
+    return alignment.redundancy_by_identity(rows, 0.6)
+
+
 # Features of sequences.
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +86,41 @@ def matrix_blocks(kernel: DataFrame, size: int) -> DataFrame:
 
 
 def write_matrix_binary(kernel: DataFrame, size: int, path: str) -> None:
-    """One file: int32 size, then the upper triangle as float32; rows stream through the driver one by one."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<i", size))
-        for _, block in matrix_blocks(kernel, size).repartitionByRange("i").sortWithinPartitions("i").toLocalIterator():
-            f.write(block)
+    """One file: int32 size, then the upper triangle as float32.
+
+    ``path`` is one, or a URI, that executors and pyarrow's file systems know. A file has one writer: one task streams the
+    rows, which others have made and sorted, under a name of its own and renames the file when it is whole.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = pyarrow.fs.FileSystem.from_uri(path)
+        own = f"{place}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(own, compression=None) as out:
+            out.write(struct.pack("<i", size))
+            for batch in batches:
+                for block in batch.column("block"):
+                    out.write(block.as_buffer())
+        store.move(own, place)
+        yield pa.RecordBatch.from_pydict({"rows": [size]})
+
+    matrix_blocks(kernel, size).repartition(1).sortWithinPartitions("i").select("block").mapInArrow(write, "rows long").collect()
+
+
+def write_named(rows: DataFrame, folder: str) -> None:
+    """Text files of given names out of (name, at, value): a file holds the lines of its name in the order of ``at``.
+
+    Each is written by one task. Spark's writer commits them; the driver then renames what was written, a file at a time.
+    """
+    spark = rows.sparkSession
+    made = f"{folder}/.parts-{uuid.uuid4().hex}"
+    rows.select("name", "at", "value").repartition("name").sortWithinPartitions("name", "at").select("value", "name").write.partitionBy("name").text(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.globStatus(path(f"{made}/name=*/part-*")):
+        target = path(f"{folder}/{unquote(status.getPath().getParent().getName().removeprefix('name='))}")
+        store.mkdirs(target.getParent())
+        store.rename(status.getPath(), target)
+    store.delete(path(made), True)
 
 
 def _xml(text: Column) -> Column:
