@@ -166,10 +166,10 @@ def graph_predicates(spark, sf):
     return statistics_of(customer_triples(spark, sf)).predicates.select("p", "triples", "subjects", "most")
 
 
-@query(f"""SELECT list_sort(['{B}has_name', '{B}in_region', '{V.TYPE}', '{V.TYPE} {B}nation']) AS members, count(*) AS subjects FROM nation
-    UNION ALL SELECT list_sort(['{B}has_name', '{V.TYPE}', '{V.TYPE} {B}region']), count(*) FROM region""")
+@query(f"""SELECT array_to_string(list_sort(['{B}has_name', '{B}in_region', '{V.TYPE}', '{V.TYPE} {B}nation']), '|') AS members, count(*) AS subjects FROM nation
+    UNION ALL SELECT array_to_string(list_sort(['{B}has_name', '{V.TYPE}', '{V.TYPE} {B}region']), '|'), count(*) FROM region""")
 def graph_characteristic_sets(spark, sf):
-    return statistics_of(place_triples(spark, sf)).sets
+    return statistics_of(place_triples(spark, sf)).sets.select(F.array_join("members", "|").alias("members"), "subjects")
 
 
 @query("SELECT count(*) > 0 AS ask FROM nation")
