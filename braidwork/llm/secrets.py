@@ -38,8 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _HEX_BYTES = re.compile(rb"[0-9a-f]{32}")
 
-#: Definitions that are looked up for the names of one text, each name for itself, before all are gone through once instead:
-#: a text may define a constant by its last value thousands of times.
+#: Definitions that are looked up for the names of one text, each name for itself, before those of the other names are gone
+#: through together, with the same results: a text may define a constant by its last value thousands of times.
 VISITS = 200_000
 #: Parts of names that say how sensitive the target is.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "privatekey": 3, "accesskey": 3, "credential": 2, "auth": 1, "bearer": 2, "signingkey": 3, "encryptionkey": 3, "secretkey": 3, "salt": 1}
@@ -127,11 +127,15 @@ def literal_score(literal: str) -> float:
     """
     if len(literal) < 8 or _PLACEHOLDER.match(literal):
         return 0.0
-    if " " in literal:
+    return _looks(Counter(literal))
+
+
+def _looks(counts: dict[str, int]) -> float:
+    """How much a literal of these characters, that is long enough and no placeholder, looks like a key."""
+    if " " in counts:
         return 0.5
-    n = len(literal)
-    counts = Counter(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    n = sum(counts.values())
+    entropy = -math.fsum(c / n * math.log2(c / n) for c in counts.values())
     used = "".join(counts)
     kinds = sum(bool(re.search(p, used)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, entropy / 4) + min(1.0, (kinds - 1) / 2) + min(1.0, n / 24)
@@ -323,20 +327,140 @@ def assignments(text: str) -> Iterator[tuple[int, tuple[str, ...], list[list]]]:
             yield m.start(), (m["name"],), values.read(value.end(), True)[0]
 
 
-def _piecewise(text: str, sensitive: list, defined: dict, definition: Callable, threshold: float) -> set[tuple[int, int, int]]:
-    """The literals that sensitive names reach, each definition looked at once; what stands in one is scored by itself."""
-    found, seen, todo = set(), set(), sorted(sensitive, key=lambda x: x[0])
-    while todo:  # the most sensitive first; what a name reaches is as sensitive as it is, and comes next
-        named, at, parts = todo.pop()
-        own = [x for x in parts if isinstance(x, tuple)]
-        score = literal_score("".join(text[s:e] for s, e in own))
-        if score and named + score >= threshold:
-            found |= {(s, 3, e) for s, e in own if s < e}
-        for x in parts:
-            if not isinstance(x, tuple) and x in defined and (node := definition(x, at)) not in seen:
-                seen.add(node)
-                todo.append((named, defined[x][0][node[1]], defined[x][1][node[1]]))
-    return found
+class _Shared:
+    """Scores of what many starts reach, as ``literal_score`` gives them, each definition gone through once.
+
+    A start or definition hangs on the one that it names, if that names others in turn; of those that don't, on the longest.
+    In this forest a walk from the roots up keeps count of the characters of what lies below: a literal counts where it
+    first comes in and until it last goes out, so that it counts once however often it is named. What names two definitions
+    that name others, or lies in a circle, is read for itself, and so is what hangs on it.
+    """
+
+    HEAD = 16
+
+    def __init__(self, text: str, defined: dict, definition: Callable) -> None:
+        self.text, self.defined, self.definition = text, defined, definition
+        self.parts: dict[tuple, list] = {}
+        self.places: dict[tuple, int] = {}
+        self.refs: dict[tuple, list] = {}
+
+    def named(self, node: tuple) -> list:
+        """The definitions that a node names, itself apart, once each."""
+        found = (self.definition(x, self.places[node]) for x in self.parts[node] if not isinstance(x, tuple) and x in self.defined)
+        return list(dict.fromkeys(x for x in found if x != node))
+
+    def scores(self, starts: list[tuple[int, list]]) -> list[float]:
+        for k, (at, parts) in enumerate(starts):
+            self.places[k,], self.parts[k,] = at, parts
+        todo = [(k,) for k in range(len(starts))]
+        while todo:
+            node = todo.pop()
+            if node in self.refs:
+                continue
+            if len(node) == 2:
+                places, parts = self.defined[node[0]]
+                self.places[node], self.parts[node] = places[node[1]], parts[node[1]]
+            self.refs[node] = self.named(node)
+            todo += self.refs[node]
+        below: dict[tuple, tuple] = {}
+        above: dict[tuple, list] = {}
+        roots = []
+        for node, refs in self.refs.items():
+            deep = [x for x in refs if self.refs[x]]
+            if len(deep) > 1:
+                continue
+            if refs:
+                below[node] = deep[0] if deep else max(refs, key=lambda x: len(self.parts[x]))
+                above.setdefault(below[node], []).append(node)
+            else:
+                roots.append(node)
+        out: list[float | None] = [None] * len(starts)
+        for root in roots:
+            self.walk(root, below, above, out)
+        return [literal_score(self.literal((k,))) if x is None else x for k, x in enumerate(out)]
+
+    def walk(self, root: tuple, below: dict, above: dict, out: list) -> None:
+        text, chars = self.text, Counter()
+        held: Counter = Counter()
+        heads: dict[tuple, list] = {}
+
+        def change(key: tuple, spans: list, by: int) -> None:
+            """``key`` comes in or goes out; with the first or the last of it, its spans do."""
+            held[key] += by
+            if held[key] == max(by, 0):
+                for x in spans:
+                    held[x] += by
+                    if held[x] == max(by, 0):
+                        count = Counter(text[x[1] : x[2]])
+                        chars.update(count) if by > 0 else chars.subtract(count)
+
+        def spans(node: tuple) -> list:
+            return [("span", *x) for x in self.parts[node] if isinstance(x, tuple)]
+
+        def turn(node: tuple, by: int) -> None:
+            change(("node", node), spans(node), by)
+            for x in self.refs[node]:
+                if x != below.get(node):
+                    change(("node", x), spans(x), by)
+
+        todo = [(root, 1)]
+        while todo:
+            node, by = todo.pop()
+            turn(node, by)
+            if by < 0:
+                del heads[node]
+                continue
+            heads[node] = self.head(node, below.get(node), heads)
+            if len(node) == 1:
+                out[node[0]] = self.score(node, {c: n for c, n in chars.items() if n}, "".join(text[s:e] for s, e in heads[node]))
+            todo.append((node, -1))
+            todo += [(x, 1) for x in above.get(node, ())]
+
+    def head(self, node: tuple, below: tuple | None, heads: dict) -> list:
+        """The first spans of a node, up to ``HEAD`` characters or to the end."""
+        found: dict[tuple, None] = {}
+        size = 0
+        for x in self.parts[node]:
+            if isinstance(x, tuple):
+                more = [x]
+            elif x not in self.defined or (ref := self.definition(x, self.places[node])) == node:
+                continue
+            else:
+                more = heads[ref] if ref == below else [y for y in self.parts[ref] if isinstance(y, tuple)]
+            for y in more:
+                if y not in found:
+                    found[y] = None
+                    size += y[1] - y[0]
+            if size >= self.HEAD:
+                break
+        return [*found]
+
+    def score(self, node: tuple, chars: dict[str, int], head: str) -> float:
+        n = sum(chars.values())
+        if n < 8:
+            return 0.0
+        if n <= self.HEAD:
+            return literal_score(head)
+        if "\n" in chars or head[0] in "<$%":  # where the end counts too
+            return literal_score(self.literal(node))
+        if set(chars) <= {"x", "X"} or set(chars) in ({"*"}, {"."}) or re.match("(?i)your[_-]", head):
+            return 0.0
+        return _looks(chars)
+
+    def literal(self, node: tuple) -> str:
+        seen, todo, found = set(), [node], {}
+        while todo:
+            x = todo.pop()
+            if x[0] == "span":
+                found[x[1:]] = None
+            elif x not in seen:
+                seen.add(x)
+                for y in reversed(self.parts[x]):
+                    if isinstance(y, tuple):
+                        todo.append(("span", *y))
+                    elif y in self.defined:
+                        todo.append(self.definition(y, self.places[x]))
+        return "".join(self.text[s:e] for s, e in found)
 
 
 def literal_spans(text: str, threshold: float = 3.5) -> list[tuple[int, int, int]]:
@@ -374,9 +498,20 @@ def literal_spans(text: str, threshold: float = 3.5) -> list[tuple[int, int, int
                 todo += [(y, defined[x][0][node[1]]) for y in reversed(defined[x][1][node[1]])]
 
     sensitive = [(named, at, parts) for at, names, value in read if (named := max(map(name_score, names))) for parts in value]
-    for named, at, parts in sensitive:
+    for k, (named, at, parts) in enumerate(sensitive):
         if visits > VISITS:
-            found |= _piecewise(text, sensitive, defined, definition, threshold)
+            rest = sensitive[k:]
+            known = _Shared(text, defined, definition).scores([(at, parts) for _, at, parts in rest])
+            marked: set[tuple] = set()
+            for (named, at, parts), score in zip(rest, known, strict=True):
+                todo = [(x, at) for x in parts] if score and named + score >= threshold else []
+                while todo:
+                    x, at = todo.pop()
+                    if isinstance(x, tuple):
+                        found |= {(x[0], 3, x[1])} if x[0] < x[1] else set()
+                    elif x in defined and (node := definition(x, at)) not in marked:
+                        marked.add(node)
+                        todo += [(y, defined[x][0][node[1]]) for y in defined[x][1][node[1]]]
             break
         spans = tuple(dict.fromkeys(resolved(parts, at)))
         if not spans:

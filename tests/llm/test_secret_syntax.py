@@ -79,6 +79,21 @@ def test_long_chains_lose_nothing(monkeypatch):
     assert literals(text) == wanted == [KEY, KEY + "9"]
 
 
+def test_no_number_of_definitions_changes_what_is_found(monkeypatch):
+    """A literal in pieces is one, in texts of few definitions and of many."""
+    pieces = [KEY[k : k + 4] for k in range(0, len(KEY), 4)]
+    texts = ["".join(f'part_{k} = "{x}"\n' for k, x in enumerate(pieces)) + "private_key = " + " + ".join(f"part_{k}" for k in range(len(pieces))) + "\n"]
+    r = random.Random(8)
+    for _ in range(400):
+        names = ["a", "b", "token", "signing_key", "c.token"][: r.randint(1, 5)]
+        values = lambda: r.choice([f'"{r.choice([*pieces, "xx", "", " ", "your_", "<", ">", "${", "}", KEY])}"', *names])
+        texts.append("".join(f"{r.choice(names)} = {' + '.join(values() for _ in range(r.randint(1, 3)))}\n" for _ in range(r.randint(1, 14))))
+    wanted = [secrets.literal_spans(x) for x in texts]
+    assert sum(map(bool, wanted)) > 50
+    monkeypatch.setattr(secrets, "VISITS", -1)
+    assert [secrets.literal_spans(x) for x in texts] == wanted
+
+
 def test_long_texts_take_linear_time():
     import time
 
