@@ -1,5 +1,6 @@
 """Matrices in blocks, and pairs within large groups."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.operators import blocks, kernels, network
+from braidwork.operators import blocks, folds, kernels, network
 
 
 def cells(spark, m):
@@ -101,3 +102,34 @@ def test_numbers_follow_the_order(spark):
     got = network.number(rows.unionByName(rows.limit(10)), "p").collect()
     assert [r["p"] for r in sorted(got, key=lambda r: r["index"])] == sorted(r["p"] for r in rows.collect()) and sorted(r["index"] for r in got) == list(range(1000))
     assert network.number(rows.limit(0), "p").count() == 0
+
+
+def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Few bytes of entities make many pairs: adaptive execution is not to gather them in a task or two."""
+    monkeypatch.setattr(network, "TASK_PAIRS", 5_000)
+    rows = spark.range(500).select(F.col("id").alias("p"), (F.col("id") % 2).alias("g"))
+    monkeypatch.setattr(network.pairs_within, "__defaults__", (20, None))
+    pairs = network.co_members(rows)
+    tasks = pairs.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert sum(x["count"] for x in tasks) == 500 * 249 // 2 and len(tasks) >= 10 and max(x["count"] for x in tasks) < 20_000
+    assert "Exchange" not in network.symmetrize(pairs, once=True)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    twice = network.co_members(rows.unionByName(rows.withColumn("g", F.col("g") + 2)))
+    assert twice.count() == twice.distinct().count() == 500 * 249 // 2
+    labels = kernels.label_kernel(rows.select(F.col("p").alias("i"), F.col("g").alias("y")))
+    assert labels.count() == 250**2
+
+
+def test_folds_are_cut_where_a_sort_would_cut_them(spark, monkeypatch):
+    monkeypatch.setattr(folds, "STRETCH", 7)
+    pairs = spark.range(900).select((F.col("id") % 30).alias("p"), (30 + F.floor(F.col("id") / 30)).alias("q"))
+    got = {(r["p"], r["q"]): r["fold"] for r in folds.chunk(pairs, 7, seed=3, once=True).collect()}
+    key = lambda x: hashlib.md5(f"3|{x[0]}|{x[1]}".encode()).hexdigest() + f"|{x[0]}|{x[1]}"
+    assert got == {x: min(n // (900 // 7), 6) for n, x in enumerate(sorted(got, key=key))} and len(got) == 900
+    assert got == {(r["p"], r["q"]): r["fold"] for r in folds.chunk(pairs.unionByName(pairs), 7, seed=3).collect()}
+
+
+def test_asymmetric_pairs_keep_their_rows(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (5, 4), (5, 4), (3, 3), (None, 4), (6, 7)], "p int, q int")
+    got = Counter((r["p"], r["q"]) for r in network.asymmetric(pairs).collect())
+    assert got == Counter([(5, 4), (5, 4), (None, 4), (6, 7)])
+    assert network.canonical(network.symmetrize(pairs.where("p < q").where("p > 5"), once=True), symmetric=True).collect() == [(6, 7)]
