@@ -133,3 +133,33 @@ def test_asymmetric_pairs_keep_their_rows(spark):
     got = Counter((r["p"], r["q"]) for r in network.asymmetric(pairs).collect())
     assert got == Counter([(5, 4), (5, 4), (None, 4), (6, 7)])
     assert network.canonical(network.symmetrize(pairs.where("p < q").where("p > 5"), once=True), symmetric=True).collect() == [(6, 7)]
+
+
+def test_cells_are_summed_by_blocks(spark, monkeypatch):
+    """All kinds, of numbers and names, with features that all entities have and with those that few have; no cell is shuffled."""
+    from braidwork.operators import cells as by
+
+    monkeypatch.setattr(by, "CHUNK", 50)
+    monkeypatch.setattr(by, "LISTED", 30)
+    r = random.Random(4)
+    rows = [(i, f, float(r.randint(1, 5))) for i in range(45) for f in ["hot", "warm", *r.sample([f"f{k}" for k in range(60)], 3)]] + [(3, "hot", 2.0), (50, None, 1.0)]
+    wanted = {}
+    for i, f, v in rows:
+        for j, g, w in rows:
+            if f == g and f and i >= j:
+                a, b, c = wanted.get((i, j), (0, 0, 0))
+                wanted[i, j] = a + v * w, b + min(v, w), c + 1
+    for name in (lambda i: i, lambda i: f"n{i:02}"):
+        kind = "long" if name(1) == 1 else "string"
+        got = by.by_blocks(spark.createDataFrame([(name(i), f, v) for i, f, v in rows], f"i {kind}, f string, v double"), ["product", "least", "common"], side=8)
+        assert {(x["i"], x["j"]): tuple(x)[2:] for x in got.collect()} == {(name(i), name(j)): x for (i, j), x in wanted.items()}
+    features = spark.createDataFrame(rows[:-2], "i long, f string, v double")
+    monkeypatch.setattr(kernels, "BROADCAST_ROWS", 0)
+    kernel = kernels.sparse_linear(features)
+    assert "Exchange" not in kernel._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    whole = dense(kernels.normalize(kernel), 50)
+    assert np.allclose(whole, dense(kernels.normalize(kernel, kernels.squares(features)), 50))
+    both = kernels.joint(features)
+    assert np.array_equal(dense(both.select("i", "j", F.col("product").alias("k")), 50), dense(kernel, 50))
+    items = kernels.set_intersection(features.withColumnRenamed("f", "item"))
+    assert np.isclose(kernels.aligned(both, "product", "common").first()[0], kernels.alignment(kernel, items).first()[0])
