@@ -238,3 +238,19 @@ def test_kernels_of_ones_own(spark):
     close(first, gram([Counter(v[:-1]) for v in values]))
     lengths = features.summarised(texts(spark, *values), lambda s: features.residues(s).select("i", "pos", (F.col("residue") == "A").cast("double").alias("share")))
     assert {r["i"]: pytest.approx(r["share"]) for r in lengths.collect()} == {i: v.count("A") / len(v) for i, v in enumerate(values)}
+
+
+def test_vectors_are_dealt_once_to_each_pair_of_blocks(spark):
+    """No cell is shuffled, with several experiments too, and a row travels once to each block instead of twice."""
+    x = np.random.default_rng(5).standard_normal((30, 4))
+    one = spark.createDataFrame([(f"g{n}", v.tolist()) for n, v in enumerate(x)], "gene string, x array<double>")
+    two = spark.createDataFrame([(f"g{n}", v[:3].tolist()) for n, v in enumerate(x) if n % 3], "gene string, x array<double>")
+    genes = spark.createDataFrame([(n, f"g{n}") for n in range(30)], "i long, gene string")
+    wanted = np.corrcoef(x)
+    some = [n for n in range(30) if n % 3]
+    wanted[np.ix_(some, some)] += np.corrcoef(x[some, :3])
+    found = kernels.expression(genes, [one, two])
+    assert np.allclose(dense(found, 30), wanted)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "CoGroup" not in plan
+    assert "CoGroup" not in kernels.linear(spark.range(9).selectExpr("id AS i", "array(1.0D) AS x"), block=2)._jdf.queryExecution().optimizedPlan().toString()
