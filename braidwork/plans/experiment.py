@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import predicate_name
 from ..lineage import materialize
-from ..operators import folds, kernels, network, ontology
+from ..operators import folds, kernels, network, ontology, twins
 from ..sources import files, sinks
 from ..terms import local_name
 from . import sparql
@@ -149,7 +149,7 @@ def gold_stages(spark: SparkSession, load_triples: Callable[[], Triples], load:
             elif kind == "expression":
                 made = kernels.expression(gold_order.select("i", F.col("p").alias("gene")), load("expression"))
             elif kind == "complex":
-                made = kernels.diffusion(kernels.cliques(load("complexes").join(gold_order, "p").select("i", "complex")), n)
+                made = twins.diffusion(twins.cliques(load("complexes").join(gold_order, "p").select("i", "complex"), gold_order.select("i"))).cells()
             elif kind in ("interpro", "interpro_score"):
                 made = kernels.interpro(gold_order.select("i", "p"), load("interpro"), "match" if kind == "interpro" else "evalue")
             elif kind == "profile":
@@ -287,7 +287,7 @@ def kernel_stages(load: Callable[[str], object]) -> list[Stage]:
 
     def complexes(c, order, n, features):
         members = load("complexes").join(features.select("p", "feature").withColumnsRenamed({"p": "q", "feature": "p"}), "p").select("complex", F.col("q").alias("p")).join(order, "p")
-        return kernels.diffusion(kernels.cliques(members.select("i", "complex")), n)
+        return twins.diffusion(twins.cliques(members.select("i", "complex"), order.select("i"))).cells()
 
     def domains(mode):
         return lambda c, order, n: kernels.interpro(order.select("i", "p"), load("interpro"), mode)
