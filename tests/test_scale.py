@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import features, folds, ontology
-from braidwork.sources import files
+from braidwork.sources import files, sinks
 
 
 def edges(spark, pairs):
@@ -111,3 +111,17 @@ def test_skipped_records_of_a_file_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_fold_files_are_compressed_and_not_sorted(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    pairs = spark.range(20_000).select(F.col("id").cast("string").alias("p"), (F.col("id") + 1).cast("string").alias("q"), F.lit(True).alias("state"), (F.col("id") % 4).cast("int").alias("fold"))
+    rotated = folds.rotate(pairs, 4)
+    sinks.write_folds(rotated, str(tmp_path / "folds"))
+    assert spark.conf.get(name) == before
+    size = sum(f.stat().st_size for f in (tmp_path / "folds").rglob("part-*"))
+    lines = sinks.fold_lines(rotated).select(F.col("test_fold").cast("int"), "part", "file", "value")
+    got = spark.read.text(str(tmp_path / "folds")).select("test_fold", "part", "file", "value")
+    assert got.exceptAll(lines).isEmpty() and got.count() == lines.count() == 160_000
+    assert size < lines.select(F.sum(F.length("value") + 1)).first()[0] / 4
