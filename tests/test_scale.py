@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import features, folds, ontology
+from braidwork.plans.mapping import iri, to_triples
 from braidwork.sources import files, sinks
 
 
@@ -125,3 +126,11 @@ def test_fold_files_are_compressed_and_not_sorted(spark, tmp_path):
     got = spark.read.text(str(tmp_path / "folds")).select("test_fold", "part", "file", "value")
     assert got.exceptAll(lines).isEmpty() and got.count() == lines.count() == 160_000
     assert size < lines.select(F.sum(F.length("value") + 1)).first()[0] / 4
+
+
+def test_triples_of_one_split_are_made_by_many_tasks(spark):
+    rows = spark.range(0, 400_000, 1, 1).select(F.col("id").cast("string").alias("k"))
+    triples = to_triples(rows, [iri(F.col("k"), "p", F.concat(F.lit("o"), "k")), iri(F.col("k"), "q", F.lit("x"))])
+    assert "RebalancePartitions" in triples._jdf.queryExecution().optimizedPlan().toString()
+    assert triples.count() == 800_000 and triples.select("s").distinct().count() == 400_000
+    assert "Rebalance" not in to_triples(rows, [iri(F.col("k"), "p", F.lit("o"))], distinct=False)._jdf.queryExecution().optimizedPlan().toString()
