@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import materialize
 from ..terms import TYPE
 
 #: A class is a member of a characteristic set under this name.
@@ -57,10 +58,16 @@ def member(predicate: str, constant: str | None = None) -> str:
 
 
 def statistics_of(triples: DataFrame) -> Statistics:
-    """Tables of a graph, which is a set of triples. What a subject has is one value, so its predicates and classes have to fit in memory, its triples have not."""
-    pairs = triples.groupBy("p", "s").agg(F.count("*").alias("n"))
-    by_predicate = pairs.groupBy("p").agg(F.sum("n").alias("triples"), F.count("*").alias("subjects"), F.max("n").alias("most"))
+    """Tables of a graph, which is a set of triples. What a subject has is one value, so its predicates and classes have to fit in memory, its triples have not.
+
+    Triples are shuffled once, without their objects but for classes; all counts come from how many subjects have what, how often.
+    """
+    rows = triples.select("s", "p", F.when(F.col("p") == TYPE, F.col("o")).alias("class")).repartition("s")
+    had = rows.groupBy("s", "p", "class").agg(F.count("*").alias("n")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "class", "n"))).alias("has"))
+    had = materialize(had.groupBy("has").agg(F.count("*").alias("subjects")))
+    pairs = had.select("has", "subjects", F.explode("has").alias("x")).groupBy("has", "x.p").agg(F.sum("x.n").alias("n"), F.max("subjects").alias("subjects"))
+    by_predicate = pairs.groupBy("p").agg(F.sum(F.col("n") * F.col("subjects")).alias("triples"), F.sum("subjects").alias("subjects"), F.max("n").alias("most"))
     objects = triples.groupBy("p").agg(F.approx_count_distinct("o").alias("objects"))
-    named = triples.select("s", F.explode(F.array_distinct(F.array("p", F.when(F.col("p") == TYPE, F.concat(F.lit(_CLASS), "o")).otherwise(F.col("p"))))).alias("m"))
-    sets = named.groupBy("s").agg(F.array_sort(F.collect_set("m")).alias("members")).groupBy("members").agg(F.count("*").alias("subjects"))
+    named = F.flatten(F.transform("has", lambda x: F.array(x["p"], F.when(x["class"].isNotNull(), F.concat(F.lit(_CLASS), x["class"])).otherwise(x["p"]))))
+    sets = had.groupBy(F.array_sort(F.array_distinct(named)).alias("members")).agg(F.sum("subjects").alias("subjects"))
     return Statistics(by_predicate.join(objects, "p").select("p", "triples", "subjects", "objects", "most"), sets)

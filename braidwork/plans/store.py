@@ -20,9 +20,11 @@ class TripleStore:
     def _folder(self, graph: str) -> str:
         return f"{self.path}/g={self.spark.range(1).select(F.url_encode(F.lit(graph))).first()[0]}"
 
-    def load(self, triples: DataFrame, graph: str = DEFAULT_GRAPH, analyze: bool = True) -> None:
-        """Add triples to a graph, and keep its statistics if ``analyze``. Triples that lie there already are not added again."""
-        fresh = triples.dropDuplicates()
+    def load(self, triples: DataFrame, graph: str = DEFAULT_GRAPH, analyze: bool = True, once: bool = False) -> None:
+        """Add triples to a graph, and keep its statistics if ``analyze``. Triples that lie there already are not added again.
+
+        ``once`` tells of ``triples`` that each is there once: they are not shuffled for that."""
+        fresh = triples if once else triples.dropDuplicates()
         if (old := self._read(graph)) is not None:
             fresh = fresh.join(old, [c for c in fresh.columns if c != "o_type"], "left_anti")
         # One sorted file set a predicate, and no hot predicate in a single task.

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import features, folds, ontology
+from braidwork.plans import statistics
 from braidwork.plans.mapping import iri, to_triples
 from braidwork.sources import files, sinks
+from braidwork.terms import TYPE
 
 
 def edges(spark, pairs):
@@ -134,3 +136,14 @@ def test_triples_of_one_split_are_made_by_many_tasks(spark):
     assert "RebalancePartitions" in triples._jdf.queryExecution().optimizedPlan().toString()
     assert triples.count() == 800_000 and triples.select("s").distinct().count() == 400_000
     assert "Rebalance" not in to_triples(rows, [iri(F.col("k"), "p", F.lit("o"))], distinct=False)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statistics_shuffle_triples_once(spark, monkeypatch):
+    made = []
+    keep = statistics.materialize
+    monkeypatch.setattr(statistics, "materialize", lambda df: made.append(df) or keep(df))
+    rows = [("a", TYPE, "c1"), ("a", TYPE, "c2"), ("a", "p", "1"), ("a", "p", "2"), ("b", "p", "3"), ("c", TYPE, "c1"), ("c", "p", "1")]
+    got = statistics.statistics_of(spark.createDataFrame(rows, "s string, p string, o string"))
+    assert {tuple(r) for r in got.predicates.select("p", "triples", "subjects", "most").collect()} == {(TYPE, 3, 2, 2), ("p", 4, 3, 2)}
+    assert {(tuple(r["members"]), r["subjects"]) for r in got.sets.collect()} == {(tuple(sorted(("p", TYPE, f"{TYPE} c1", f"{TYPE} c2"))), 1), (("p",), 1), (tuple(sorted(("p", TYPE, f"{TYPE} c1"))), 1)}
+    assert len(made) == 1
