@@ -339,12 +339,12 @@ def _read_star(triples: DataFrame, star: Star, most: Mapping[str, int]) -> DataF
     return found.select(*out)
 
 
-def _join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equi-join on all shared variables: value and kind."""
+def _join(left: DataFrame, right: DataFrame, sized: bool = True) -> DataFrame:
+    """Equi-join on all shared variables: value and kind; by sorting if sizes are unknown."""
     shared = [c for c in right.columns if c in left.columns and not c.endswith("|type")]
     right = right.drop(*[c for c in right.columns if c in left.columns and c.endswith("|type")])
     if shared:
-        return left.join(right, shared)
+        return left.join(right if sized else right.hint("merge"), shared)
     # Nothing in common: a product, which is made only with a side that is small, as counting to a limit tells.
     for one, other in ((right, left), (left, right)):
         if one.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS:
@@ -447,7 +447,7 @@ def plan(graph: Graph, patterns: list[Pattern]) -> tuple[list[Star | Pattern], d
 def compile_patterns(graph: Graph, patterns: list[Pattern], is_set: bool = True) -> DataFrame:
     """All patterns joined, star by star."""
     order, most = plan(graph, patterns)
-    return reduce(_join, [_read_star(graph.triples, u, most) if isinstance(u, Star) else _bind(graph.triples, u, is_set) for u in order])
+    return reduce(lambda left, right: _join(left, right, graph.sized), [_read_star(graph.triples, u, most) if isinstance(u, Star) else _bind(graph.triples, u, is_set) for u in order])
 
 
 _CLEAR = re.compile(r"\s*CLEAR\s+(?:SILENT\s+)?(?:GRAPH\s+<(?P<graph>[^<>\s]*)>|(?P<default>DEFAULT))\s*;?\s*", re.IGNORECASE)

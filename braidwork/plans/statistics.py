@@ -43,13 +43,15 @@ class Graph:
     """Triples with what is known of them.
 
     A subject has at most one object of each of the ``functional`` predicates; queries check that. ``version`` names
-    the content: it is another one whenever the triples are others.
+    the content: it is another one whenever the triples are others. Of triples that are not ``sized``, as those of a checkpoint,
+    Spark's estimate is that of the files that they were made of, which are many times smaller: none is broadcast to be joined.
     """
 
     triples: DataFrame
     statistics: Statistics | None = None
     functional: frozenset[str] = field(default_factory=frozenset)
     version: str | None = None
+    sized: bool = True
 
 
 def member(predicate: str, constant: str | None = None) -> str:

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from braidwork import file_queries, lineage
 from braidwork.operators import features, folds, ontology
-from braidwork.plans import statistics
+from braidwork.plans import sparql, statistics
 from braidwork.plans.mapping import iri, to_triples
 from braidwork.sources import files, sinks
 from braidwork.terms import TYPE
@@ -147,3 +148,19 @@ def test_statistics_shuffle_triples_once(spark, monkeypatch):
     assert {tuple(r) for r in got.predicates.select("p", "triples", "subjects", "most").collect()} == {(TYPE, 3, 2, 2), ("p", 4, 3, 2)}
     assert {(tuple(r["members"]), r["subjects"]) for r in got.sets.collect()} == {(tuple(sorted(("p", TYPE, f"{TYPE} c1", f"{TYPE} c2"))), 1), (("p",), 1), (tuple(sorted(("p", TYPE, f"{TYPE} c1"))), 1)}
     assert len(made) == 1
+
+
+def test_a_held_graph_is_made_by_many_tasks_and_not_broadcast(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    rows = spark.range(0, 600_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    held = file_queries.held(to_triples(rows, [iri(F.col("k"), "p", F.concat(F.lit("o"), "k")), iri(F.col("k"), "q", F.lit("x"))]))
+    assert spark.conf.get(name, None) == before and spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+    assert held.triples.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = sparql.run(held, "SELECT ?s ?o WHERE { ?s <p> ?o . ?s <q> <x> . }", arity=2)
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 600_000
+    with pytest.raises(ZeroDivisionError), lineage.spread(spark):
+        assert spark.conf.get(name) == "16m"
+        1 / 0
+    assert spark.conf.get(name, None) == before
