@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..terms import PREFIXES, TYPE
+from .mapping import Rule, holds, object_of
 from .statistics import Graph, Statistics, member
 
 _TOKEN = re.compile(
@@ -236,10 +237,12 @@ PRODUCT_ROWS = 10_000
 _NUMERIC = ("integer", "double", "float", "decimal", "long", "int")
 
 
-def _object_is(term: Term) -> Column:
-    same = (F.col("o") == term.value) & (F.col("o_kind") == term.kind)
+def _object_is(term: Term, *at: Column) -> Column:
+    """Whether an object, of the columns ``at`` or those of a triple, is a constant."""
+    o, o_kind, o_type = at or (F.col("o"), F.col("o_kind"), F.col("o_type"))
+    same = (o == term.value) & (o_kind == term.kind)
     if term.kind == "literal" and term.type != "string":
-        same &= F.coalesce(F.col("o_type").isin(*_NUMERIC) if term.type in _NUMERIC else F.col("o_type") == term.type, F.lit(False))
+        same &= F.coalesce(o_type.isin(*_NUMERIC) if term.type in _NUMERIC else o_type == term.type, F.lit(False))
     return same
 
 
@@ -339,6 +342,36 @@ def _read_star(triples: DataFrame, star: Star, most: Mapping[str, int]) -> DataF
     return found.select(*out)
 
 
+def _rows_of(graph: Graph, star: Star) -> tuple[DataFrame, dict[str, Rule]] | None:
+    """The relation whose rows make the star's subjects, with its rules by predicate, if the graph tells of one."""
+    names = {p.p.value for p in star.patterns}
+    for rows, rules in graph.subjects:
+        by_predicate = {r.p: r for r in rules}
+        if names <= by_predicate.keys() and names != {TYPE} and len(by_predicate) == len(rules):
+            return rows, by_predicate
+    return None
+
+
+def _read_rows(rows: DataFrame, rules: Mapping[str, Rule], star: Star) -> DataFrame:
+    """A star whose subjects are made by a row each: nothing is grouped, and so nothing is shuffled."""
+    names = sorted({p.p.value for p in star.patterns})
+    subject = rules[names[0]].s.cast("string").alias("s")
+    found = rows.where(reduce(Column.__and__, [holds(rules[n]) for n in names])).select(subject, *[object_of(rules[n]).alias(f"o{k}") for k, n in enumerate(names)])
+    known = {star.subject: (F.col("s"), "node")}
+    out = _variable(star.subject, F.col("s"), F.lit("node"), F.lit(None).cast("string"))
+    for p in star.patterns:
+        rule, o = rules[p.p.value], F.col(f"o{names.index(p.p.value)}")
+        kind = "literal" if rule.kind == "literal" else "node"
+        if not p.o.free:
+            found = found.where(_object_is(p.o, o, F.lit(rule.kind), F.lit(rule.type).cast("string")))
+        elif p.o.value in known:  # bound before: the same value and kind
+            found = found.where((o == known[p.o.value][0]) & F.lit(kind == known[p.o.value][1]))
+        else:
+            known[p.o.value] = (o, kind)
+            out += _variable(p.o.value, o, F.lit(rule.kind), F.lit(rule.type).cast("string"))
+    return found.select(*out)
+
+
 def _join(left: DataFrame, right: DataFrame, sized: bool = True) -> DataFrame:
     """Equi-join on all shared variables: value and kind; by sorting if sizes are unknown."""
     shared = [c for c in right.columns if c in left.columns and not c.endswith("|type")]
@@ -447,7 +480,14 @@ def plan(graph: Graph, patterns: list[Pattern]) -> tuple[list[Star | Pattern], d
 def compile_patterns(graph: Graph, patterns: list[Pattern], is_set: bool = True) -> DataFrame:
     """All patterns joined, star by star."""
     order, most = plan(graph, patterns)
-    return reduce(lambda left, right: _join(left, right, graph.sized), [_read_star(graph.triples, u, most) if isinstance(u, Star) else _bind(graph.triples, u, is_set) for u in order])
+
+    def read(u: Star | Pattern) -> DataFrame:
+        if not isinstance(u, Star):
+            return _bind(graph.triples, u, is_set)
+        made = _rows_of(graph, u)
+        return _read_star(graph.triples, u, most) if made is None else _read_rows(*made, u)
+
+    return reduce(lambda left, right: _join(left, right, graph.sized), [read(u) for u in order])
 
 
 _CLEAR = re.compile(r"\s*CLEAR\s+(?:SILENT\s+)?(?:GRAPH\s+<(?P<graph>[^<>\s]*)>|(?P<default>DEFAULT))\s*;?\s*", re.IGNORECASE)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import materialize
 from ..terms import TYPE
+from .mapping import Rule
 
 #: A class is a member of a characteristic set under this name.
 _CLASS = TYPE + " "
@@ -45,6 +46,9 @@ class Graph:
     A subject has at most one object of each of the ``functional`` predicates; queries check that. ``version`` names
     the content: it is another one whenever the triples are others. Of triples that are not ``sized``, as those of a checkpoint,
     Spark's estimate is that of the files that they were made of, which are many times smaller: none is broadcast to be joined.
+
+    ``subjects`` are relations with rules of one subject, a constant predicate each, by which every row makes a subject of its own.
+    Nothing else in the graph makes triples of these subjects, or of these predicates but types: a star of them is read off the rows.
     """
 
     triples: DataFrame
@@ -52,6 +56,7 @@ class Graph:
     functional: frozenset[str] = field(default_factory=frozenset)
     version: str | None = None
     sized: bool = True
+    subjects: tuple[tuple[DataFrame, tuple[Rule, ...]], ...] = ()
 
 
 def member(predicate: str, constant: str | None = None) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.plans import experiment, sparql, stages, statistics
+from braidwork.plans.mapping import iri, literal, to_triples
 from braidwork.plans.statistics import Graph, statistics_of
 from braidwork.plans.store import TripleStore
 from braidwork.sources import files
@@ -246,3 +247,24 @@ def genome(spark, n):
         notes += [(note, "iri", f"{B}sgd_go_annotation_has_ecode", "IDA", "literal", "string"), (orf, "iri", f"{B}sgd_id_has_sequence", "".join(random.Random(k).choices("ACDEFGHIKLMNPQRSTVWY", k=60)), "literal", "string")]
         notes += [(orf, "iri", f"{B}sgd_id_in_chromosome", f"{B}chromosome.1", "iri", None), (orf, "iri", f"{B}sgd_id_in_strand", "W", "literal", "string"), (orf, "iri", f"{B}sgd_id_starts_at", str(r.randint(0, 99)), "literal", "integer"), (orf, "iri", f"{B}sgd_id_stops_at", "200", "literal", "integer")]
     return frame(spark, out).unionByName(spark.createDataFrame(notes, SCHEMA))
+
+
+def test_stars_of_rows_are_not_grouped(spark):
+    rows = spark.createDataFrame([("a", "x", 1, "a"), ("b", "y", 2, "x"), ("c", None, 2, "c"), (None, "z", 2, "a")], "k string, x string, n int, same string")
+    s = F.col("k")
+    rules = (iri(s, TYPE, "C"), iri(s, "to", F.col("x")), literal(s, "n", F.col("n"), "integer"), iri(s, "same", F.col("same"), when=F.col("n") < 3))
+    triples = to_triples(rows, list(rules), distinct=False, by_rule=True)
+    functional = frozenset({"to", "n", "same"})
+    plain, known = Graph(triples, functional=functional), Graph(triples, functional=functional, subjects=((rows, rules),))
+    for text, n in (
+        ("SELECT ?s ?x ?n WHERE { ?s a <C> ; <to> ?x ; <n> ?n . }", 2),
+        ("SELECT ?s ?x WHERE { ?s <to> ?x ; <n> 2 . }", 1),
+        ('SELECT ?s ?x WHERE { ?s <to> ?x ; <n> "2" . }', 1),
+        ("SELECT ?s ?n WHERE { ?s <same> ?s ; <n> ?n . }", 2),
+        ("SELECT ?s ?n WHERE { ?s <same> <a> ; <n> ?n ; <to> <x> . }", 1),
+        ("SELECT ?s ?x WHERE { ?s <to> ?x ; <n> ?x . }", 0),
+    ):
+        got, wanted = sparql.run(known, text), sparql.run(plain, text)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.count() == n
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in wanted._jdf.queryExecution().executedPlan().toString()
