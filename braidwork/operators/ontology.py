@@ -119,7 +119,7 @@ def prune(terms: DataFrame, edges: DataFrame, annotations: DataFrame, aspects: l
         gathered = gathered.where(F.col("level") != max_depth)
     large = gathered.groupBy("parent", "namespace", "level").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, min_annot or 1))
     name = F.concat(F.lit("BN:"), F.substring_index("parent", ":", -1))
-    bins = large.select(name.alias("id"), F.concat(F.lit("bin of "), "parent").alias("name"), "namespace", (F.col("level") + 1).alias("level"), "parent")
+    bins = materialize(large.select(name.alias("id"), F.concat(F.lit("bin of "), "parent").alias("name"), "namespace", (F.col("level") + 1).alias("level"), "parent"))
     all_terms = kept.withColumn("is_bin", F.lit(False)).unionByName(bins.drop("parent").withColumn("is_bin", F.lit(True)))
     all_edges = edges_kept.select("child", "parent", "relation").unionByName(bins.select(F.col("id").alias("child"), "parent", F.lit("bin_for").alias("relation")))
     bin_annotations = gathered.join(bins.select("parent", "id"), "parent").select("id", "p")
@@ -128,10 +128,12 @@ def prune(terms: DataFrame, edges: DataFrame, annotations: DataFrame, aspects: l
 
 def level_statistics(terms: DataFrame, annotations: DataFrame) -> DataFrame:
     """Per level: terms, bins, annotations (a protein counts for each term), different proteins."""
-    rows = terms.select("id", "level", "is_bin").join(annotations, "id", "left")
-    return rows.groupBy("level").agg(
-        F.countDistinct("id").alias("n_terms"), F.countDistinct(F.when(F.col("is_bin"), F.col("id"))).alias("n_bins"), F.count("p").alias("n_annotations"), F.countDistinct("p").alias("n_proteins")
-    )
+    # Terms are few and annotations many: only these are joined, and proteins are counted once a level and not once for each count.
+    of_terms = terms.groupBy("level").agg(F.countDistinct("id").alias("n_terms"), F.countDistinct(F.when(F.col("is_bin"), F.col("id"))).alias("n_bins"))
+    held = annotations.where("p IS NOT NULL").join(terms.select("id", "level"), "id").groupBy("level", "p").agg(F.count("*").alias("n"))
+    of_proteins = held.groupBy("level").agg(F.sum("n").alias("n_annotations"), F.count("*").alias("n_proteins"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_annotations", "n_proteins")]
+    return of_terms.join(of_proteins, of_terms["level"].eqNullSafe(of_proteins["level"]), "left").select(of_terms["level"], "n_terms", "n_bins", *counts)
 
 
 def violations(terms: DataFrame, edges: DataFrame, annotations: DataFrame, min_annot: int = 0) -> DataFrame:

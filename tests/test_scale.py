@@ -164,3 +164,13 @@ def test_a_held_graph_is_made_by_many_tasks_and_not_broadcast(spark):
         assert spark.conf.get(name) == "16m"
         1 / 0
     assert spark.conf.get(name, None) == before
+
+
+def test_proteins_of_a_level_are_counted_without_copies_of_rows(spark):
+    terms = spark.createDataFrame([("a", 0, False), ("b", 1, False), ("c", 1, True), ("d", 2, True)], "id string, level int, is_bin boolean")
+    held = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", None), ("b", 3), ("x", 9)], "id string, p int")
+    got = ontology.level_statistics(terms, held)
+    assert got.columns == ["level", "n_terms", "n_bins", "n_annotations", "n_proteins"]
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 0, 2, 2), (1, 2, 1, 3, 2), (2, 1, 1, 0, 0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") <= 1 and "p#" not in "".join(line for line in plan.splitlines() if "Expand" in line)
