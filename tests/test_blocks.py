@@ -163,3 +163,36 @@ def test_cells_are_summed_by_blocks(spark, monkeypatch):
     assert np.array_equal(dense(both.select("i", "j", F.col("product").alias("k")), 50), dense(kernel, 50))
     items = kernels.set_intersection(features.withColumnRenamed("f", "item"))
     assert np.isclose(kernels.aligned(both, "product", "common").first()[0], kernels.alignment(kernel, items).first()[0])
+
+
+def written(rows, path):
+    """Bytes of Parquet a row."""
+    rows.write.mode("overwrite").option("compression", "snappy").parquet(str(path))
+    return sum(f.stat().st_size for f in path.rglob("*.parquet")) / rows.sparkSession.read.parquet(str(path)).count()
+
+
+def test_dense_kernels_are_written_small(spark, tmp_path):
+    # Of a normal double nothing can be saved, but each is there twice. Cell by cell, each next to its mirror, it took 7 bytes or more.
+    g = np.random.default_rng(11)
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.standard_normal((700, 6)))], "i long, x array<double>").repartition(3)
+    assert written(kernels.linear(x), tmp_path / "linear") < 5.5
+    sparse = x.select("i", F.posexplode("x").alias("f", "v")).crossJoin(spark.range(5).toDF("n")).select("i", (F.col("f") * 5 + F.col("n")).alias("f"), (F.col("v") * (F.col("n") + 1)).alias("v"))
+    assert sparse.count() > kernels.BROADCAST_ROWS
+    assert written(kernels.sparse_linear(sparse), tmp_path / "sparse") < 5.5
+    labels = x.select("i", F.when(F.get("x", F.lit(0)) > 0, 1).otherwise(-1).alias("y"))
+    assert written(kernels.label_kernel(labels), tmp_path / "labels") < 1.5
+
+
+def test_both_ways_of_a_strip():
+    from braidwork.operators import cells as by
+
+    g = np.random.default_rng(12)
+    for one in (False, True):
+        m = g.standard_normal((70, 70)) * (g.random((70, 70)) < 0.7)
+        a = np.arange(70) * 3
+        b = a if one else a + 1000
+        counts = (m != 0) & (a[:, None] >= b[None, :]) if one else m != 0
+        got = [c for batch in by.both_ways(a, b, {"k": m, "l": 2 * m}, counts, pa.int64()) for c in zip(*batch.to_pydict().values(), strict=True)]
+        wanted = [(int(a[r]), int(b[c]), m[r, c], 2 * m[r, c]) for r, c in zip(*np.nonzero(counts), strict=True)]
+        wanted += [(j, i, *rest) for i, j, *rest in wanted if i != j]
+        assert len(got) == len(wanted) and set(got) == set(wanted)
