@@ -196,3 +196,23 @@ def test_both_ways_of_a_strip():
         wanted = [(int(a[r]), int(b[c]), m[r, c], 2 * m[r, c]) for r, c in zip(*np.nonzero(counts), strict=True)]
         wanted += [(j, i, *rest) for i, j, *rest in wanted if i != j]
         assert len(got) == len(wanted) and set(got) == set(wanted)
+
+
+def test_empirical_kernel_of_vectors(spark, monkeypatch):
+    """The same as of the cells, which it doesn't make: of some entities as rows, in blocks."""
+    from braidwork.operators import cells as by
+
+    g = np.random.default_rng(13)
+    m = g.standard_normal((30, 9)) * (g.random((30, 9)) < 0.4)
+    m[4] = 0
+    rows = [(int(i), f"f{f}", float(m[i, f])) for i, f in zip(*np.nonzero(m), strict=True)] + [(4, "f1", 0.0)]
+    v = spark.createDataFrame(rows, "i long, f string, v double")
+    anchors = spark.createDataFrame([(29 - i, i) for i in range(30) if i % 4], "position long, row long")
+    wanted = dense(kernels.empirical(kernels.normalize(kernels.sparse_linear(v)), anchors), 30)
+    monkeypatch.setattr(by, "SIDE", 8)
+    made = []
+    monkeypatch.setattr(kernels, "sparse_linear", lambda *_: made.append(1))
+    monkeypatch.setattr(kernels, "BROADCAST_ROWS", 3)
+    got = kernels.empirical_linear(v, anchors)
+    assert not made and got.where("i < 0 OR j < 0").count() == 0
+    assert np.allclose(dense(got, 30), wanted) and np.abs(wanted).max() > 1
