@@ -131,6 +131,15 @@ def test_fold_files_are_compressed_and_not_sorted(spark, tmp_path):
     assert size < lines.select(F.sum(F.length("value") + 1)).first()[0] / 4
 
 
+def test_fold_files_are_smaller_than_the_fastest_level_makes_them(spark, tmp_path):
+    pairs = spark.range(0, 20_000, 1, 2).select(F.col("id").cast("string").alias("p"), (F.col("id") + 1).cast("string").alias("q"), F.lit(True).alias("state"), (F.col("id") % 4).cast("int").alias("fold"))
+    rotated = folds.rotate(pairs, 4)
+    sinks.write_folds(rotated, str(tmp_path / "folds"))
+    sinks.fold_lines(rotated).write.partitionBy("test_fold", "part", "file").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(str(tmp_path / "fast"))
+    size, fast = (sum(f.stat().st_size for f in (tmp_path / d).rglob("part-*")) for d in ("folds", "fast"))
+    assert size < 0.9 * fast
+
+
 def test_triples_of_one_split_are_made_by_many_tasks(spark):
     rows = spark.range(0, 400_000, 1, 1).select(F.col("id").cast("string").alias("k"))
     triples = to_triples(rows, [iri(F.col("k"), "p", F.concat(F.lit("o"), "k")), iri(F.col("k"), "q", F.lit("x"))])
