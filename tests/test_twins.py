@@ -57,3 +57,12 @@ def test_as_many_rows_as_classes(spark):
     found = twins.diffusion(twins.cliques(members))
     assert found.own.count() == 2 and [r["k"] for r in found.between.collect()] == pytest.approx([1 / 4000] * 2)
     assert twins.lowest_eigenvalue(twins.cliques(members, own=0.0)) == pytest.approx(-1)
+
+
+def test_cells_of_two_blocks_are_not_held_at_once(spark):
+    rows = spark.range(60).select(F.col("id").alias("i"), (F.col("id") % 3).alias("complex"))
+    made = twins.cliques(rows).cells(most=8)
+    got = {(r.i, r.j) for r in made.collect()}
+    assert got == {(i, j) for i in range(60) for j in range(60) if i % 3 == j % 3}
+    stages = [line for line in made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate explode" in line]
+    assert sorted("*(" in line for line in stages) == [False, True]
